@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import partitions, shared_dir, slices, written
@@ -274,3 +274,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
         F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
         F.expr("doc_id <=> if(doc_id is null, null, coalesce(root, doc_id))").alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
+    """docs, the same columns, with one document of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows with a null doc_id stay. A doc_id identifies a document: of rows that share one that stays, the one with the
+    smallest text does.
+    """
+    near = near_duplicates(docs, percent, size).select("doc_id", "kept")
+    near = written(near, shared_dir(docs.sparkSession), "near").withColumnRenamed("doc_id", "near_id")
+    ids = near.where("kept and near_id is not null")
+    twice = near.where("near_id is not null").groupBy("near_id").agg(F.count("*").alias("n")).where("n > 1").select("near_id")
+    nameless = docs.where(F.col("doc_id").isNull())
+    out = docs.join(ids.select("near_id").distinct(), docs["doc_id"] == F.col("near_id"), "left_semi")
+    if not twice.isEmpty():
+        same = out.join(twice, out["doc_id"] == F.col("near_id"), "left_semi")
+        one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+        least = same.withColumn("__place", F.row_number().over(one)).where(F.col("__place") == 1).drop("__place")
+        out = out.join(twice, out["doc_id"] == F.col("near_id"), "left_anti").unionByName(least)
+    return out if near.where("near_id is null").isEmpty() else out.unionByName(nameless)
