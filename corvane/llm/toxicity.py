@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from corvane.llm.common import bucket, strings
 
 BITS = 18
 #: Labelled documents that are fitted to, at most about this many of each label; chosen by a hash of doc_id.
-MAX_TOXIC, MAX_CLEAN = 4000, 8000
+MAX_TOXIC, MAX_CLEAN = 3000, 6000
 #: Words of one instance: longer sentences count as several, shorter ones go with the next.
 LONGEST, SHORTEST = 40, 8
 #: Words whose weights a task remembers.
@@ -59,32 +60,37 @@ def features(word: str) -> list[int]:
 def fit(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.4, l2: float = 2e-4, least: int = 3, weight: float = 4.0) -> np.ndarray:
     """Weights of the features, and the bias last. Features in fewer than `least` documents keep weight 0; a toxic document counts `weight` times."""
     number: dict[str, int] = {}
-    word, sent, doc = [], [], []
+    word, sent, doc, f, f_word = (array("i") for _ in range(5))
     n_sent = 0
     for d, t in enumerate(texts):
         for words in instances(_lower(t)):
             for w in set(words):
-                word.append(number.setdefault(w, len(number)))
+                k = number.setdefault(w, len(number))
+                if not f_word or f_word[-1] < k:
+                    x = features(w)
+                    f.extend(x)
+                    f_word.extend([k] * len(x))
+                word.append(k)
                 sent.append(n_sent)
             doc.append(d)
             n_sent += 1
+    n_words = len(number)
+    del number
     theta = np.zeros((1 << BITS) + 1)
     theta[-1] = -5.0
     if not n_sent or not any(labels) or all(labels):
         theta[-1] = 3.0 if n_sent and all(labels) else -9.0
         return theta
-    word, sent, doc = np.array(word), np.array(sent), np.array(doc)
-    feats = [features(w) for w in number]
-    f = np.array([x for fs in feats for x in fs])
-    f_word = np.repeat(np.arange(len(feats)), [len(x) for x in feats])
+    word, sent, doc, f, f_word = (np.array(x, np.int32) for x in (word, sent, doc, f, f_word))
     pairs = np.unique(doc[sent].astype(np.int64) << 32 | word)
-    df = np.bincount(f, np.bincount(pairs & 0xFFFFFFFF, minlength=len(number))[f_word], 1 << BITS)
+    df = np.bincount(f, np.bincount(pairs & 0xFFFFFFFF, minlength=n_words)[f_word], 1 << BITS)
+    del pairs
     keep = df[f] >= least
     f, f_word = f[keep], f_word[keep]
     y = np.array(labels)[doc].astype(bool)
     squares = np.full(len(theta), 1e-4)
     for _ in range(rounds):
-        of_word = np.bincount(f_word, theta[f], word.max() + 1)
+        of_word = np.bincount(f_word, theta[f], n_words)
         z = np.bincount(sent, of_word[word], n_sent) + theta[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         total = np.bincount(doc, np.logaddexp(0, z), len(texts))[doc]
@@ -140,7 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
     chosen = known.where(((F.col("toxic") == 1) & (draw < share[1])) | ((F.col("toxic") == 0) & (draw < share[0])))
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    rows = d.join(chosen.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").alias("y")), "doc_id").toArrow()
+    # about MAX_TOXIC + MAX_CLEAN rows of two numbers, so texts needn't be shuffled to meet them
+    small = F.broadcast(chosen.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("y")))
+    rows = d.join(small, "doc_id").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     texts, y = strings(rows.column("text")), rows.column("y").to_pylist()
     return fit([texts[k] for k in order], [y[k] for k in order])
