@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from corvane.plans import relational
+
+QUERIES: dict = dict(relational.QUERIES)
+ORACLES: dict = dict(relational.ORACLES)
+FLAGSHIP = "w1_current_validity"
