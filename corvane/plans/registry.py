@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corvane.plans import relational
+from corvane.plans import evidence, relational
 
-QUERIES: dict = dict(relational.QUERIES)
-ORACLES: dict = dict(relational.ORACLES)
-FLAGSHIP = "w1_current_validity"
+QUERIES: dict = relational.QUERIES | evidence.QUERIES
+ORACLES: dict = relational.ORACLES | evidence.ORACLES
+FLAGSHIP = "r8_hybrid"
