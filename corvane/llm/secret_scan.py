@@ -29,7 +29,10 @@ _ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,})*(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{1,15}(?![A-Za-z0-9+/_-]))?={0,2}")
+_BASE64 = re.compile(
+    r"[A-Za-z0-9+/]{40,}+(?![_-])(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/]{16,}+(?![_-]))*(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/]{1,15}+(?![A-Za-z0-9+/_-]))?={0,2}"
+    r"|[A-Za-z0-9_-]{40,}+(?![+/])={0,2}"
+)
 _ANY_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
 _BLANKS = re.compile(r"\s+")
 #: Object identifiers of private-key algorithms (RSA, EC, Ed25519, Ed448, X25519, X448, DSA, DH).
