@@ -247,7 +247,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
 
     def exact(rows: DataFrame, name: str) -> DataFrame:
         """Links among the rows (node, root, block, late, grp), each set joined once for every block it goes to."""
-        with_text = texts.join(rows, F.col("doc_id") == F.col("node")).select("root", "block", "late", "grp", "node", "text")
+        # beyond test sizes neither side can be broadcast: one plan for all sizes
+        with_text = texts.join(rows.hint("merge"), F.col("doc_id") == F.col("node")).select("root", "block", "late", "grp", "node", "text")
         sets = with_text.mapInArrow(lambda b: _sets(b, size), "root bigint, block int, late int, grp bigint, node bigint, shingles binary")
         sets = sets.repartition(n, "root", "block").sortWithinPartitions("root", "block", "late", "node")
         return written(sets.mapInArrow(lambda b: _confirm(b, percent), "u bigint, v bigint"), folder, name)
@@ -287,7 +288,7 @@ def deduplicated(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame
     ids = near.where("kept and near_id is not null")
     twice = near.where("near_id is not null").groupBy("near_id").agg(F.count("*").alias("n")).where("n > 1").select("near_id")
     nameless = docs.where(F.col("doc_id").isNull())
-    out = docs.join(ids.select("near_id").distinct(), docs["doc_id"] == F.col("near_id"), "left_semi")
+    out = docs.join(ids.select("near_id").distinct().hint("merge"), docs["doc_id"] == F.col("near_id"), "left_semi")
     if not twice.isEmpty():
         same = out.join(twice, out["doc_id"] == F.col("near_id"), "left_semi")
         one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
