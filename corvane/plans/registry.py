@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corvane.plans import evidence, relational
+from corvane.plans import evidence, relational, text_queries
 
-QUERIES: dict = relational.QUERIES | evidence.QUERIES
-ORACLES: dict = relational.ORACLES | evidence.ORACLES
+QUERIES: dict = relational.QUERIES | evidence.QUERIES | text_queries.QUERIES
+ORACLES: dict = relational.ORACLES | evidence.ORACLES | text_queries.ORACLES
 FLAGSHIP = "r8_hybrid"
