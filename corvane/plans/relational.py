@@ -49,7 +49,7 @@ BODIES: dict[str, Callable] = {
     # aggregates
     "a1_counts": lambda d: "SELECT source, count(*) AS n, count(lang) AS with_lang, count(DISTINCT lang) AS langs FROM documents GROUP BY source",
     "a2_state_rollup": lambda d: "SELECT source, count(*) AS n, count(*) FILTER (WHERE state = 'complete') AS complete, count(*) FILTER (WHERE state = 'partial') AS partial, count(*) FILTER (WHERE in_scope) AS in_scope FROM fetch_doc GROUP BY source",
-    "a3_text_state": lambda d: f"SELECT document_id, bool_or(is_binding) AS binding, bool_or(needs_review) AS review, {d.agg('authority')} AS authorities, max(length(markdown)) AS longest FROM document_text GROUP BY document_id",
+    "a3_text_state": lambda d: f"SELECT document_id, bool_or(is_binding) AS binding, bool_or(needs_review) AS review, {d.agg('authority')} AS authorities, CAST(max(length(markdown)) AS BIGINT) AS longest FROM document_text GROUP BY document_id",
     "a5_issuer_list": lambda d: f"SELECT lang, {d.agg('source')} AS sources FROM documents GROUP BY lang",
     "a6_unique_lookup": lambda d: "SELECT title, min(id) AS id FROM document GROUP BY title HAVING count(*) = 1",
     "a7_latest_status": lambda d: ("SELECT document_id, max_by(status_class, struct(observed_at, id)) AS status_class" if d.name == "spark" else "SELECT document_id, arg_max(status_class, (observed_at, id)) AS status_class") + " FROM validity GROUP BY document_id",
@@ -63,9 +63,9 @@ BODIES: dict[str, Callable] = {
     "w1_as_of_newest_then_window": lambda d: "SELECT document_id, id, status_class FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY observed_at DESC, id DESC) AS rn FROM validity) x WHERE rn = 1 AND eff_from IS NOT NULL AND eff_from <= DATE '2024-01-20'",
     "f4_as_of_window_then_newest": lambda d: "SELECT document_id, id, status_class FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY observed_at DESC, id DESC) AS rn FROM validity WHERE (eff_from IS NULL OR eff_from <= DATE '2024-01-20') AND (superseded_at IS NULL OR superseded_at > TIMESTAMP '2024-01-20 00:00:00')) x WHERE rn = 1",
     "w3_candidate_pick": lambda d: "SELECT doc_key, doc_id, priority FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY priority DESC, doc_id) AS rn FROM observation) x WHERE rn = 1",
-    "w4_relations_per_base": lambda d: "SELECT base, other, direction, rn FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY direction, relation_type, other) AS rn FROM (SELECT from_id AS base, to_id AS other, relation_type, 'outgoing' AS direction FROM relation UNION ALL SELECT to_id, from_id, relation_type, 'incoming' FROM relation) u) x WHERE rn <= 8",
+    "w4_relations_per_base": lambda d: "SELECT base, other, direction, CAST(rn AS BIGINT) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY direction, relation_type, other) AS rn FROM (SELECT from_id AS base, to_id AS other, relation_type, 'outgoing' AS direction FROM relation UNION ALL SELECT to_id, from_id, relation_type, 'incoming' FROM relation) u) x WHERE rn <= 8",
     "l6_page": lambda d: "SELECT id, doc_number FROM document ORDER BY id LIMIT 20 OFFSET 40",
-    "l8_timeline": lambda d: f"SELECT document_id, {d.day('eff_from')} AS day, status_class, row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN eff_from IS NULL THEN 1 ELSE 0 END, eff_from, id) AS place FROM validity",
+    "l8_timeline": lambda d: f"SELECT document_id, {d.day('eff_from')} AS day, status_class, CAST(row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN eff_from IS NULL THEN 1 ELSE 0 END, eff_from, id) AS BIGINT) AS place FROM validity",
     "u1_both_directions": lambda d: "SELECT from_id AS base, to_id AS other, 'outgoing' AS direction FROM relation UNION ALL SELECT to_id, from_id, 'incoming' FROM relation",
     "u3_distinct": lambda d: "SELECT DISTINCT lang, source FROM documents",
     "g4_neighbourhood": lambda d: "SELECT u.base, u.other, u.direction, v.status_class, t.is_binding FROM (SELECT from_id AS base, to_id AS other, 'outgoing' AS direction FROM relation UNION ALL SELECT to_id, from_id, 'incoming' FROM relation) u LEFT JOIN current_validity v ON v.document_id = u.other LEFT JOIN document_text t ON t.document_id = u.other",
@@ -80,7 +80,7 @@ BODIES: dict[str, Callable] = {
              WHEN count(a.ref_key) FILTER (WHERE NOT a.is_optional AND a.state IN ('pending', 'error')) > 0 THEN 'fetching'
              WHEN count(a.ref_key) FILTER (WHERE NOT a.is_optional AND a.state = 'dead') > 0 THEN 'partial' ELSE 'complete' END AS new_state
         FROM fetch_doc f LEFT JOIN fetch_artifact a ON a.fetch_doc_id = f.id GROUP BY f.id, f.state""",
-    "st3_claim_order": lambda d: "SELECT fetch_doc_id, ref_key, row_number() OVER (PARTITION BY fetch_doc_id ORDER BY CASE state WHEN 'pending' THEN 0 ELSE 1 END, updated_at, ref_key) AS claim FROM fetch_artifact WHERE state IN ('pending', 'error')",
+    "st3_claim_order": lambda d: "SELECT fetch_doc_id, ref_key, CAST(row_number() OVER (PARTITION BY fetch_doc_id ORDER BY CASE state WHEN 'pending' THEN 0 ELSE 1 END, updated_at, ref_key) AS BIGINT) AS claim FROM fetch_artifact WHERE state IN ('pending', 'error')",
     "st7_needs_index": lambda d: "SELECT d.id FROM document d JOIN document_text t ON t.document_id = d.id LEFT JOIN (SELECT DISTINCT label AS document_id FROM embeddings) e ON e.document_id = d.id WHERE e.document_id IS NULL AND t.is_binding",
     # text and other functions
     "x16_number_key": lambda d: f"SELECT id, {d.replaced('lower(doc_number)', '[^a-z0-9]')} AS number_key FROM document",
@@ -98,9 +98,9 @@ BODIES: dict[str, Callable] = {
     "r20_gaps": lambda d: """SELECT d.id, 'no_binding_text' AS gap FROM document d LEFT JOIN (SELECT document_id, bool_or(is_binding) AS b FROM document_text GROUP BY document_id) t ON t.document_id = d.id WHERE coalesce(t.b, false) = false
         UNION ALL SELECT d.id, 'validity_unknown' FROM document d LEFT JOIN current_validity v ON v.document_id = d.id WHERE v.document_id IS NULL
         UNION ALL SELECT document_id, 'needs_review' FROM document_text WHERE needs_review""",
-    "r25_corpus_status": lambda d: "SELECT issuer, count(*) AS documents, count(v.document_id) AS with_validity, count(*) FILTER (WHERE v.status_class IN ('in_force', 'partial')) AS current_law, sum(n_chars) AS characters FROM document d LEFT JOIN current_validity v ON v.document_id = d.id GROUP BY issuer",
+    "r25_corpus_status": lambda d: "SELECT issuer, count(*) AS documents, count(v.document_id) AS with_validity, count(*) FILTER (WHERE v.status_class IN ('in_force', 'partial')) AS current_law, CAST(sum(n_chars) AS BIGINT) AS characters FROM document d LEFT JOIN current_validity v ON v.document_id = d.id GROUP BY issuer",
     "r27_validity_usable": lambda d: "SELECT count(*) FILTER (WHERE status_class IN ('in_force', 'partial')) > 0 AS usable FROM current_validity",
-    "r28_eval_metrics": lambda d: """SELECT round(sum(CASE WHEN hit THEN 1.0 ELSE 0.0 END) / count(*), 6) AS recall, count(*) AS cases FROM
+    "r28_eval_metrics": lambda d: """SELECT round(CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS recall, count(*) AS cases FROM
         (SELECT b.item_id, max(CASE WHEN d.doc_id IS NULL THEN 0 ELSE 1 END) = 1 AS hit FROM benchmark b LEFT JOIN documents d ON strpos(d.text, b.text) > 0 GROUP BY b.item_id) x""".replace("strpos(d.text, b.text)", "instr(d.text, b.text)"),
     "r29_workflow": lambda d: "SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'assistant') AS answers, bool_or(role = 'assistant' AND length(text) = 0) AS abstained, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
     "r30_family_validity": lambda d: "SELECT to_id AS base, from_id AS member, CASE WHEN rn = 1 THEN coalesce(status_class, 'unknown') ELSE 'expired' END AS status_class FROM (SELECT r.from_id, r.to_id, v.status_class, row_number() OVER (PARTITION BY r.to_id ORDER BY o.o_orderdate DESC, r.from_id DESC) AS rn FROM relation r JOIN orders o ON o.o_orderkey = r.from_id LEFT JOIN current_validity v ON v.document_id = r.to_id) x",

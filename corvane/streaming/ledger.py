@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 def event_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts and sums of tumbling windows by event type; works on a stream (with a watermark) and on a table."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    source = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return source.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
 def drained(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     """The events table as a stream, run until it is read through; all windows, also open ones."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir) if not sf_dir.startswith("viewfs") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     name = f"windows_{uuid.uuid4().hex}"
     out = event_windows(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
     out.awaitTermination()

@@ -72,6 +72,13 @@ def test_chain_and_families(spark):
     assert {r.node: r.family for r in graph.families(e).collect()} == {**dict.fromkeys(range(1, 7), 1), 8: 8, 9: 8}
 
 
+def test_references(spark):
+    from corvane.functions.text import references
+
+    df = spark.createDataFrame([("See 12/2020/NĐ-CP, Act 123 and act 123; 1/2",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(references(df.t)).collect()] == [["12/2020/nđ-cp", "act 123"], [], None]
+
+
 def test_fusion(spark):
     d = spark.createDataFrame([(1, 1), (2, 2)], "id bigint, rank int")
     s = spark.createDataFrame([(2, 1), (3, 2)], "id bigint, rank int")
