@@ -69,7 +69,7 @@ BODIES: dict[str, Callable] = {
     "u1_both_directions": lambda d: "SELECT from_id AS base, to_id AS other, 'outgoing' AS direction FROM relation UNION ALL SELECT to_id, from_id, 'incoming' FROM relation",
     "u3_distinct": lambda d: "SELECT DISTINCT lang, source FROM documents",
     "g4_neighbourhood": lambda d: "SELECT u.base, u.other, u.direction, v.status_class, t.is_binding FROM (SELECT from_id AS base, to_id AS other, 'outgoing' AS direction FROM relation UNION ALL SELECT to_id, from_id, 'incoming' FROM relation) u LEFT JOIN current_validity v ON v.document_id = u.other LEFT JOIN document_text t ON t.document_id = u.other",
-    "g5_second_hop": lambda d: "SELECT a.from_id AS base, a.to_id AS target, b.from_id AS amended_by FROM relation a JOIN relation b ON b.to_id = a.to_id AND b.from_id <> a.from_id",
+    "g5_second_hop": lambda d: "SELECT base, target, amended_by FROM (SELECT a.from_id AS base, a.to_id AS target, b.from_id AS amended_by, row_number() OVER (PARTITION BY a.from_id, a.to_id ORDER BY b.from_id) AS rn FROM relation a JOIN relation b ON b.to_id = a.to_id AND b.from_id <> a.from_id) x WHERE rn <= 8",
     "g6_superseded": lambda d: f"SELECT v.document_id, {d.agg('CAST(r.from_id AS VARCHAR(20))')} AS superseded_by FROM current_validity v JOIN relation r ON r.to_id = v.document_id AND r.relation_type = 'F' WHERE v.status_class IN ('in_force', 'partial') GROUP BY v.document_id",
     # writes and work selection, as whole derived tables
     "d1_document_merge": lambda d: "SELECT doc_key, max(priority) AS metadata_priority, min(CASE WHEN rn = 1 THEN doc_id END) AS document, min(CASE WHEN rn = 1 THEN lang END) AS lang, count(*) AS observations FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY priority DESC, doc_id DESC) AS rn FROM observation) x GROUP BY doc_key",
@@ -100,8 +100,6 @@ BODIES: dict[str, Callable] = {
         UNION ALL SELECT document_id, 'needs_review' FROM document_text WHERE needs_review""",
     "r25_corpus_status": lambda d: "SELECT issuer, count(*) AS documents, count(v.document_id) AS with_validity, count(*) FILTER (WHERE v.status_class IN ('in_force', 'partial')) AS current_law, CAST(sum(n_chars) AS BIGINT) AS characters FROM document d LEFT JOIN current_validity v ON v.document_id = d.id GROUP BY issuer",
     "r27_validity_usable": lambda d: "SELECT count(*) FILTER (WHERE status_class IN ('in_force', 'partial')) > 0 AS usable FROM current_validity",
-    "r28_eval_metrics": lambda d: """SELECT round(CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS recall, count(*) AS cases FROM
-        (SELECT b.item_id, max(CASE WHEN d.doc_id IS NULL THEN 0 ELSE 1 END) = 1 AS hit FROM benchmark b LEFT JOIN documents d ON strpos(d.text, b.text) > 0 GROUP BY b.item_id) x""".replace("strpos(d.text, b.text)", "instr(d.text, b.text)"),
     "r29_workflow": lambda d: "SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'assistant') AS answers, bool_or(role = 'assistant' AND length(text) = 0) AS abstained, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
     "r30_family_validity": lambda d: "SELECT to_id AS base, from_id AS member, CASE WHEN rn = 1 THEN coalesce(status_class, 'unknown') ELSE 'expired' END AS status_class FROM (SELECT r.from_id, r.to_id, v.status_class, row_number() OVER (PARTITION BY r.to_id ORDER BY o.o_orderdate DESC, r.from_id DESC) AS rn FROM relation r JOIN orders o ON o.o_orderkey = r.from_id LEFT JOIN current_validity v ON v.document_id = r.to_id) x",
 }
@@ -112,7 +110,7 @@ def register(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
-def _query(body: Callable) -> Callable[[SparkSession, str], DataFrame]:
+def query_of(body: Callable) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir)
         return spark.sql(with_views(body(Spark()), Spark()))
@@ -120,5 +118,5 @@ def _query(body: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES = {name: _query(body) for name, body in BODIES.items()}
+QUERIES = {name: query_of(body) for name, body in BODIES.items()}
 ORACLES = {name: with_views(body(Duck()), Duck()) for name, body in BODIES.items()}
