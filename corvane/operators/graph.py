@@ -21,7 +21,7 @@ def chain(edges: DataFrame, depth: int = 4) -> DataFrame:
 
 
 def families(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, family) with the smallest node of each connected component, by propagating least labels to a fixed point."""
+    """(node, family) with the smallest node of each connected component, by propagating least labels to a fixed point; labels follow labels, so rounds grow with the logarithm of a path."""
     both = edges.selectExpr("from_id as u", "to_id as v").unionByName(edges.selectExpr("to_id as u", "from_id as v"))
     labels = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).withColumnRenamed("u", "node")
     for _ in range(rounds):
@@ -34,5 +34,5 @@ def families(edges: DataFrame, rounds: int = 50) -> DataFrame:
         moved = not fresh.where("new < old").isEmpty()
         labels = fresh.select("node", F.col("new").alias("label"))
         if not moved:
-            break
-    return labels.select("node", F.col("label").alias("family"))
+            return labels.select("node", F.col("label").alias("family"))
+    raise RuntimeError(f"no fixed point after {rounds} rounds")

@@ -44,3 +44,14 @@ def supersede(history: DataFrame, observed: DataFrame) -> DataFrame:
     at = fresh.groupBy("document_id").agg(F.max("observed_at").alias("closed"))
     closed = history.join(at, "document_id", "left").withColumn("superseded_at", F.coalesce("superseded_at", "closed")).drop("closed")
     return closed.unionByName(fresh.select("document_id", "status", "eff_from", "observed_at", F.lit(None).cast("timestamp").alias("superseded_at")))
+
+
+def pointers(existing: DataFrame, incoming: DataFrame, key: str = "ref_key") -> DataFrame:
+    """References (key, document_id, src_ref): a pointer that is resolved never goes back to null, a source's own record wins over none."""
+    a, b = existing.alias("a"), incoming.alias("b")
+    return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), F.coalesce("b.document_id", "a.document_id").alias("document_id"), F.coalesce("b.src_ref", "a.src_ref").alias("src_ref"))
+
+
+def replace_children(existing: DataFrame, incoming: DataFrame, parent: str, parents: DataFrame) -> DataFrame:
+    """Children of `parents` go, those that come in take their place; a parent without new children loses its old ones."""
+    return existing.join(parents.select(parent).distinct(), parent, "left_anti").unionByName(incoming.join(parents.select(parent).distinct(), parent, "left_semi"))

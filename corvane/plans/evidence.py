@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,13 @@ def r14_validity_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.where("is_current").unionByName(old).select("id", "status_class", "is_current", "score")
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """The session's checkpoint folder: the one that spark.checkpoint.dir names; one of this machine only where that is unset, as in tests."""
+    if not spark.sparkContext.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp())
+
+
 def _relation(spark, sf_dir):
     register(spark, sf_dir)
     return spark.sql(with_views("SELECT from_id, to_id FROM relation", Spark()))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corvane.plans import corpus, evidence, relational, text_queries
+from corvane.plans import corpus, derived, evidence, relational, text_queries
 
-QUERIES: dict = relational.QUERIES | corpus.QUERIES | evidence.QUERIES | text_queries.QUERIES
-ORACLES: dict = relational.ORACLES | corpus.ORACLES | evidence.ORACLES | text_queries.ORACLES
+QUERIES: dict = relational.QUERIES | corpus.QUERIES | evidence.QUERIES | text_queries.QUERIES | derived.QUERIES
+ORACLES: dict = relational.ORACLES | corpus.ORACLES | evidence.ORACLES | text_queries.ORACLES | derived.ORACLES
 FLAGSHIP = "r8_hybrid"

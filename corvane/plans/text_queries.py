@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import graph
-from corvane.plans.evidence import _relation, _table
+from corvane.plans.evidence import _relation, _table, checkpoint_folder
 from corvane.sources import readers
 
 _DUCK_FOLD = "regexp_replace(strip_accents(lower({x})), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')"
@@ -60,11 +60,7 @@ def st1_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g3_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp())
+    checkpoint_folder(spark)
     return graph.families(_relation(spark, sf_dir))
 
 

@@ -63,3 +63,8 @@ def advanced(watermarks: DataFrame, items: DataFrame, complete: DataFrame, time:
 def addressed(files: DataFrame, content: str = "content", extension: str = "bin") -> DataFrame:
     """Distinct contents under their address: sha256 and extension."""
     return files.withColumn("address", F.concat(F.sha2(content, 256), F.lit(f".{extension}"))).dropDuplicates(["address"])
+
+
+def discovered(spark: SparkSession, path: str, schema: str, keys: tuple[str, ...] = ("source", "external_id"), time: str = "published", overlap_hours: int = 48) -> DataFrame:
+    """A stream of captured discovery listings (JSON lines), each item once although listings overlap: repeats within the overlap are dropped, later ones come again as rediscoveries."""
+    return spark.readStream.schema(schema).json(path).withWatermark(time, f"{overlap_hours} hours").dropDuplicatesWithinWatermark(list(keys))
