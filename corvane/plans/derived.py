@@ -13,6 +13,7 @@ from corvane.plans.dialect import Duck, Spark
 from corvane.plans.evidence import _table
 from corvane.plans.relational import register
 from corvane.plans.views import with_views
+from corvane.sources import captures
 from corvane.streaming import ledger
 
 _SECTIONS = """SELECT CAST(r_regionkey AS BIGINT) AS document_id, CAST(r_regionkey AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent_id, CAST(r_regionkey AS BIGINT) AS ordinal FROM region
@@ -132,11 +133,17 @@ def p12_structured_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.structured_relations(payloads, kinds)
 
 
+def s1_json_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of a JSON source, one for each order, read into discovered documents."""
+    payload = """SELECT concat('{"success":true,"data":{"total":1,"items":[{"id":"', o_orderkey, '","docNum":" ', o_custkey, '/2024 ","title":"T","docType":{"name":"', o_orderstatus, '"},"issueDate":"', date_format(o_orderdate, 'yyyy-MM-dd'), 'T00:00:00"},{"title":"no id"}]}}') AS payload FROM orders"""
+    return captures.json_items(_sql(spark, sf_dir, payload), "vbpl").select("external_id", "number", "doc_type", "issued_at", captures.jurisdiction(F.col("source")).alias("jurisdiction"))
+
+
 def st3_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.replayed(ledger.actions_of(_table(spark, sf_dir, "events")))
 
 
-QUERIES = {f.__name__: f for f in (g1_preorder, g8_ancestors, p9_appendix_merge, r17_articles, g9_resolved, r21_related_hits, r11_family_collapse, x5_diacritic_free, x17_article_citation, x24_path_citation, x36_enacting_date, x28_placeholders, x37_title_match, x3_thai_clusters, x31_cleaned, s18_legacy_encoding, p7_trees, p8_dispatched, p11_mined_relations, p12_structured_relations, st3_state_machine)}
+QUERIES = {f.__name__: f for f in (g1_preorder, g8_ancestors, p9_appendix_merge, r17_articles, g9_resolved, r21_related_hits, r11_family_collapse, x5_diacritic_free, x17_article_citation, x24_path_citation, x36_enacting_date, x28_placeholders, x37_title_match, x3_thai_clusters, x31_cleaned, s18_legacy_encoding, p7_trees, p8_dispatched, p11_mined_relations, p12_structured_relations, s1_json_capture, st3_state_machine)}
 _WALK = f"""WITH RECURSIVE s AS ({_SECTIONS}), w AS (SELECT document_id, id, CAST(0 AS BIGINT) AS depth, lpad(CAST(ordinal AS VARCHAR), 8, '0') AS path, '' AS ancestors FROM s WHERE parent_id IS NULL
     UNION ALL SELECT s.document_id, s.id, w.depth + 1, w.path || '/' || lpad(CAST(s.ordinal AS VARCHAR), 8, '0'), CASE WHEN w.ancestors = '' THEN '' ELSE w.ancestors || '>' END || w.id FROM w JOIN s ON s.document_id = w.document_id AND s.parent_id = w.id)"""
 _D = Duck()
@@ -164,5 +171,6 @@ ORACLES = {
     "s18_legacy_encoding": "SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text FROM documents",
     "p7_trees": "SELECT doc_id, k AS ordinal, string_split(text, chr(10))[k] AS content, 'line-' || k AS path FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents WHERE text IS NOT NULL)",
     "p11_mined_relations": "SELECT doc_id, concat(100 + doc_id % 900, '/2020/ab') AS number, 'amends' AS relation, 'Article 3' AS target, length(substring(text, 1, 60)) + 27 AS start FROM documents WHERE text IS NOT NULL",
+    "s1_json_capture": "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, concat(o_custkey, '/2024') AS number, o_orderstatus AS doc_type, CAST(o_orderdate AS DATE) AS issued_at, 'vn' AS jurisdiction FROM orders",
     "p12_structured_relations": "SELECT event_id AS doc_id, concat(user_id, '/2024') AS number, CASE event_type WHEN 'view' THEN 'amends' WHEN 'click' THEN 'guides' ELSE event_type END AS relation, event_type = 'view' AS promoted FROM events WHERE event_id % 4 <> 0",
 }
