@@ -1,14 +1,18 @@
 """A log-bilinear language model, trained with noise-contrastive estimation, and scores of whole texts.
 
-Tokens are words (A-Z lower-cased) and one end for each text. The model predicts classes: the commonest words, the end,
-and 64 classes of all other words by their last bytes. From the four classes before, each with a vector, comes a
-predicted vector q = sum of c_i * Q[class_i]; the score of a class is q . R[class] + b[class]. A word of a tail class has
-there the share (c + 1) / (N_k + V_k + 1), with N_k tokens and V_k words in training; words never seen share the 1. So
-probabilities over known words and one unknown word for each class add up to one.
-
-Training runs where the data are: every partition makes one pass over its own training texts with noise shared by a
-batch, parameters are averaged by tokens, and that twice, each time over one half of the training texts. Scores come
-from batched matrix products, normalised over all classes.
+Tokens are words (A-Z lower-cased) and one end for each text. A text's next token is predicted in up to three steps,
+each a log-bilinear softmax of one predicted vector: its class (the commonest words, the end, and 64 classes of all
+other words by their last bytes); in a tail class, the group of GROUP words of the broadcast table, ordered by count, or
+the rest of the class; and in a group, the word. The predicted vector is q = sum of c_i * V[word_i] over the four words
+before, and the score of a choice is q . R[choice] + b[choice]. Every word of the table has a vector of its own as
+context (added to its class's) and as choice, so the model's vocabulary grows with the counted one, up to COMMON. A word
+of the rest has there the share (c + 1) / (N_k + V_k + 1), with N_k tokens and V_k words of the class's rest in training;
+words never seen share the 1. So probabilities over known words and one unknown word for each class add up to one.
+
+Training runs where the data are, by noise-contrastive estimation at each step: noise is shared by a batch for classes,
+and drawn within the class or group below. Training texts are dealt into about as many rounds as the square root of the
+number of partitions; in a round every task makes one pass over its texts, and parameters are averaged after it, so more
+data give more rounds. Scores come from batched matrix products, normalised over all choices of each step.
 
 Words are counted by 64-bit hashes. Counts of the words above a threshold, at most COMMON of them, go to all tasks; the
 others stay in a table, which the documents' rare words are joined with.
@@ -16,6 +20,7 @@ others stay in a table, which the documents' rare words are joined with.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +31,17 @@ from pyspark.sql import functions as F
 from corvane.llm.common import bucket, shared_dir, slices, written
 from corvane.llm.shingles import U, mix, word_hashes
 
-#: The most words whose counts are broadcast (16 bytes each).
+#: The most words whose counts are broadcast and that have vectors (16 and 132 bytes each).
 COMMON = 131_072
 #: Words with a class of their own, tail classes, dimensions of a vector, words of context.
 OWN, TAILS, SIZE, CONTEXT = 255, 64, 16, 4
 CLASSES = OWN + 1 + TAILS
 END = OWN
 BATCH, NOISE, RATE = 2048, 48, 0.1
+#: Words of a group, and draws of noise for each token within a class or group.
+GROUP, INNER_NOISE = 64, 4
+#: Where sums of squared gradients begin, for classes and for words and groups, which are seen more seldom.
+SQUARES, RARE_SQUARES = 1e-6, 1e-5
 
 
 def tail_of(h: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -95,14 +104,36 @@ def _counts(u: np.ndarray, t: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
 
 
 class Table:
-    """What tasks know of words: hashes in order, counts, classes of the commonest."""
+    """What tasks know of words: hashes in order, counts, classes of the commonest, groups of the others.
+
+    A word's id is its class if it has one of its own, else CLASSES + 1 and its place among the others by class, count
+    and hash. Words outside the table have their tail class as id. Choices within a tail class are numbered on, the
+    class's groups and then its rest.
+    """
 
-    def __init__(self, h: np.ndarray, c: np.ndarray):
+    def __init__(self, h: np.ndarray, c: np.ndarray, tail: np.ndarray):
         order = np.lexsort((h, -c))
-        own = np.full(len(h), -1, np.int64)
-        own[order[:OWN]] = np.arange(min(OWN, len(h)))
+        own, rest = order[:OWN], order[OWN:]
+        rest = rest[np.argsort(tail[rest], kind="stable")]
+        ids = np.empty(len(h), np.int64)
+        ids[own], ids[rest] = np.arange(len(own)), CLASSES + 1 + np.arange(len(rest))
         at = np.argsort(h)
-        self.h, self.c, self.own = h[at], c[at], own[at]
+        self.h, self.c, self.ids, self.words = h[at], c[at], ids[at], len(rest)
+        self.own_counts, self.counts = c[own], c[rest].astype(np.float64)
+        kinds = tail[rest].astype(np.int64)
+        n = np.bincount(kinds, minlength=TAILS)
+        first = np.cumsum(n) - n
+        groups = -(-n // GROUP)
+        self.n_choices = groups + 1
+        self.first_choice = np.cumsum(self.n_choices) - self.n_choices
+        self.choices = int(self.n_choices.sum())
+        place = np.arange(len(rest)) - first[kinds]
+        group = place // GROUP
+        self.first_word = first[kinds] + group * GROUP
+        self.n_words = np.minimum(GROUP, n[kinds] - group * GROUP)
+        self.in_class = np.bincount(kinds, self.counts, TAILS)
+        self.class_of = np.r_[np.arange(CLASSES + 1), OWN + 1 + kinds]
+        self.choice_of = np.r_[np.full(OWN + 1, -1), self.first_choice + groups, -1, self.first_choice[kinds] + group]
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each hash in the table, and whether it is there."""
@@ -111,20 +142,20 @@ class Table:
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
         return at, self.h[at] == h
 
-    def classes(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def identify(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, their places in the table, and whether they are there."""
         at, there = self.find(h)
-        own = np.where(there, self.own[at] if len(self.own) else -1, -1)
-        return np.where(own >= 0, own, OWN + 1 + tail), at, there
+        return np.where(there, self.ids[at] if len(self.ids) else -1, OWN + 1 + tail), at, there
 
 
-def sequence(classes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sequence(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts and targets of all tokens, ends put in; where each text's tokens begin. Before a text stands class CLASSES."""
     n = np.diff(at) + 1
     begin = np.r_[0, np.cumsum(n)]
     targets = np.full(begin[-1], END, np.int64)
     inside = np.ones(begin[-1], bool)
     inside[begin[1:] - 1] = False
-    targets[inside] = classes
+    targets[inside] = ids
     place = np.arange(begin[-1]) - np.repeat(begin[:-1], n)
     contexts = np.full((begin[-1], CONTEXT), CLASSES, np.int64)
     for k in range(CONTEXT):
@@ -134,60 +165,154 @@ def sequence(classes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Model:
-    """Parameters in one vector of 32-bit floats: R, Q, C, b."""
-
-    def __init__(self, flat: np.ndarray):
-        self.flat = flat
-        a = CLASSES * SIZE
-        b = a + (CLASSES + 1) * SIZE
-        c = b + CONTEXT * SIZE
-        self.r, self.q = flat[:a].reshape(CLASSES, SIZE), flat[a:b].reshape(CLASSES + 1, SIZE)
-        self.c, self.b = flat[b:c].reshape(CONTEXT, SIZE), flat[c:]
+    """Parameters in one vector of 32-bit floats: R, Q, C, b of classes; then, of the words in groups, vectors as context, as choice and b; R and b of choices in a class."""
+
+    def __init__(self, flat: np.ndarray, words: int = 0, choices: int = 0):
+        self.flat, self.words, self.choices = flat, words, choices
+        at = 0
+        for name, shape in (("r", (CLASSES, SIZE)), ("q", (CLASSES + 1, SIZE)), ("c", (CONTEXT, SIZE)), ("b", (CLASSES,)), ("wq", (words, SIZE)), ("wr", (words, SIZE)), ("wb", (words,)), ("gr", (choices, SIZE)), ("gb", (choices,))):
+            n = int(np.prod(shape))
+            setattr(self, name, flat[at : at + n].reshape(shape))
+            at += n
+            if name == "b":
+                self.dense = at
 
     @classmethod
-    def start(cls, share: np.ndarray) -> Model:
+    def start(cls, share: np.ndarray, table: Table | None = None, rest: np.ndarray | None = None) -> Model:
+        """Random vectors of classes, none of words, and b by shares: of the classes, and of what is in a class by `rest`, its N + V + 1 outside the table."""
         rng = np.random.default_rng(2)
         n = CLASSES * SIZE + (CLASSES + 1) * SIZE
-        return cls(np.concatenate([rng.normal(0, 0.1, n), np.full(CONTEXT * SIZE, 0.5), np.log(np.maximum(share, 1e-12))]).astype(np.float32))
-
-    def predict(self, contexts: np.ndarray) -> np.ndarray:
+        dense = np.concatenate([rng.normal(0, 0.1, n), np.full(CONTEXT * SIZE, 0.5), np.log(np.maximum(share, 1e-12))])
+        if table is None:
+            return cls(dense.astype(np.float32))
+        w, g = table.words, table.choices
+        model = cls(np.concatenate([dense, np.zeros(w * (2 * SIZE + 1) + g * (SIZE + 1))]).astype(np.float32), w, g)
+        choice, kind = table.choice_of[CLASSES + 1 :], np.repeat(np.arange(TAILS), table.n_choices)
+        total = np.bincount(choice, table.counts + 1, g)
+        model.wb[:] = np.log((table.counts + 1) / total[choice])
+        total[table.first_choice + table.n_choices - 1] = rest
+        model.gb[:] = np.log(total / np.bincount(kind, total, TAILS)[kind])
+        return model
+
+    def contexts(self, table: Table | None) -> np.ndarray:
+        """The context vectors of all ids."""
+        return self.q if table is None else np.concatenate([self.q, self.q[table.class_of[CLASSES + 1 :]] + self.wq])
+
+    def predict(self, vectors: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         q = np.zeros((len(contexts), SIZE), np.float32)
         for k in range(CONTEXT):
-            q += (self.q * self.c[k])[contexts[:, k]]
+            q += (vectors * self.c[k])[contexts[:, k]]
         return q
 
-    def log10(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """log10 of the normalised probability of every target."""
-        out = np.empty(len(targets))
-        for a in range(0, len(targets), 4096):
-            z = self.predict(contexts[a : a + 4096]) @ self.r.T
+    def log10(self, contexts: np.ndarray, targets: np.ndarray, table: Table | None = None) -> np.ndarray:
+        """log10 of the normalised probability of every target, by ids; of a class as a whole where the id is a tail class and there is no table, else of its rest."""
+        q = self.predict(self.contexts(table), contexts)
+        classes = targets if table is None else table.class_of[targets]
+        out = np.empty(len(q))
+        for a in range(0, len(q), 512):
+            z = q[a : a + 512] @ self.r.T
             z += self.b
             z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(z)), targets[a : a + 4096]]
+            own = z[np.arange(len(z)), classes[a : a + 512]]
             np.exp(z, out=z)
-            out[a : a + 4096] = own - np.log(z.sum(axis=1))
+            out[a : a + 512] = own - np.log(z.sum(axis=1))
+        if table is not None:
+            inner = np.flatnonzero(classes > OWN)
+            tail, choice = classes[inner] - OWN - 1, table.choice_of[targets[inner]]
+            out[inner] += _softmax(q[inner], choice, table.first_choice[tail], table.n_choices[tail], self.gr, self.gb)
+            inner = inner[targets[inner] > CLASSES]
+            word = targets[inner] - CLASSES - 1
+            out[inner] += _softmax(q[inner], word, table.first_word[word], table.n_words[word], self.wr, self.wb)
         return out / np.log(10)
 
-    def train(self, contexts: np.ndarray, targets: np.ndarray, share: np.ndarray, squares: np.ndarray, rng: np.random.Generator) -> None:
-        """A step of noise-contrastive estimation over a batch; noise by the classes' shares."""
+    def train(self, contexts: np.ndarray, targets: np.ndarray, share: np.ndarray, squares: Model, rng: np.random.Generator, table: Table) -> None:
+        """A step of noise-contrastive estimation over a batch; noise by the classes' shares, and evenly among the choices below."""
         n = len(targets)
+        rows, x = _compact(contexts, len(table.class_of))
+        first = int(np.searchsorted(rows, CLASSES + 1))
+        kinds, word_rows = table.class_of[rows], rows[first:] - CLASSES - 1
+        vectors = self.q[kinds]
+        vectors[first:] += self.wq[word_rows]
+        classes = table.class_of[targets]
         noise = rng.choice(CLASSES, NOISE, p=share)
         log_k = np.log(NOISE * np.maximum(share, 1e-12)).astype(np.float32)
-        q, rt, rn = self.predict(contexts), self.r[targets], self.r[noise]
-        d = 1 / (1 + np.exp(np.clip((q * rt).sum(axis=1) + self.b[targets] - log_k[targets], -30, 30)))
+        q, rt, rn = self.predict(vectors, x), self.r[classes], self.r[noise]
+        d = 1 / (1 + np.exp(np.clip((q * rt).sum(axis=1) + self.b[classes] - log_k[classes], -30, 30)))
         e = -1 / (1 + np.exp(-np.clip(q @ rn.T + self.b[noise] - log_k[noise], -30, 30)))
-        grad = Model(np.zeros_like(self.flat))
-        _scatter(grad.r, targets, d[:, None] * q)
+        grad = Model(np.zeros(self.dense, np.float32))
+        _scatter(grad.r, classes, d[:, None] * q)
         np.add.at(grad.r, noise, e.T @ q)
-        grad.b[:] = np.bincount(targets, d, CLASSES) + np.bincount(noise, e.sum(axis=0), CLASSES)
+        grad.b[:] = np.bincount(classes, d, CLASSES) + np.bincount(noise, e.sum(axis=0), CLASSES)
         dq = d[:, None] * rt + e @ rn
+        inner = np.flatnonzero(classes > OWN)
+        if len(inner):
+            tail, choice = classes[inner] - OWN - 1, table.choice_of[targets[inner]]
+            dq[inner] += _contrast(q[inner], choice, table.first_choice[tail], table.n_choices[tail], (self.gr, self.gb), (squares.gr, squares.gb), n, rng)
+            inner = inner[targets[inner] > CLASSES]
+        if len(inner):
+            word = targets[inner] - CLASSES - 1
+            dq[inner] += _contrast(q[inner], word, table.first_word[word], table.n_words[word], (self.wr, self.wb), (squares.wr, squares.wb), n, rng)
+        g = np.zeros_like(vectors)
+        _scatter(g, x.T.ravel(), (dq * self.c[:, None, :]).reshape(-1, SIZE))
         for k in range(CONTEXT):
-            x = contexts[:, k]
-            _scatter(grad.q, x, dq * self.c[k])
-            grad.c[k] = (dq * self.q[x]).sum(axis=0)
+            grad.c[k] = (dq * vectors[x[:, k]]).sum(axis=0)
+        _scatter(grad.q, kinds, g)
+        _step(self.wq, squares.wq, word_rows, g[first:] / n)
         g = grad.flat / n
-        squares += g * g
-        self.flat += RATE * g / np.sqrt(squares)
+        squares.flat[: self.dense] += g * g
+        self.flat[: self.dense] += RATE * g / np.sqrt(squares.flat[: self.dense])
+
+
+def _compact(ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and the place of each id among them."""
+    seen = np.zeros(most, bool)
+    seen[ids] = True
+    rows = np.flatnonzero(seen)
+    place = np.empty(most, np.int64)
+    place[rows] = np.arange(len(rows))
+    return rows, place[ids]
+
+
+def _step(values: np.ndarray, squares: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
+    s = squares[rows] + g * g
+    squares[rows] = s
+    values[rows] += (RATE * g / np.sqrt(s)).astype(np.float32)
+
+
+def _contrast(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndarray, values: tuple, squares: tuple, n: int, rng: np.random.Generator) -> np.ndarray:
+    """A step of noise-contrastive estimation for choices among `size` ones from `first` on; returns the gradients of q."""
+    r, b = values
+    noise = first[:, None] + (rng.random((len(q), INNER_NOISE), np.float32) * size[:, None]).astype(np.int64)
+    ids = np.concatenate([target[:, None], np.minimum(noise, (first + size - 1)[:, None])], axis=1)
+    rows, x = _compact(ids, len(b))
+    vectors = r[rows][x]
+    z = (vectors @ q[:, :, None])[:, :, 0] + b[ids] - np.log(INNER_NOISE / size).astype(np.float32)[:, None]
+    d = -1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    d[:, 0] += 1
+    d[size == 1] = 0
+    g = np.zeros((len(rows), SIZE), np.float32)
+    _scatter(g, x.ravel(), (d[:, :, None] * q[:, None, :]).reshape(-1, SIZE))
+    dq = (d[:, None, :] @ vectors)[:, 0]
+    _step(r, squares[0], rows, g / n)
+    _step(b, squares[1], rows, np.bincount(x.ravel(), d.ravel(), len(rows)) / n)
+    return dq
+
+
+def _softmax(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndarray, r: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log of the probability of each target among the `size` choices from `first` on; one matrix product for each set of choices."""
+    out = np.empty(len(q))
+    order = np.argsort(first, kind="stable")
+    q, target, first, size = q[order], target[order], first[order], size[order]
+    cuts = np.r_[0, np.flatnonzero(np.diff(first)) + 1, len(first)] if len(first) else np.zeros(1, np.int64)
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        f, n = int(first[a]), int(size[a])
+        y = q[a:z] @ r[f : f + n].T
+        y += b[f : f + n]
+        y -= y.max(axis=1, keepdims=True)
+        own = y[np.arange(z - a), target[a:z] - f]
+        np.exp(y, out=y)
+        out[order[a:z]] = own - np.log(y.sum(axis=1))
+    return out
 
 
 def _scatter(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -195,27 +320,38 @@ def _scatter(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     out += np.bincount(at, values.ravel(), out.size).reshape(out.shape).astype(np.float32)
 
 
-def _fit(batches: Iterator[pa.RecordBatch], start: np.ndarray, table: Table, share: np.ndarray) -> Iterator[pa.RecordBatch]:
-    model, squares, rng, seen = Model(start.copy()), np.full(len(start), 1e-6, np.float32), np.random.default_rng(3), 0
+_SUMS = "n bigint, p binary, s binary"
+
+
+def _sums_of(n: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], ["n", "p", "s"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch], start: np.ndarray, before: np.ndarray, table: Table, share: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Tokens seen, changes of all parameters as 16-bit floats, and the sums of squared gradients of the classes' parameters."""
+    model, squares, rng, seen = Model(start.copy(), table.words, table.choices), Model(np.full(len(start), RARE_SQUARES, np.float32), table.words, table.choices), np.random.default_rng(3), 0
+    squares.flat[: len(before)] = before
     for whole in batches:
         for b in slices(whole, "text"):
             h, tail, at = read(b.column(0))
-            contexts, targets, _ = sequence(table.classes(h, tail)[0], at)
+            contexts, targets, _ = sequence(table.identify(h, tail)[0], at)
             for a in range(0, len(targets), BATCH):
-                model.train(contexts[a : a + BATCH], targets[a : a + BATCH], share, squares, rng)
+                model.train(contexts[a : a + BATCH], targets[a : a + BATCH], share, squares, rng, table)
             seen += len(targets)
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(model.flat.astype(np.float64) * seen).tobytes()], pa.binary())], ["n", "p"])
+        yield _sums_of(seen, (model.flat - start).astype(np.float16), squares.flat[: len(before)])
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, total = 0, None
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Averages by tokens; a change over the tasks that changed the parameter, as a rare word is not met by all."""
+    n, total, weight, squares = 0, 0.0, 0.0, 0.0
     for b in batches:
-        for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(p)
-            n, total = n + k, x if total is None else total + x
+        for k, p, s in zip(*(b.column(i) for i in range(3)), strict=True):
+            k, x = k.as_py(), np.frombuffer(p.as_buffer(), np.float16).astype(np.float32)
+            n, squares = n + k, squares + np.frombuffer(s.as_buffer(), np.float32) * np.float32(k)
+            total, weight = total + x * np.float32(k), weight + np.where(x != 0, np.float32(k), np.float32(0))
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "p"])
+        yield _sums_of(n, (total / np.maximum(weight, 1)).astype(np.float16), squares / np.float32(n))
 
 
 _SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, times array<int>"
@@ -235,7 +371,8 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame
     training = d.where(F.col("fold") != held_out)
     counts = training.select("text").mapInArrow(_count, "h bigint, tail int, c bigint").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
     counts = written(counts, folder, "counts")
-    texts = training.count()
+    parts = [r["count"] for r in training.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    texts = sum(parts)
     # the least count that at most COMMON words reach
     steps = counts.groupBy(F.least("c", F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
     least, reached = (1 << 20) + 1, 0
@@ -246,41 +383,43 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame
     common = counts.where(F.col("c") >= least).toArrow() if reached else None
     h = common.column("h").to_numpy().view(U) if reached else np.zeros(0, U)
     c = common.column("c").to_numpy() if reached else np.zeros(0, np.int64)
-    table = Table(h, c)
-    own = set(table.h[table.own >= 0].view(np.int64).tolist())
+    table = Table(h, c, common.column("tail").to_numpy() if reached else np.zeros(0, np.int64))
     tails = np.zeros((2, TAILS))
-    for r in counts.where(~F.col("h").isin(list(own)) if own else F.lit(True)).groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+    for r in counts.where(F.col("c") < least).groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         tails[:, r.tail] = r.n, r.v
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = words + texts, kinds + (texts > 0)
-    share = np.concatenate([np.zeros(OWN), [texts], tails[0]])
-    share[table.own[table.own >= 0]] = table.c[table.own >= 0]
+    share = np.concatenate([np.zeros(OWN), [texts], tails[0] + table.in_class])
+    share[: len(table.own_counts)] = table.own_counts
     share = (share + 1e-3) / (share + 1e-3).sum()
-    flat = Model.start(share).flat
+    model = Model.start(share, table, tails.sum(axis=0) + 1)
+    flat, squares = model.flat, np.full(model.dense, SQUARES, np.float32)
     known = sc.broadcast(table)
-    for half in (0, 1):
-        part = training.where((F.col("fold") % 2) == half).select("text")
-        start = sc.broadcast(flat)
-        summed = part.mapInArrow(lambda b, s=start: _fit(b, s.value, known.value, share), "n bigint, p binary").repartition(16).mapInArrow(_added, "n bigint, p binary").collect()
-        if seen := sum(r.n for r in summed):
-            flat = (sum(np.frombuffer(r.p) for r in summed) / seen).astype(np.float32)
+    rounds = max(2, math.ceil(math.sqrt(len(parts))))
+    dealt = training.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).alias("round")) if texts else None
+    for k in range(rounds if texts else 0):
+        part = dealt.where(F.col("round") == k).select("text").coalesce(math.ceil(len(parts) / rounds))
+        start = sc.broadcast((flat, squares))
+        found = part.mapInArrow(lambda b, s=start: _fit(b, *s.value, known.value, share), _SUMS).repartition(1).mapInArrow(_averaged, _SUMS).collect()
+        for r in found:
+            flat, squares = flat + np.frombuffer(r.p, np.float16), np.frombuffer(r.s, np.float32)
+        start.destroy()
     final = sc.broadcast(flat)
     log_n = float(np.log10(n + v + 1))
     log_k = np.log10(tails.sum(axis=0) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, t = Model(final.value), known.value
+        t = known.value
+        model = Model(final.value, t.words, t.choices)
         log_c = np.log10(t.c + 1) if len(t.c) else np.zeros(1)
         for whole in batches:
             for b in slices(whole, "text"):
                 hashes, tail, at = read(b.column("text"))
-                classes, place, there = t.classes(hashes, tail)
-                contexts, targets, begin = sequence(classes, at)
-                lm = np.add.reduceat(model.log10(contexts, targets), begin[:-1])
+                ids, place, there = t.identify(hashes, tail)
+                contexts, targets, begin = sequence(ids, at)
+                lm = np.add.reduceat(model.log10(contexts, targets, t), begin[:-1])
                 plain = np.where(there, log_c[place], 0.0)
-                within = np.where(there & (classes > OWN), plain - log_k[tail], 0.0)
                 base = _sums(np.where(there, plain - log_n, 0.0), at) + np.log10(texts + 1) - log_n
-                lm = lm + _sums(within, at)
                 seen = _sums(there.astype(float), at) + (texts > 0)
                 rare, times = [], []
                 for a, z in zip(at[:-1], at[1:], strict=True):

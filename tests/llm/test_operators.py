@@ -105,6 +105,29 @@ def test_language_model_rare_words_and_normalisation(spark, monkeypatch):
     assert sum(10**x for x in p) == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_words_outside_the_commonest(spark):
+    """Words of one tail class are told apart by context, though none has a class of its own."""
+    rng = random.Random(5)
+    filler = [f"f{k}" for k in range(260)]
+    a, b = [f"a{k:02}zzz" for k in range(40)], [f"b{k:02}zzz" for k in range(40)]
+    texts = [" ".join([*rng.choices(filler, k=200), *(f"left left left {rng.choice(a)} right right right {rng.choice(b)}" for _ in range(20))]) for _ in range(600)]
+    tries = [f"{x} {x} {x} {w}" for w in (a[0], b[0]) for x in ("left", "right")]
+    got = {r.doc_id: r.score for r in language_model.score_texts(documents(spark, texts + tries)).collect()}
+    la, ra, lb, rb = (got[len(texts) + k] for k in range(4))
+    assert (la - ra) - (lb - rb) > 0.2  # by class and count alone, it is 0
+
+
+def test_language_model_steps_add_up():
+    rng = np.random.default_rng(6)
+    n = 900
+    table = language_model.Table(rng.permutation(n).astype(np.uint64), rng.integers(1, 50, n), rng.integers(0, language_model.TAILS - 1, n))
+    m = language_model.Model.start(np.full(language_model.CLASSES, 1 / language_model.CLASSES), table, np.ones(language_model.TAILS))
+    m.flat[:] = rng.normal(0, 0.3, len(m.flat))
+    ids = np.delete(np.arange(language_model.CLASSES + 1 + table.words), language_model.CLASSES)
+    p = m.log10(np.tile([1, language_model.CLASSES + 7, 300, language_model.CLASSES], (len(ids), 1)), ids, table)
+    assert table.words == n - language_model.OWN and sum(10**p) == pytest.approx(1, abs=1e-4)
+
+
 # decontamination
 
 
