@@ -3,7 +3,8 @@
 Base patterns find assigned secrets (`assign`), access keys (`access`) and long hex strings (`hex`). The method adds
 what decodes into a known structure: signed tokens whose first part is a JSON header with an algorithm (`jwt`), and
 base64 or hex whose bytes are a private key: DER with nested lengths that fit exactly (`der`), or the binary format of
-OpenSSH with its length-prefixed fields (`openssh`). Base64 may run over several lines, as between PEM marks.
+OpenSSH with its length-prefixed fields (`openssh`). A key may begin anywhere, also within a longer run of letters, and
+run over several lines, broken by line ends or by escaped ones as in JSON; its own lengths say where it ends.
 """
 
 from __future__ import annotations
@@ -29,17 +30,21 @@ _ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-_BASE64 = re.compile(
-    r"[A-Za-z0-9+/]{40,}+(?![_-])(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/]{16,}+(?![_-]))*(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/]{1,15}+(?![A-Za-z0-9+/_-]))?={0,2}"
-    r"|[A-Za-z0-9_-]{40,}+(?![+/])={0,2}"
-)
-_ANY_HEX = re.compile(r"(?:[0-9a-fA-F]{2}){24,}")
-_BLANKS = re.compile(r"\s+")
+#: Alphabets of encoded keys; what may stand between two pieces: a line end, real or escaped, or the backslash of "\/".
+_BASE64, _URL_BASE64, _ANY_HEX = (re.compile(f"[{x}]+") for x in ("A-Za-z0-9+/", "A-Za-z0-9_-", "0-9a-fA-F"))
+_BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*|\\+(?=/)")
+#: Where keys may begin: DER with the byte 0x30 and a length, so in base64 with M and A to I; OpenSSH with its magic.
+_STARTS = (re.compile(r"M(?=[A-I][A-Za-z0-9+/_-]{6})"), re.compile("b3BlbnNz"), re.compile("30(?=[0-8][0-9a-fA-F]{5})"), re.compile("6[fF]70656[eE]7373"))
 #: Object identifiers of private-key algorithms (RSA, EC, Ed25519, Ed448, X25519, X448, DSA, DH).
 _KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b6571", "2b656e", "2b656f", "2a8648ce380401", "2a864886f70d010301")}
 #: Fixed value: object identifier of password-based encryption 2.
 _PBES2 = bytes.fromhex("2a864886f70d01050d")
 _OPENSSH = b"openssh-key-v1\0"
+_LENGTH = rb"(?:[\0-\x7f]|\x81.|\x82..)"
+#: How every key in DER begins: a version, or the name of the encryption. The longest such beginning has 19 bytes.
+_HEAD = re.compile(rb"\x30" + _LENGTH + rb"(?:\x02\x01[\0\1]|\x30" + _LENGTH + rb"\x06\x09" + re.escape(_PBES2) + rb")", re.DOTALL)
+#: The most bytes of a key: DER with a length of two bytes. It keeps the time in proportion to the text's length.
+_MOST = 4 + 0xFFFF
 
 
 def _fields(data: bytes) -> list[tuple[int, bytes]] | None:
@@ -87,25 +92,30 @@ def is_private_der(data: bytes) -> bool:
     return False
 
 
-def is_openssh(data: bytes) -> bool:
-    """Whether the bytes are a private-key file of OpenSSH: magic, cipher, kdf and options, key count, public and private parts."""
+def _openssh_end(data: bytes) -> int | None:
+    """Where the private-key file of OpenSSH at the beginning of the bytes ends: magic, cipher, kdf and options, key count, public and private parts."""
     if not data.startswith(_OPENSSH):
-        return False
+        return None
     at, parts = len(_OPENSSH), []
     for k in range(5):
         if k == 3:  # the number of keys stands between the kdf options and the public key
             if data[at : at + 4] != b"\0\0\0\1":
-                return False
+                return None
             at += 4
         if at + 4 > len(data):
-            return False
+            return None
         n = int.from_bytes(data[at : at + 4], "big")
         at += 4
         if at + n > len(data):
-            return False
+            return None
         parts.append(data[at : at + n])
         at += n
-    return at == len(data) and parts[0].isascii() and len(parts[0]) > 0 and len(parts[4]) >= 8 and len(parts[4]) % 8 == 0
+    return at if parts[0].isascii() and len(parts[0]) > 0 and len(parts[4]) >= 8 and len(parts[4]) % 8 == 0 else None
+
+
+def is_openssh(data: bytes) -> bool:
+    """Whether the bytes are a private-key file of OpenSSH and nothing more."""
+    return _openssh_end(data) == len(data)
 
 
 def is_signed_header(part: str) -> bool:
@@ -117,20 +127,45 @@ def is_signed_header(part: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
-def _decoded(found: str) -> bytes | None:
-    s = _BLANKS.sub("", found).rstrip("=").replace("-", "+").replace("_", "/")
-    try:
-        return base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
-    except (ValueError, binascii.Error):
-        return None
-
-
-def _key_kind(data: bytes | None) -> str | None:
-    if not data:
+def _taken(text: str, at: int, n: int, alphabet: re.Pattern[str]) -> tuple[str, int]:
+    """Up to n characters of an alphabet from `at` on, what breaks lines left out, and where they end."""
+    out = []
+    while m := alphabet.match(text, at, at + n):
+        out.append(m[0])
+        n, end = n - len(m[0]), m.end()
+        if not n or not (b := _BREAK.match(text, end)):
+            break
+        at = b.end()
+    return ("".join(out), end) if out else ("", at)
+
+
+def _bytes(text: str, at: int, n: int, alphabet: re.Pattern[str]) -> tuple[bytes, int]:
+    """Up to n bytes that are encoded from `at` on, and where their last character, or its padding, ends."""
+    if alphabet is _ANY_HEX:
+        s, end = _taken(text, at, 2 * n, alphabet)
+        return bytes.fromhex(s[: len(s) // 2 * 2]), end
+    s, end = _taken(text, at, -(-4 * n // 3), alphabet)
+    pad = -len(s) % 4
+    if pad == 3:  # a single character over holds no byte
+        s, pad = s[:-1], 0
+    data = base64.b64decode(s.replace("-", "+").replace("_", "/") + "=" * pad)
+    while pad and text[end : end + 1] == "=":
+        pad, end = pad - 1, end + 1
+    return data, end
+
+
+def _key_at(text: str, at: int, alphabet: re.Pattern[str]) -> tuple[str, int] | None:
+    """Kind and end of the private key that is encoded from `at` on."""
+    head = _bytes(text, at, 24, alphabet)[0]
+    if head.startswith(_OPENSSH):
+        n = _openssh_end(_bytes(text, at, _MOST, alphabet)[0])
+        return ("openssh", _bytes(text, at, n, alphabet)[1]) if n else None
+    if not _HEAD.match(head):
         return None
-    if data[0] == 0x30:
-        return "der" if is_private_der(data) else None
-    return "openssh" if data[:1] == b"o" and is_openssh(data) else None
+    size = head[1] & 127 if head[1] & 128 else 0
+    n = 2 + size + (int.from_bytes(head[2 : 2 + size], "big") if size else head[1])
+    data, end = _bytes(text, at, n, alphabet)
+    return ("der", end) if len(data) == n and is_private_der(data) else None
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -150,18 +185,15 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     out = []
     if "ey" in text or "ew" in text:
         out += [(m.start(), "jwt", m.end()) for m in _JWT.finditer(text) if is_signed_header(m[1])]
-    for m in _BASE64.finditer(text):
-        found = m[0]
-        # DER begins with the byte 0x30 and a length, so its base64 with M; OpenSSH's magic with b3Bl
-        if found[0] == "M" or found.startswith("b3Bl"):
-            if kind := _key_kind(_decoded(found)):
-                out.append((m.start(), kind, m.end()))
-            elif (end := re.search(r"\s", found)) and (kind := _key_kind(_decoded(found[: end.start()]))):
-                out.append((m.start(), kind, m.start() + end.start()))
-        if found[:2] == "30" or found[:4] == "6f70":
-            for h in _ANY_HEX.finditer(found):
-                if kind := _key_kind(bytes.fromhex(h[0])):
-                    out.append((m.start() + h.start(), kind, m.start() + h.end()))
+    for k, start in enumerate(_STARTS):
+        alphabets, at = (_BASE64, _URL_BASE64) if k < 2 else (_ANY_HEX,), 0
+        while m := start.search(text, at):
+            at = m.start() + 1
+            for alphabet in alphabets:
+                if found := _key_at(text, m.start(), alphabet):
+                    out.append((m.start(), *found))
+                    at = found[1]
+                    break
     return out
 
 

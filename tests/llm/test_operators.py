@@ -71,6 +71,36 @@ def test_secrets(spark):
         assert (r.text is None) == (texts[r.doc_id] is None) and not plain_base(r.text) and (r.text is None or r.n_chars == len(r.text))
 
 
+def test_secrets_wherever_they_begin(spark):
+    url = base64.urlsafe_b64encode(RSA[:-1] + b"\xff").decode()
+    keys = {"der": base64.b64encode(RSA).decode(), "openssh": base64.b64encode(SSH).decode()}
+    cases = []
+    for kind, key in keys.items():
+        lines = [key[a : a + 64] for a in range(0, len(key), 64)]
+        bare = [x.rstrip("=") for x in lines]
+        for before, body, after in (
+            ("-----BEGIN KEY-----\\n", "\\n".join(lines), "\\n-----END KEY-----\\n"),
+            ('{"k": "KEY-----\\r\\n', "\\r\\n".join(lines), '\\r\\n-----END"}'),
+            ("\\\\n", "\\\\n".join(lines), "\\\\n"),
+            ("key/", key, " x"),
+            ("word", key, ""),
+            ("see MIIabc/MAIN", key, ","),
+            ("", "\n".join(bare), "\nand so on"),
+            ("é ", "\r\n".join(bare), "\r\nshort\r\nlines of text"),
+            ("", key.replace("/", "\\/"), '"'),
+        ):
+            cases.append((before, body, after, kind))
+    for kind, data in (("der", RSA), ("der", PKCS8), ("openssh", SSH)):
+        cases += [("0x", data.hex(), " ", kind), ("0X", data.hex().upper(), "", kind), ("abc", data.hex().upper(), "zz", kind)]
+    cases.append(("u=", url, "&", "der"))
+    cases += [("", base64.b64encode(RSA[:-1]).decode(), "", None), ("key/", base64.b64encode(RSA[:200]).decode(), "", None), ("0x", SSH[:-1].hex(), "", None), ("", "MII" * 3000, "", None), ("", "M" * 3000, "", None)]
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(documents(spark, [a + b + c for a, b, c, _ in cases])).collect()}
+    for i, (a, b, _, kind) in enumerate(cases):
+        found = [x for x in got[i].spans.split(",") if x.startswith(("der", "openssh"))]
+        assert found == ([f"{kind}:{len(a)}:{len(a + b)}"] if kind else []), (i, cases[i])
+        assert got[i].n_confirmed == len(found)
+
+
 # language model
 
 
