@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from corvane.llm.common import shared_dir, utf8
+from corvane.llm.common import shared_dir, utf8, written
 
 #: A digest is dealt with apart if its rows are more than one in this many; there can't be more such digests than that.
 HOT = 1000
@@ -37,6 +37,11 @@ def record_id(kind: int, page_id: int | None, task: int, row: int) -> str:
     return "<urn:uuid:" + str(uuid.UUID(int=x >> 74 << 80 | 8 << 76 | (x >> 62 & 0xFFF) << 64 | 2 << 62 | x & ((1 << 62) - 1))) + ">"
 
 
+def _task_row(place: int) -> tuple[int, int]:
+    """Task and row of a value of monotonically_increasing_id()."""
+    return place >> 33, place & (1 << 33) - 1
+
+
 def page_of(record: str) -> int | None:
     """The page_id in a record identifier."""
     u = uuid.UUID(record[10:-1]).int
@@ -59,17 +64,16 @@ def _record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def _capture(page_id: int | None, url: str | None, payload: bytes, least: int | None, task: int, row: int) -> list[bytes]:
-    """The records of a page; least: the page whose response has the same payload, if that is another one."""
-    own, asked, about = (record_id(k, page_id, task, row) for k in range(3))
+def _capture(page_id: int | None, url: str | None, payload: bytes, place: int, least: int | None, first_place: int | None) -> list[bytes]:
+    """The records of a page; least, first_place: the page whose response has the same payload, if that is another one, and its place."""
+    own, asked, about = (record_id(k, page_id, *_task_row(place)) for k in range(3))
     target, digest = _target(url), "sha1:" + digest_of(payload)
     common = [("WARC-Date", _DATE), ("WARC-Target-URI", target)]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if least is None:
         main = _record("response", [("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", digest), ("Content-Type", "application/http;msgtype=response")], http + payload)
     else:
-        # the first response's place in its task is unknown here; its page_id is what identifies it
-        first = record_id(0, least, 0, 0)
+        first = record_id(0, least, *_task_row(first_place))
         main = _record("revisit", [("WARC-Record-ID", own), *common, ("WARC-Profile", _PROFILE), ("WARC-Refers-To", first), ("WARC-Payload-Digest", digest), ("WARC-Truncated", "length"), ("Content-Type", "application/http;msgtype=response")], http)
     host, _, path = target.partition("://")[2].partition("/")
     request = _record("request", [("WARC-Record-ID", asked), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")], f"GET /{path.partition('#')[0]} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode())
@@ -78,25 +82,25 @@ def _capture(page_id: int | None, url: str | None, payload: bytes, least: int |
 
 
 def with_first(pages: DataFrame, folder: str) -> DataFrame:
-    """(page_id, url, html, least): least is the smallest page_id with the same payload, where that is another page.
+    """(page_id, url, html, place, least, first_place): least is the smallest page_id with the same payload, where that is another page.
 
-    Payloads meet by their digest. Few digests may have many rows: those above a thousandth of all rows, a thousand at
-    most, are broadcast, so that no task gets more than that of one digest.
+    Each row has a place of its own, written with it so that it holds for all later steps; first_place is that of the
+    first row of `least` with the payload. Payloads meet by their digest. Few digests may have many rows: those above a
+    thousandth of all rows, a thousand at most, are broadcast, so that no task gets more than that of one digest.
     """
     p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    counted = p.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
-    repeated = counted.where("n > 1").write
-    repeated.mode("overwrite").parquet(f"{folder}/repeated")
-    repeated = pages.sparkSession.read.schema("digest string, least bigint, n bigint").parquet(f"{folder}/repeated")
-    total = pages.count()
-    hot = repeated.where(F.col("n") * HOT > total).select(F.col("digest").alias("hot"), F.col("least").alias("hot_least"))
-    rest = repeated.where(F.col("n") * HOT <= total).select(F.col("digest").alias("rest"), F.col("least").alias("rest_least"))
-    p = p.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left")
-    key = F.when(F.col("hot").isNotNull(), F.concat_ws(":", "digest", F.monotonically_increasing_id())).otherwise(F.col("digest"))
-    p = p.withColumn("key", key).join(rest, F.col("key") == F.col("rest"), "left")
+    p = written(p.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("place", F.monotonically_increasing_id()), folder, "placed")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "place")))
+    counted = p.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n"))
+    repeated = written(counted.where("n > 1").select("digest", F.col("first.page_id").alias("least"), F.col("first.place").alias("first_place"), "n"), folder, "repeated")
+    total = p.count()
+    hot, rest = (repeated.where(c).select(*(F.col(x).alias(f"{name}_{x}") for x in ("digest", "least", "first_place"))) for name, c in (("hot", F.col("n") * HOT > total), ("rest", F.col("n") * HOT <= total)))
+    p = p.join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
+    key = F.when(F.col("hot_digest").isNotNull(), F.concat_ws(":", "digest", "place")).otherwise(F.col("digest"))
+    p = p.withColumn("key", key).join(rest, F.col("key") == F.col("rest_digest"), "left")
     least = F.coalesce("hot_least", "rest_least")
-    return p.select("page_id", "url", "html", F.when(least.isNotNull() & ~F.col("page_id").eqNullSafe(least), least).alias("least"))
+    other = least.isNotNull() & ~F.col("page_id").eqNullSafe(least)
+    return p.select("page_id", "url", "html", "place", F.when(other, least).alias("least"), F.when(other, F.coalesce("hot_first_place", "rest_first_place")).alias("first_place"))
 
 
 _MANIFEST = "task int, path string, records bigint"
@@ -112,9 +116,9 @@ def write_archives(pages: DataFrame, folder: str, level: int = 1) -> list:
         fs, path = pafs.FileSystem.from_uri(f"{folder}/part-{task:06d}.warc.gz")
         part, stream, row = f"{path}.{uuid.uuid4().hex}", None, 0
         for b in batches:
-            for page, url, payload, least in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), b.column(3).to_pylist(), strict=True):
+            for page, url, payload, *places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), *(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
                 stream = stream or fs.open_output_stream(part)
-                for record in _capture(page, url, payload, least, task, row):
+                for record in _capture(page, url, payload, *places):
                     z = zlib.compressobj(level, zlib.DEFLATED, 31)
                     stream.write(z.compress(record) + z.flush())
                 row += 1

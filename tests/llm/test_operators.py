@@ -347,6 +347,18 @@ def test_warc_hot_payload(spark, monkeypatch):
     assert rows(got, "page_id", "refers_to") == sorted(((i, None if first[h] == i else first[h]) for i, _, h in pages), key=str)
 
 
+def test_warc_revisits_name_records_that_are_there(spark, monkeypatch):
+    pages = [(i % 50, f"http://h/{i}", "same" if i % 2 else f"page {i // 6}") for i in range(1, 90)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(4)
+    for hot in (3, 1000):
+        monkeypatch.setattr(warc, "HOT", hot)
+        c = warc.read_captures(spark, [m.path for m in warc.write_archives(df, shared_dir(spark))]).collect()
+        digests = {r.response.record: r.response.payload_digest for r in c if r.response.kind == "response"}
+        revisits = [r.response for r in c if r.response.kind == "revisit"]
+        assert len(c) == len(pages) and len(revisits) > 40
+        assert all(digests.get(r.refers_to) == r.payload_digest for r in revisits)
+
+
 # URLs
 
 
