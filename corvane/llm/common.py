@@ -61,15 +61,37 @@ def strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def text_ends(texts: pa.Array) -> np.ndarray:
+    """Where each text begins in the column's bytes, and the end; of columns with 32-bit or 64-bit offsets."""
+    if not len(texts):
+        return np.zeros(1, np.int64)
+    if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type):
+        kind = np.int64
+    elif pa.types.is_string(texts.type) or pa.types.is_binary(texts.type):
+        kind = np.int32
+    else:
+        raise TypeError(f"texts of type {texts.type}")
+    return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+
+
+def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows that add up to about `most`, one row at least."""
+    at, n = 0, len(ends) - 1
+    while at < n:
+        to = min(max(int(np.searchsorted(ends, ends[at] + most, side="left")), at + 1), n)
+        yield at, to
+        at = to
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts add up to about `most` bytes, so that arrays over bytes stay small."""
-    texts = batch.column(column)
-    if texts.type not in (pa.string(), pa.binary()):
-        raise TypeError(f"{column} has type {texts.type}")
-    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
-    at = 0
-    while at < len(texts):
-        to = int(np.searchsorted(ends, ends[at] + most, side="left"))
-        to = min(max(to, at + 1), len(texts))
-        yield batch.slice(at, to - at)
-        at = to
+    for a, z in _runs(text_ends(batch.column(column)), most):
+        yield batch.slice(a, z - a)
+
+
+def list_slices(column: pa.Array, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Values of a column of lists in runs of about `most`: (values, where each list begins and the end, first row, row behind the last)."""
+    ends = np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+    values = column.flatten().to_numpy()
+    for a, z in _runs(ends, most):
+        yield values[ends[a] : ends[z]], ends[a : z + 1] - ends[a], a, z

@@ -9,13 +9,15 @@ context (added to its class's) and as choice, so the model's vocabulary grows wi
 of the rest has there the share (c + 1) / (N_k + V_k + 1), with N_k tokens and V_k words of the class's rest in training;
 words never seen share the 1. So probabilities over known words and one unknown word for each class add up to one.
 
-Training runs where the data are, by noise-contrastive estimation at each step: noise is shared by a batch for classes,
-and drawn within the class or group below. Training texts are dealt into about as many rounds as the square root of the
-number of partitions; in a round every task makes one pass over its texts, and parameters are averaged after it, so more
-data give more rounds. Scores come from batched matrix products, normalised over all choices of each step.
-
-Words are counted by 64-bit hashes. Counts of the words above a threshold, at most COMMON of them, go to all tasks; the
-others stay in a table, which the documents' rare words are joined with.
+Every text is read twice: words are counted by 64-bit hashes, then written as ids. Counts of the words above a threshold,
+at most COMMON of them, go to all tasks; the others stay in a table, which the documents' rare words are joined with.
+
+Training is by noise-contrastive estimation at each step: noise is shared by a batch for classes, and drawn within the
+class or group below. Training texts are dealt by a hash into shards of about SHARD tokens, and those into about as many
+rounds as the square root of their number; each shard of a round makes one pass from the same start, and changes are
+averaged after it, so more data give more rounds. Shards, their order and their noise depend on the rows alone, so the
+model is the same however the input is partitioned. Scores come from batched matrix products, normalised over all choices
+of each step.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bucket, shared_dir, slices, written
+from corvane.llm.common import bucket, list_slices, shared_dir, slices, text_ends, written
 from corvane.llm.shingles import U, mix, word_hashes
 
 #: The most words whose counts are broadcast and that have vectors (16 and 132 bytes each).
@@ -40,6 +42,8 @@ END = OWN
 BATCH, NOISE, RATE = 2048, 48, 0.1
 #: Words of a group, and draws of noise for each token within a class or group.
 GROUP, INNER_NOISE = 64, 4
+#: Tokens of a shard, of an array of contexts; parts in which a shard's changes are averaged.
+SHARD, SLICE, CHUNKS = 1 << 20, 1 << 18, 16
 #: Where sums of squared gradients begin, for classes and for words and groups, which are seen more seldom.
 SQUARES, RARE_SQUARES = 1e-6, 1e-5
 
@@ -52,8 +56,7 @@ def tail_of(h: np.ndarray, last: np.ndarray) -> np.ndarray:
 def read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and tail class of every word, and where each text's words begin."""
     h, at = word_hashes(texts)
-    n = len(texts)
-    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    ends = text_ends(texts)
     if not len(h):
         return h, np.zeros(0, np.int64), at
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
@@ -320,41 +323,96 @@ def _scatter(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     out += np.bincount(at, values.ravel(), out.size).reshape(out.shape).astype(np.float32)
 
 
-_SUMS = "n bigint, p binary, s binary"
+_SUMS = "chunk int, shard bigint, n bigint, p binary, s binary"
+_CHANGES = [("chunk", pa.int32()), ("shard", pa.int64()), ("n", pa.int64()), ("p", pa.binary()), ("s", pa.binary())]
 
 
-def _sums_of(n: int, *arrays: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], ["n", "p", "s"])
+def _changes(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), _CHANGES, strict=True)], [n for n, _ in _CHANGES])
 
 
 def _fit(batches: Iterator[pa.RecordBatch], start: np.ndarray, before: np.ndarray, table: Table, share: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Tokens seen, changes of all parameters as 16-bit floats, and the sums of squared gradients of the classes' parameters."""
-    model, squares, rng, seen = Model(start.copy(), table.words, table.choices), Model(np.full(len(start), RARE_SQUARES, np.float32), table.words, table.choices), np.random.default_rng(3), 0
-    squares.flat[: len(before)] = before
+    """For each shard (shard, ids), whose rows stand together: tokens seen, changes of all parameters as 16-bit floats in CHUNKS parts, and the sums of squared gradients of the classes' parameters."""
+    shard, model, squares, rng, seen = None, None, None, None, 0
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if seen:
+            parts = np.array_split((model.flat - start).astype(np.float16), CHUNKS)
+            yield _changes([(k, shard, seen, x.tobytes(), squares.flat[: len(before)].tobytes() if k == 0 else b"") for k, x in enumerate(parts)])
+
     for whole in batches:
-        for b in slices(whole, "text"):
-            h, tail, at = read(b.column(0))
-            contexts, targets, _ = sequence(table.identify(h, tail)[0], at)
-            for a in range(0, len(targets), BATCH):
-                model.train(contexts[a : a + BATCH], targets[a : a + BATCH], share, squares, rng, table)
-            seen += len(targets)
-    if seen:
-        yield _sums_of(seen, (model.flat - start).astype(np.float16), squares.flat[: len(before)])
+        shards = whole.column(0).to_numpy()
+        cuts = np.r_[0, np.flatnonzero(np.diff(shards)) + 1, len(shards)]
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a == z:
+                continue
+            if shards[a] != shard:
+                yield from close()
+                shard, seen, rng = int(shards[a]), 0, np.random.default_rng((3, int(shards[a])))
+                model, squares = Model(start.copy(), table.words, table.choices), Model(np.full(len(start), RARE_SQUARES, np.float32), table.words, table.choices)
+                squares.flat[: len(before)] = before
+            for ids, at, _, _ in list_slices(whole.column(1).slice(a, z - a), SLICE):
+                contexts, targets, _ = sequence(ids, at)
+                for k in range(0, len(targets), BATCH):
+                    model.train(contexts[k : k + BATCH], targets[k : k + BATCH], share, squares, rng, table)
+                seen += len(targets)
+    yield from close()
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Averages by tokens; a change over the tasks that changed the parameter, as a rare word is not met by all."""
-    n, total, weight, squares = 0, 0.0, 0.0, 0.0
+    """Averages by tokens for each chunk, whose rows stand together; a change over the shards that changed the parameter, as a rare word is not met by all."""
+    chunk, n, total, weight, squares = None, 0, 0.0, 0.0, 0.0
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if n:
+            yield _changes([(chunk, 0, n, (total / np.maximum(weight, 1)).astype(np.float16).tobytes(), (squares / np.float32(n)).tobytes())])
+
     for b in batches:
-        for k, p, s in zip(*(b.column(i) for i in range(3)), strict=True):
+        for c, k, p, s in zip(*(b.column(i) for i in (0, 2, 3, 4)), strict=True):
+            if c.as_py() != chunk:
+                yield from close()
+                chunk, n, total, weight, squares = c.as_py(), 0, 0.0, 0.0, 0.0
             k, x = k.as_py(), np.frombuffer(p.as_buffer(), np.float16).astype(np.float32)
             n, squares = n + k, squares + np.frombuffer(s.as_buffer(), np.float32) * np.float32(k)
             total, weight = total + x * np.float32(k), weight + np.where(x != 0, np.float32(k), np.float32(0))
-    if n:
-        yield _sums_of(n, (total / np.maximum(weight, 1)).astype(np.float16), squares / np.float32(n))
+    yield from close()
 
 
-_SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<bigint>, times array<int>"
+_ENCODED = "row bigint, doc_id bigint, held_out boolean, order bigint, ids array<int>, rare array<bigint>, times array<bigint>"
+
+
+def _encode(batches: Iterator[pa.RecordBatch], table: Table) -> Iterator[pa.RecordBatch]:
+    """Ids of all words, and of words outside the table the hash, with how often it occurs and its tail class in one number."""
+    for whole in batches:
+        for b in slices(whole, "text"):
+            hashes, tail, at = read(b.column("text"))
+            ids, _, there = table.identify(hashes, tail)
+            out = np.flatnonzero(~there)
+            row = np.searchsorted(at, out, side="right") - 1
+            order = np.lexsort((hashes[out], row))
+            out, row = out[order], row[order]
+            first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(hashes[out]) != 0)]) if len(out) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[first, len(out)]) << 6 | tail[out[first]]
+            ends = np.searchsorted(row[first], np.arange(len(at)))
+            lists = [(at, ids.astype(np.int32)), (ends, hashes[out[first]].view(np.int64)), (ends, times.astype(np.int64))]
+            columns = [b.column(n) for n in ("row", "doc_id", "held_out", "order")] + [pa.ListArray.from_arrays(e.astype(np.int32), pa.array(x)) for e, x in lists]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _ENCODED.split(", ")])
+
+
+_SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def _dealt(encoded: DataFrame, folder: str, tokens: int) -> list[DataFrame]:
+    """The training rows (shard, ids) of each round, written as one folder, a file for each shard."""
+    shards = max(2, -(-tokens // SHARD))
+    rounds = math.ceil(math.sqrt(shards))
+    path = f"{folder}/dealt"
+    shard = F.pmod("order", F.lit(shards)).cast("int")
+    rows = encoded.where("not held_out").select((shard % rounds).alias("round"), shard.alias("shard"), "order", "ids")
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("round", "shard", "order")
+    rows.select("round", F.col("shard").cast("bigint").alias("shard"), "ids").write.partitionBy("round").parquet(path)
+    dealt = encoded.sparkSession.read.schema("shard bigint, ids array<int>, round int").parquet(path)
+    return [dealt.where(F.col("round") == k).select("shard", "ids") for k in range(rounds)]
 
 
 def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
@@ -363,16 +421,17 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame
     Rows whose crc32(doc_id as text) modulo `folds` is `held_out` are scored but not learned from; a null doc_id counts
     as 0. base_score adds log10((c + 1) / (N + V + 1)) of all tokens; score is the model's log10 probability of the
     text. A null or empty text is an end alone. Without training texts c, N and V are 0, and the model is the uniform
-    one that it starts from. Repeated rows get equal results; other columns are ignored.
+    one that it starts from. Repeated rows get equal results, words of equal count are told apart by their hashes; texts
+    of any length are scored whole, their ids held at once (12 bytes a word); other columns are ignored. Results don't
+    depend on how docs is partitioned, but for the rounding of sums.
     """
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     sc = spark.sparkContext
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), bucket("doc_id", folds).alias("fold"))
-    training = d.where(F.col("fold") != held_out)
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (bucket("doc_id", folds) == held_out).alias("held_out"))
+    training = d.where("not held_out")
     counts = training.select("text").mapInArrow(_count, "h bigint, tail int, c bigint").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
     counts = written(counts, folder, "counts")
-    parts = [r["count"] for r in training.groupBy(F.spark_partition_id().alias("part")).count().collect()]
-    texts = sum(parts)
+    texts = training.count()
     # the least count that at most COMMON words reach
     steps = counts.groupBy(F.least("c", F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
     least, reached = (1 << 20) + 1, 0
@@ -395,14 +454,15 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame
     model = Model.start(share, table, tails.sum(axis=0) + 1)
     flat, squares = model.flat, np.full(model.dense, SQUARES, np.float32)
     known = sc.broadcast(table)
-    rounds = max(2, math.ceil(math.sqrt(len(parts))))
-    dealt = training.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).alias("round")) if texts else None
-    for k in range(rounds if texts else 0):
-        part = dealt.where(F.col("round") == k).select("text").coalesce(math.ceil(len(parts) / rounds))
+    rows = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", F.xxhash64("doc_id", "text").alias("order"), "text")
+    encoded = written(rows.mapInArrow(lambda b: _encode(b, known.value), _ENCODED), folder, "encoded")
+    for part in _dealt(encoded, folder, int(n)) if texts else []:
         start = sc.broadcast((flat, squares))
-        found = part.mapInArrow(lambda b, s=start: _fit(b, *s.value, known.value, share), _SUMS).repartition(1).mapInArrow(_averaged, _SUMS).collect()
-        for r in found:
-            flat, squares = flat + np.frombuffer(r.p, np.float16), np.frombuffer(r.s, np.float32)
+        changes = part.mapInArrow(lambda b, s=start: _fit(b, *s.value, known.value, share), _SUMS)
+        found = changes.repartitionById(CHUNKS, F.col("chunk")).sortWithinPartitions("chunk", "shard").mapInArrow(_averaged, _SUMS).collect()
+        if found:
+            found.sort(key=lambda r: r.chunk)
+            flat, squares = flat + np.concatenate([np.frombuffer(r.p, np.float16) for r in found]), np.frombuffer(found[0].s, np.float32)
         start.destroy()
     final = sc.broadcast(flat)
     log_n = float(np.log10(n + v + 1))
@@ -411,32 +471,22 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = known.value
         model = Model(final.value, t.words, t.choices)
-        log_c = np.log10(t.c + 1) if len(t.c) else np.zeros(1)
-        for whole in batches:
-            for b in slices(whole, "text"):
-                hashes, tail, at = read(b.column("text"))
-                ids, place, there = t.identify(hashes, tail)
+        # what a word adds to base_score; words outside the table are dealt with apart
+        plain = np.full(len(t.class_of), 0.0)
+        plain[: len(t.own_counts)] = np.log10(t.own_counts + 1) - log_n
+        plain[CLASSES + 1 :] = np.log10(t.counts + 1) - log_n
+        there = plain < 0
+        for b in batches:
+            for ids, at, a, z in list_slices(b.column("ids"), SLICE):
                 contexts, targets, begin = sequence(ids, at)
                 lm = np.add.reduceat(model.log10(contexts, targets, t), begin[:-1])
-                plain = np.where(there, log_c[place], 0.0)
-                base = _sums(np.where(there, plain - log_n, 0.0), at) + np.log10(texts + 1) - log_n
-                seen = _sums(there.astype(float), at) + (texts > 0)
-                rare, times = [], []
-                for a, z in zip(at[:-1], at[1:], strict=True):
-                    out = np.flatnonzero(~there[a:z]) + a
-                    u, first, k = np.unique(hashes[out], return_index=True, return_counts=True)
-                    rare.append(u.view(np.int64))
-                    times.append((k << 6 | tail[out][first]).astype(np.int32))
-                ends = pa.array(np.r_[0, np.cumsum([len(x) for x in rare])].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (rare, times)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("row"), b.column("doc_id"), b.column("held_out"), pa.array(np.diff(at) + 1), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(lm), *lists],
-                    [x.split()[0] for x in _SCORED.split(", ")],
-                )
-
-    rows = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", (F.col("fold") == held_out).alias("held_out"), "text")
-    scored = written(rows.mapInArrow(run, _SCORED), folder, "scored")
-    each = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.shiftright("w.times", 6).alias("k"), F.col("w.times").bitwiseAND(63).alias("tail"))
+                base = _sums(plain[ids], at) + np.log10(texts + 1) - log_n
+                seen = np.diff(np.r_[0, np.cumsum(there[ids])][at]) + (texts > 0)
+                meta = [b.column(n).slice(a, z - a) for n in ("row", "doc_id", "held_out")]
+                yield pa.RecordBatch.from_arrays([*meta, *map(pa.array, (np.diff(at) + 1, seen.astype(np.int64), base, lm))], [x.split()[0] for x in _SCORED.split(", ")])
+
+    scored = encoded.select("row", "doc_id", "held_out", "ids").mapInArrow(run, _SCORED)
+    each = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.shiftright("w.times", 6).alias("k"), F.col("w.times").bitwiseAND(63).cast("int").alias("tail"))
     count = F.coalesce("c", F.lit(0))
     tail_log = F.element_at(F.array(*(F.lit(float(x)) for x in log_k)), F.col("tail") + 1)
     joined = each.join(counts.select("h", "c").where(F.col("c") < least), "h", "left")
@@ -446,7 +496,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame
         F.sum(F.col("k") * (F.log10(count + 1) - tail_log)).alias("more_score"),
     )
     zero = F.lit(0.0)
-    return scored.drop("rare", "times").join(more, "row", "left").select(
+    return scored.join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from corvane.llm.common import text_ends
+
 U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -39,7 +41,7 @@ def _pow(n: int) -> list[np.ndarray]:
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word of each text, letters A-Z lower-cased; where each text's words begin, and the end."""
     n = len(texts)
-    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    ends = text_ends(texts)
     raw = texts.buffers()[2]
     raw = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.zeros(0, np.uint8)
     ends = ends - ends[0]

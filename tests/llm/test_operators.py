@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -147,6 +148,36 @@ def test_language_model_words_outside_the_commonest(spark):
     assert (la - ra) - (lb - rb) > 0.2  # by class and count alone, it is 0
 
 
+def test_language_model_does_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = []
+    for n in (1, 8, 64):
+        got = {r.doc_id: r for r in language_model.score_texts(docs.repartition(n)).collect()}
+        found.append({i: r.score for i, r in got.items()})
+        out = [r for r in got.values() if r.held_out]
+        assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    for other in found[1:]:
+        assert all(x == pytest.approx(found[0][i], rel=1e-3) for i, x in other.items())
+
+
+def test_language_model_sums_of_shards():
+    """A task with several shards gives the changes of each, and averages weigh them by tokens."""
+    table = language_model.Table(np.arange(3).astype(np.uint64), np.array([5, 4, 3]), np.zeros(3, np.int64))
+    share = np.full(language_model.CLASSES, 1 / language_model.CLASSES)
+    start = language_model.Model.start(share, table, np.ones(language_model.TAILS))
+    squares = np.full(start.dense, 1e-6, np.float32)
+    rows = pa.RecordBatch.from_arrays([pa.array([0, 0, 4, 4, 4]), pa.array([[0, 1, 2], [], [1, 1], [2], [0] * 9], pa.list_(pa.int32()))], ["shard", "ids"])
+    parts = [list(language_model._fit(iter(x), start.flat, squares, table, share)) for x in ([rows], [rows.slice(0, 2)], [rows.slice(2)])]
+    assert [b.column(1)[0].as_py() for b in parts[0]] == [0, 4] and [b.column(2)[0].as_py() for b in parts[0]] == [5, 15]
+    assert parts[0] == parts[1] + parts[2]
+    both = sorted((r for b in parts[0] for r in b.to_pylist()), key=lambda r: (r["chunk"], r["shard"]))
+    averaged = pa.Table.from_batches(language_model._averaged(iter([pa.RecordBatch.from_pylist(both, parts[0][0].schema)]))).to_pylist()
+    assert [r["chunk"] for r in averaged] == list(range(language_model.CHUNKS))
+    one, two = (np.frombuffer(b.column(3)[0].as_py(), np.float16).astype(float) for b in parts[0])
+    weight = 5.0 * (one != 0) + 15.0 * (two != 0)
+    assert np.allclose(np.frombuffer(averaged[0]["p"], np.float16), (5 * one + 15 * two) / np.maximum(weight, 1), atol=1e-3)
+
+
 def test_language_model_steps_add_up():
     rng = np.random.default_rng(6)
     n = 900
