@@ -42,8 +42,8 @@ END = OWN
 BATCH, NOISE, RATE = 2048, 48, 0.1
 #: Words of a group, and draws of noise for each token within a class or group.
 GROUP, INNER_NOISE = 64, 4
-#: Tokens of a shard, of an array of contexts; parts in which a shard's changes are averaged.
-SHARD, SLICE, CHUNKS = 1 << 20, 1 << 18, 16
+#: Tokens of a shard, of an array of vectors; parts in which a shard's changes are averaged.
+SHARD, SLICE, CHUNKS = 1 << 20, 1 << 19, 16
 #: Where sums of squared gradients begin, for classes and for words and groups, which are seen more seldom.
 SQUARES, RARE_SQUARES = 1e-6, 1e-5
 
@@ -152,19 +152,16 @@ class Table:
 
 
 def sequence(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and targets of all tokens, ends put in; where each text's tokens begin. Before a text stands class CLASSES."""
+    """All texts in one row, CONTEXT ids CLASSES before each and an end behind; places of the tokens in it; where each text's tokens begin among them."""
     n = np.diff(at) + 1
     begin = np.r_[0, np.cumsum(n)]
-    targets = np.full(begin[-1], END, np.int64)
+    places = np.arange(begin[-1]) + CONTEXT * (1 + np.repeat(np.arange(len(n)), n))
+    row = np.full(begin[-1] + CONTEXT * len(n), CLASSES, np.int64)
     inside = np.ones(begin[-1], bool)
     inside[begin[1:] - 1] = False
-    targets[inside] = ids
-    place = np.arange(begin[-1]) - np.repeat(begin[:-1], n)
-    contexts = np.full((begin[-1], CONTEXT), CLASSES, np.int64)
-    for k in range(CONTEXT):
-        ok = np.flatnonzero(place > k)
-        contexts[ok, k] = targets[ok - k - 1]
-    return contexts, targets, begin
+    row[places[inside]] = ids
+    row[places[begin[1:] - 1]] = END
+    return row, places, begin
 
 
 class Model:
@@ -201,15 +198,17 @@ class Model:
         """The context vectors of all ids."""
         return self.q if table is None else np.concatenate([self.q, self.q[table.class_of[CLASSES + 1 :]] + self.wq])
 
-    def predict(self, vectors: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        q = np.zeros((len(contexts), SIZE), np.float32)
-        for k in range(CONTEXT):
-            q += (vectors * self.c[k])[contexts[:, k]]
+    def predict(self, vectors: np.ndarray) -> np.ndarray:
+        """Predictions for all places of a row but the first CONTEXT, from the vectors of the row's ids."""
+        n = len(vectors) - CONTEXT
+        q = vectors[CONTEXT - 1 : CONTEXT - 1 + n] * self.c[0]
+        for k in range(1, CONTEXT):
+            q += vectors[CONTEXT - 1 - k : CONTEXT - 1 - k + n] * self.c[k]
         return q
 
-    def log10(self, contexts: np.ndarray, targets: np.ndarray, table: Table | None = None) -> np.ndarray:
-        """log10 of the normalised probability of every target, by ids; of a class as a whole where the id is a tail class and there is no table, else of its rest."""
-        q = self.predict(self.contexts(table), contexts)
+    def log10(self, row: np.ndarray, places: np.ndarray, table: Table | None = None) -> np.ndarray:
+        """log10 of the normalised probability of the ids at some places of a row; of a class as a whole where the id is a tail class and there is no table, else of its rest."""
+        q, targets = self.predict(self.contexts(table).take(row, axis=0)).take(places - CONTEXT, axis=0), row[places]
         classes = targets if table is None else table.class_of[targets]
         out = np.empty(len(q))
         for a in range(0, len(q), 512):
@@ -228,20 +227,23 @@ class Model:
             out[inner] += _softmax(q[inner], word, table.first_word[word], table.n_words[word], self.wr, self.wb)
         return out / np.log(10)
 
-    def train(self, contexts: np.ndarray, targets: np.ndarray, share: np.ndarray, squares: Model, rng: np.random.Generator, table: Table) -> None:
-        """A step of noise-contrastive estimation over a batch; noise by the classes' shares, and evenly among the choices below."""
-        n = len(targets)
-        rows, x = _compact(contexts, len(table.class_of))
+    def train(self, row: np.ndarray, places: np.ndarray, share: np.ndarray, squares: Model, rng: np.random.Generator, table: Table) -> None:
+        """A step of noise-contrastive estimation over some places of a row; noise by the classes' shares, and evenly among the choices below."""
+        n = len(places)
+        row, places = row[places[0] - CONTEXT : places[-1] + 1], places - places[0]
+        targets = row[places + CONTEXT]
+        rows, x = _compact(row, len(table.class_of))
         first = int(np.searchsorted(rows, CLASSES + 1))
         kinds, word_rows = table.class_of[rows], rows[first:] - CLASSES - 1
-        vectors = self.q[kinds]
-        vectors[first:] += self.wq[word_rows]
+        vectors = self.q.take(kinds, axis=0)
+        vectors[first:] += self.wq.take(word_rows, axis=0)
+        vectors = vectors.take(x, axis=0)
         classes = table.class_of[targets]
         noise = rng.choice(CLASSES, NOISE, p=share)
         log_k = np.log(NOISE * np.maximum(share, 1e-12)).astype(np.float32)
-        q, rt, rn = self.predict(vectors, x), self.r[classes], self.r[noise]
-        d = 1 / (1 + np.exp(np.clip((q * rt).sum(axis=1) + self.b[classes] - log_k[classes], -30, 30)))
-        e = -1 / (1 + np.exp(-np.clip(q @ rn.T + self.b[noise] - log_k[noise], -30, 30)))
+        q, rt, rn = self.predict(vectors).take(places, axis=0), self.r.take(classes, axis=0), self.r[noise]
+        d = 1 / (1 + np.exp(np.clip(np.einsum("nd,nd->n", q, rt) + (self.b - log_k)[classes], -30, 30)))
+        e = -1 / (1 + np.exp(-np.clip(q @ rn.T + (self.b - log_k)[noise], -30, 30)))
         grad = Model(np.zeros(self.dense, np.float32))
         _scatter(grad.r, classes, d[:, None] * q)
         np.add.at(grad.r, noise, e.T @ q)
@@ -250,15 +252,20 @@ class Model:
         inner = np.flatnonzero(classes > OWN)
         if len(inner):
             tail, choice = classes[inner] - OWN - 1, table.choice_of[targets[inner]]
-            dq[inner] += _contrast(q[inner], choice, table.first_choice[tail], table.n_choices[tail], (self.gr, self.gb), (squares.gr, squares.gb), n, rng)
+            dq[inner] += _contrast(q.take(inner, axis=0), choice, table.first_choice[tail], table.n_choices[tail], (self.gr, self.gb), (squares.gr, squares.gb), n, rng)
             inner = inner[targets[inner] > CLASSES]
         if len(inner):
             word = targets[inner] - CLASSES - 1
-            dq[inner] += _contrast(q[inner], word, table.first_word[word], table.n_words[word], (self.wr, self.wb), (squares.wr, squares.wb), n, rng)
-        g = np.zeros_like(vectors)
-        _scatter(g, x.T.ravel(), (dq * self.c[:, None, :]).reshape(-1, SIZE))
+            dq[inner] += _contrast(q.take(inner, axis=0), word, table.first_word[word], table.n_words[word], (self.wr, self.wb), (squares.wr, squares.wb), n, rng)
+        back = np.zeros((len(row) - CONTEXT, SIZE), np.float32)
+        back[places] = dq
+        each, m = np.zeros_like(vectors), len(back)
         for k in range(CONTEXT):
-            grad.c[k] = (dq * vectors[x[:, k]]).sum(axis=0)
+            a = CONTEXT - 1 - k
+            each[a : a + m] += back * self.c[k]
+            grad.c[k] = np.einsum("nd,nd->d", back, vectors[a : a + m])
+        g = np.zeros((len(rows), SIZE), np.float32)
+        _scatter(g, x, each)
         _scatter(grad.q, kinds, g)
         _step(self.wq, squares.wq, word_rows, g[first:] / n)
         g = grad.flat / n
@@ -277,9 +284,9 @@ def _compact(ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _step(values: np.ndarray, squares: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
-    s = squares[rows] + g * g
+    s = squares.take(rows, axis=0) + g * g
     squares[rows] = s
-    values[rows] += (RATE * g / np.sqrt(s)).astype(np.float32)
+    values[rows] = values.take(rows, axis=0) + (RATE * g / np.sqrt(s)).astype(np.float32)
 
 
 def _contrast(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndarray, values: tuple, squares: tuple, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -288,14 +295,14 @@ def _contrast(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.nda
     noise = first[:, None] + (rng.random((len(q), INNER_NOISE), np.float32) * size[:, None]).astype(np.int64)
     ids = np.concatenate([target[:, None], np.minimum(noise, (first + size - 1)[:, None])], axis=1)
     rows, x = _compact(ids, len(b))
-    vectors = r[rows][x]
-    z = (vectors @ q[:, :, None])[:, :, 0] + b[ids] - np.log(INNER_NOISE / size).astype(np.float32)[:, None]
+    vectors = r.take(ids, axis=0)
+    z = np.einsum("nkd,nd->nk", vectors, q) + b[ids] - np.log(INNER_NOISE / size).astype(np.float32)[:, None]
     d = -1 / (1 + np.exp(-np.clip(z, -30, 30)))
     d[:, 0] += 1
     d[size == 1] = 0
     g = np.zeros((len(rows), SIZE), np.float32)
     _scatter(g, x.ravel(), (d[:, :, None] * q[:, None, :]).reshape(-1, SIZE))
-    dq = (d[:, None, :] @ vectors)[:, 0]
+    dq = np.einsum("nk,nkd->nd", d, vectors)
     _step(r, squares[0], rows, g / n)
     _step(b, squares[1], rows, np.bincount(x.ravel(), d.ravel(), len(rows)) / n)
     return dq
@@ -352,10 +359,10 @@ def _fit(batches: Iterator[pa.RecordBatch], start: np.ndarray, before: np.ndarra
                 model, squares = Model(start.copy(), table.words, table.choices), Model(np.full(len(start), RARE_SQUARES, np.float32), table.words, table.choices)
                 squares.flat[: len(before)] = before
             for ids, at, _, _ in list_slices(whole.column(1).slice(a, z - a), SLICE):
-                contexts, targets, _ = sequence(ids, at)
-                for k in range(0, len(targets), BATCH):
-                    model.train(contexts[k : k + BATCH], targets[k : k + BATCH], share, squares, rng, table)
-                seen += len(targets)
+                row, places, _ = sequence(ids, at)
+                for k in range(0, len(places), BATCH):
+                    model.train(row, places[k : k + BATCH], share, squares, rng, table)
+                seen += len(places)
     yield from close()
 
 
@@ -478,8 +485,8 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame
         there = plain < 0
         for b in batches:
             for ids, at, a, z in list_slices(b.column("ids"), SLICE):
-                contexts, targets, begin = sequence(ids, at)
-                lm = np.add.reduceat(model.log10(contexts, targets, t), begin[:-1])
+                row, places, begin = sequence(ids, at)
+                lm = np.add.reduceat(model.log10(row, places, t), begin[:-1])
                 base = _sums(plain[ids], at) + np.log10(texts + 1) - log_n
                 seen = np.diff(np.r_[0, np.cumsum(there[ids])][at]) + (texts > 0)
                 meta = [b.column(n).slice(a, z - a) for n in ("row", "doc_id", "held_out")]

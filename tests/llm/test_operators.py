@@ -132,7 +132,7 @@ def test_language_model_rare_words_and_normalisation(spark, monkeypatch):
         assert r.n_known == sum(c[x] > 0 for x in w)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
     m = language_model.Model.start(np.full(language_model.CLASSES, 1 / language_model.CLASSES))
-    p = [m.log10(np.array([[1, 2, 3, 4]]), np.array([k]))[0] for k in range(language_model.CLASSES)]
+    p = [m.log10(np.array([1, 2, 3, 4, k]), np.array([4]))[0] for k in range(language_model.CLASSES)]
     assert sum(10**x for x in p) == pytest.approx(1, abs=1e-4)
 
 
@@ -160,6 +160,19 @@ def test_language_model_does_not_depend_on_partitions(spark, sf_dir):
         assert all(x == pytest.approx(found[0][i], rel=1e-3) for i, x in other.items())
 
 
+def test_language_model_places():
+    """Before a text's first words stand marks, and predictions add up the vectors of the words before."""
+    row, places, begin = language_model.sequence(np.array([5, 6, 7]), np.array([0, 2, 2, 3]))
+    o, e = language_model.CLASSES, language_model.END
+    assert row.tolist() == [o, o, o, o, 5, 6, e, o, o, o, o, e, o, o, o, o, 7, e] and places.tolist() == [4, 5, 6, 11, 16, 17] and begin.tolist() == [0, 3, 4, 6]
+    rng = np.random.default_rng(3)
+    m = language_model.Model.start(np.full(language_model.CLASSES, 1 / language_model.CLASSES))
+    m.c[:] = rng.normal(size=m.c.shape)
+    v = rng.normal(size=(len(row), language_model.SIZE)).astype(np.float32)
+    plain = [sum(v[p - 1 - k] * m.c[k] for k in range(language_model.CONTEXT)) for p in range(language_model.CONTEXT, len(row))]
+    assert np.allclose(m.predict(v), plain, atol=1e-5)
+
+
 def test_language_model_sums_of_shards():
     """A task with several shards gives the changes of each, and averages weigh them by tokens."""
     table = language_model.Table(np.arange(3).astype(np.uint64), np.array([5, 4, 3]), np.zeros(3, np.int64))
@@ -185,8 +198,8 @@ def test_language_model_steps_add_up():
     m = language_model.Model.start(np.full(language_model.CLASSES, 1 / language_model.CLASSES), table, np.ones(language_model.TAILS))
     m.flat[:] = rng.normal(0, 0.3, len(m.flat))
     ids = np.delete(np.arange(language_model.CLASSES + 1 + table.words), language_model.CLASSES)
-    p = m.log10(np.tile([1, language_model.CLASSES + 7, 300, language_model.CLASSES], (len(ids), 1)), ids, table)
-    assert table.words == n - language_model.OWN and sum(10**p) == pytest.approx(1, abs=1e-4)
+    p = [m.log10(np.array([1, language_model.CLASSES + 7, 300, language_model.CLASSES, i]), np.array([4]), table)[0] for i in ids]
+    assert table.words == n - language_model.OWN and sum(10**x for x in p) == pytest.approx(1, abs=1e-4)
 
 
 # decontamination
