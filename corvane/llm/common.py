@@ -89,9 +89,10 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         yield batch.slice(a, z - a)
 
 
-def list_slices(column: pa.Array, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """Values of a column of lists in runs of about `most`: (values, where each list begins and the end, first row, row behind the last)."""
-    ends = np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
-    values = column.flatten().to_numpy()
+def number_slices(column: pa.Array, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """32-bit numbers of a binary column, in runs of rows with about `most`: (numbers, where each row begins and the end, first row, row behind the last)."""
+    ends = text_ends(column)
+    values = np.frombuffer(column.buffers()[2], "<i4", (ends[-1] - ends[0]) // 4, ends[0]) if ends[-1] > ends[0] else np.zeros(0, "<i4")
+    ends = (ends - ends[0]) // 4
     for a, z in _runs(ends, most):
         yield values[ends[a] : ends[z]], ends[a : z + 1] - ends[a], a, z

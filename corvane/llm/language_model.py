@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bucket, list_slices, shared_dir, slices, text_ends, written
+from corvane.llm.common import bucket, number_slices, shared_dir, slices, text_ends, written
 from corvane.llm.shingles import U, mix, word_hashes
 
 #: The most words whose counts are broadcast and that have vectors (16 and 132 bytes each).
@@ -45,7 +45,7 @@ GROUP, INNER_NOISE = 64, 4
 #: Tokens of a shard, of an array of vectors; parts in which a shard's changes are averaged.
 SHARD, SLICE, CHUNKS = 1 << 20, 1 << 19, 16
 #: Where sums of squared gradients begin, for classes and for words and groups, which are seen more seldom.
-SQUARES, RARE_SQUARES = 1e-6, 1e-5
+SQUARES, RARE_SQUARES = 1e-6, 1e-7
 
 
 def tail_of(h: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -211,23 +211,23 @@ class Model:
         q, targets = self.predict(self.contexts(table).take(row, axis=0)).take(places - CONTEXT, axis=0), row[places]
         classes = targets if table is None else table.class_of[targets]
         out = np.empty(len(q))
-        for a in range(0, len(q), 512):
-            z = q[a : a + 512] @ self.r.T
-            z += self.b
-            z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(z)), classes[a : a + 512]]
-            np.exp(z, out=z)
-            out[a : a + 512] = own - np.log(z.sum(axis=1))
+        q = np.concatenate([q, np.ones((len(q), 1), np.float32)], axis=1)
+        r, gr, wr = (np.concatenate([x, y[:, None]], axis=1) for x, y in ((self.r, self.b), (self.gr, self.gb), (self.wr, self.wb)))
+        longest = np.sqrt(np.einsum("nd,nd->n", q, q).max()) if len(q) else 0.0
+        safe = longest * max(np.sqrt(np.einsum("nd,nd->n", x, x).max()) for x in (r, gr, wr) if len(x)) < 80
+        r = np.ascontiguousarray(r.T)
+        for a in range(0, len(q), 256):
+            out[a : a + 256] = _log_share(q[a : a + 256] @ r, classes[a : a + 256], safe)
         if table is not None:
             inner = np.flatnonzero(classes > OWN)
             tail, choice = classes[inner] - OWN - 1, table.choice_of[targets[inner]]
-            out[inner] += _softmax(q[inner], choice, table.first_choice[tail], table.n_choices[tail], self.gr, self.gb)
+            out[inner] += _softmax(q.take(inner, axis=0), choice, table.first_choice[tail], table.n_choices[tail], gr, safe)
             inner = inner[targets[inner] > CLASSES]
             word = targets[inner] - CLASSES - 1
-            out[inner] += _softmax(q[inner], word, table.first_word[word], table.n_words[word], self.wr, self.wb)
+            out[inner] += _softmax(q.take(inner, axis=0), word, table.first_word[word], table.n_words[word], wr, safe)
         return out / np.log(10)
 
-    def train(self, row: np.ndarray, places: np.ndarray, share: np.ndarray, squares: Model, rng: np.random.Generator, table: Table) -> None:
+    def train(self, row: np.ndarray, places: np.ndarray, share: np.ndarray, squares: Squares, rng: np.random.Generator, table: Table) -> None:
         """A step of noise-contrastive estimation over some places of a row; noise by the classes' shares, and evenly among the choices below."""
         n = len(places)
         row, places = row[places[0] - CONTEXT : places[-1] + 1], places - places[0]
@@ -269,8 +269,16 @@ class Model:
         _scatter(grad.q, kinds, g)
         _step(self.wq, squares.wq, word_rows, g[first:] / n)
         g = grad.flat / n
-        squares.flat[: self.dense] += g * g
-        self.flat[: self.dense] += RATE * g / np.sqrt(squares.flat[: self.dense])
+        squares.flat += g * g
+        self.flat[: self.dense] += RATE * g / np.sqrt(squares.flat)
+
+
+class Squares:
+    """Sums of squared gradients: of every parameter of the classes, and the mean over a vector of each word's and choice's."""
+
+    def __init__(self, flat: np.ndarray, table: Table):
+        self.flat = flat
+        self.wq, self.wr, self.wb, self.gr, self.gb = (np.full(n, RARE_SQUARES, np.float32) for n in (table.words,) * 3 + (table.choices,) * 2)
 
 
 def _compact(ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,9 +292,10 @@ def _compact(ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _step(values: np.ndarray, squares: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
-    s = squares.take(rows, axis=0) + g * g
+    s = squares.take(rows) + (g * g if g.ndim == 1 else np.einsum("nd,nd->n", g, g) / np.float32(SIZE))
     squares[rows] = s
-    values[rows] = values.take(rows, axis=0) + (RATE * g / np.sqrt(s)).astype(np.float32)
+    rate = RATE / np.sqrt(s)
+    values[rows] = values.take(rows, axis=0) + (g * (rate if g.ndim == 1 else rate[:, None])).astype(np.float32)
 
 
 def _contrast(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndarray, values: tuple, squares: tuple, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -308,20 +317,26 @@ def _contrast(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.nda
     return dq
 
 
-def _softmax(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndarray, r: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _log_share(z: np.ndarray, target: np.ndarray, safe: bool) -> np.ndarray:
+    """log of each row's share of exp(z) at the target; z is overwritten. `safe`: no z is beyond 80, so that sums of exponentials fit in 32 bits as they are."""
+    if not safe:
+        z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(z)), target]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(axis=1))
+
+
+def _softmax(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndarray, r: np.ndarray, safe: bool) -> np.ndarray:
     """log of the probability of each target among the `size` choices from `first` on; one matrix product for each set of choices."""
     out = np.empty(len(q))
     order = np.argsort(first, kind="stable")
-    q, target, first, size = q[order], target[order], first[order], size[order]
+    q, target, first, size = q.take(order, axis=0), target[order], first[order], size[order]
     cuts = np.r_[0, np.flatnonzero(np.diff(first)) + 1, len(first)] if len(first) else np.zeros(1, np.int64)
     for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         f, n = int(first[a]), int(size[a])
-        y = q[a:z] @ r[f : f + n].T
-        y += b[f : f + n]
-        y -= y.max(axis=1, keepdims=True)
-        own = y[np.arange(z - a), target[a:z] - f]
-        np.exp(y, out=y)
-        out[order[a:z]] = own - np.log(y.sum(axis=1))
+        for k in range(a, z, 4096):
+            e = min(k + 4096, z)
+            out[order[k:e]] = _log_share(q[k:e] @ r[f : f + n].T, target[k:e] - f, safe)
     return out
 
 
@@ -345,7 +360,7 @@ def _fit(batches: Iterator[pa.RecordBatch], start: np.ndarray, before: np.ndarra
     def close() -> Iterator[pa.RecordBatch]:
         if seen:
             parts = np.array_split((model.flat - start).astype(np.float16), CHUNKS)
-            yield _changes([(k, shard, seen, x.tobytes(), squares.flat[: len(before)].tobytes() if k == 0 else b"") for k, x in enumerate(parts)])
+            yield _changes([(k, shard, seen, x.tobytes(), squares.flat.tobytes() if k == 0 else b"") for k, x in enumerate(parts)])
 
     for whole in batches:
         shards = whole.column(0).to_numpy()
@@ -356,9 +371,8 @@ def _fit(batches: Iterator[pa.RecordBatch], start: np.ndarray, before: np.ndarra
             if shards[a] != shard:
                 yield from close()
                 shard, seen, rng = int(shards[a]), 0, np.random.default_rng((3, int(shards[a])))
-                model, squares = Model(start.copy(), table.words, table.choices), Model(np.full(len(start), RARE_SQUARES, np.float32), table.words, table.choices)
-                squares.flat[: len(before)] = before
-            for ids, at, _, _ in list_slices(whole.column(1).slice(a, z - a), SLICE):
+                model, squares = Model(start.copy(), table.words, table.choices), Squares(before.copy(), table)
+            for ids, at, _, _ in number_slices(whole.column(1).slice(a, z - a), SLICE):
                 row, places, _ = sequence(ids, at)
                 for k in range(0, len(places), BATCH):
                     model.train(row, places[k : k + BATCH], share, squares, rng, table)
@@ -385,11 +399,11 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
-_ENCODED = "row bigint, doc_id bigint, held_out boolean, order bigint, ids array<int>, rare array<bigint>, times array<bigint>"
+_ENCODED = "row bigint, doc_id bigint, held_out boolean, order bigint, ids binary, rare array<bigint>, times array<bigint>"
 
 
 def _encode(batches: Iterator[pa.RecordBatch], table: Table) -> Iterator[pa.RecordBatch]:
-    """Ids of all words, and of words outside the table the hash, with how often it occurs and its tail class in one number."""
+    """Ids of all words, 4 bytes each, and of words outside the table the hash, with how often it occurs and its tail class in one number."""
     for whole in batches:
         for b in slices(whole, "text"):
             hashes, tail, at = read(b.column("text"))
@@ -401,8 +415,9 @@ def _encode(batches: Iterator[pa.RecordBatch], table: Table) -> Iterator[pa.Reco
             first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(hashes[out]) != 0)]) if len(out) else np.zeros(0, np.int64)
             times = np.diff(np.r_[first, len(out)]) << 6 | tail[out[first]]
             ends = np.searchsorted(row[first], np.arange(len(at)))
-            lists = [(at, ids.astype(np.int32)), (ends, hashes[out[first]].view(np.int64)), (ends, times.astype(np.int64))]
-            columns = [b.column(n) for n in ("row", "doc_id", "held_out", "order")] + [pa.ListArray.from_arrays(e.astype(np.int32), pa.array(x)) for e, x in lists]
+            lists = [(ends, hashes[out[first]].view(np.int64)), (ends, times.astype(np.int64))]
+            numbers = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(4 * at.astype(np.int64)), pa.py_buffer(ids.astype("<i4"))]).cast(pa.binary())
+            columns = [b.column(n) for n in ("row", "doc_id", "held_out", "order")] + [numbers] + [pa.ListArray.from_arrays(e.astype(np.int32), pa.array(x)) for e, x in lists]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _ENCODED.split(", ")])
 
 
@@ -418,7 +433,7 @@ def _dealt(encoded: DataFrame, folder: str, tokens: int) -> list[DataFrame]:
     rows = encoded.where("not held_out").select((shard % rounds).alias("round"), shard.alias("shard"), "order", "ids")
     rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("round", "shard", "order")
     rows.select("round", F.col("shard").cast("bigint").alias("shard"), "ids").write.partitionBy("round").parquet(path)
-    dealt = encoded.sparkSession.read.schema("shard bigint, ids array<int>, round int").parquet(path)
+    dealt = encoded.sparkSession.read.schema("shard bigint, ids binary, round int").parquet(path)
     return [dealt.where(F.col("round") == k).select("shard", "ids") for k in range(rounds)]
 
 
@@ -484,7 +499,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame
         plain[CLASSES + 1 :] = np.log10(t.counts + 1) - log_n
         there = plain < 0
         for b in batches:
-            for ids, at, a, z in list_slices(b.column("ids"), SLICE):
+            for ids, at, a, z in number_slices(b.column("ids"), SLICE):
                 row, places, begin = sequence(ids, at)
                 lm = np.add.reduceat(model.log10(row, places, t), begin[:-1])
                 base = _sums(plain[ids], at) + np.log10(texts + 1) - log_n

@@ -179,7 +179,7 @@ def test_language_model_sums_of_shards():
     share = np.full(language_model.CLASSES, 1 / language_model.CLASSES)
     start = language_model.Model.start(share, table, np.ones(language_model.TAILS))
     squares = np.full(start.dense, 1e-6, np.float32)
-    rows = pa.RecordBatch.from_arrays([pa.array([0, 0, 4, 4, 4]), pa.array([[0, 1, 2], [], [1, 1], [2], [0] * 9], pa.list_(pa.int32()))], ["shard", "ids"])
+    rows = pa.RecordBatch.from_arrays([pa.array([0, 0, 4, 4, 4]), pa.array([np.array(x, "<i4").tobytes() for x in ([0, 1, 2], [], [1, 1], [2], [0] * 9)], pa.binary())], ["shard", "ids"])
     parts = [list(language_model._fit(iter(x), start.flat, squares, table, share)) for x in ([rows], [rows.slice(0, 2)], [rows.slice(2)])]
     assert [b.column(1)[0].as_py() for b in parts[0]] == [0, 4] and [b.column(2)[0].as_py() for b in parts[0]] == [5, 15]
     assert parts[0] == parts[1] + parts[2]
