@@ -36,16 +36,18 @@ from corvane.llm.shingles import U, mix, word_hashes
 #: The most words whose counts are broadcast and that have vectors (16 and 132 bytes each).
 COMMON = 131_072
 #: Words with a class of their own, tail classes, dimensions of a vector, words of context.
-OWN, TAILS, SIZE, CONTEXT = 255, 64, 16, 4
+OWN, TAILS, SIZE, CONTEXT = 127, 64, 16, 4
 CLASSES = OWN + 1 + TAILS
 END = OWN
 BATCH, NOISE, RATE = 2048, 48, 0.1
+#: Bits of a hash that say where in the table it may be.
+PARTS = 19
 #: Words of a group, and draws of noise for each token within a class or group.
 GROUP, INNER_NOISE = 64, 4
 #: Tokens of a shard, of an array of vectors; parts in which a shard's changes are averaged.
-SHARD, SLICE, CHUNKS = 1 << 20, 1 << 19, 16
+SHARD, SLICE, CHUNKS = 1 << 20, 1 << 18, 16
 #: Where sums of squared gradients begin, for classes and for words and groups, which are seen more seldom.
-SQUARES, RARE_SQUARES = 1e-6, 1e-7
+SQUARES, RARE_SQUARES = 1e-6, 3e-8
 
 
 def tail_of(h: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -87,7 +89,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return u, t[first], np.bincount(inv, c, len(u)).astype(np.int64)
 
     for whole in batches:
-        for b in slices(whole, "text", 4 << 20):
+        for b in slices(whole, "text", 1 << 18):
             h, tail, _ = read(b.column(0))
             u, first, c = np.unique(h, return_index=True, return_counts=True)
             keys, tails, counts = [*keys, u], [*tails, tail[first]], [*counts, c]
@@ -122,6 +124,8 @@ class Table:
         ids[own], ids[rest] = np.arange(len(own)), CLASSES + 1 + np.arange(len(rest))
         at = np.argsort(h)
         self.h, self.c, self.ids, self.words = h[at], c[at], ids[at], len(rest)
+        self.starts = np.searchsorted(self.h, np.arange(1 << PARTS, dtype=U) << U(64 - PARTS))
+        self.starts = np.r_[self.starts, len(self.h)]
         self.own_counts, self.counts = c[own], c[rest].astype(np.float64)
         kinds = tail[rest].astype(np.int64)
         n = np.bincount(kinds, minlength=TAILS)
@@ -142,8 +146,15 @@ class Table:
         """Place of each hash in the table, and whether it is there."""
         if not len(self.h):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return at, self.h[at] == h
+        part = (h >> U(64 - PARTS)).astype(np.int64)
+        at = self.starts.take(part)
+        there = self.h.take(at, mode="clip") == h
+        # a part of the hashes' range that has several words
+        more = np.flatnonzero(~there & (self.starts.take(part + 1) > at + 1))
+        at[more] = np.searchsorted(self.h, h[more])
+        np.minimum(at, len(self.h) - 1, out=at)
+        there[more] = self.h[at[more]] == h[more]
+        return at, there
 
     def identify(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of words, their places in the table, and whether they are there."""
@@ -208,16 +219,18 @@ class Model:
 
     def log10(self, row: np.ndarray, places: np.ndarray, table: Table | None = None) -> np.ndarray:
         """log10 of the normalised probability of the ids at some places of a row; of a class as a whole where the id is a tail class and there is no table, else of its rest."""
-        q, targets = self.predict(self.contexts(table).take(row, axis=0)).take(places - CONTEXT, axis=0), row[places]
+        vectors, targets = self.contexts(table), row[places]
         classes = targets if table is None else table.class_of[targets]
-        out = np.empty(len(q))
-        q = np.concatenate([q, np.ones((len(q), 1), np.float32)], axis=1)
         r, gr, wr = (np.concatenate([x, y[:, None]], axis=1) for x, y in ((self.r, self.b), (self.gr, self.gb), (self.wr, self.wb)))
-        longest = np.sqrt(np.einsum("nd,nd->n", q, q).max()) if len(q) else 0.0
-        safe = longest * max(np.sqrt(np.einsum("nd,nd->n", x, x).max()) for x in (r, gr, wr) if len(x)) < 80
-        r = np.ascontiguousarray(r.T)
-        for a in range(0, len(q), 256):
-            out[a : a + 256] = _log_share(q[a : a + 256] @ r, classes[a : a + 256], safe)
+        longest = [np.sqrt(np.einsum("nd,nd->n", x, x).max(initial=0)) for x in (vectors, r, gr, wr)]
+        # a bound of all predictions times one of all choices
+        safe = (float(np.abs(self.c).max(axis=1).sum()) * longest[0] + 1) * max(longest[1:]) < 80
+        r, out, q = np.ascontiguousarray(r.T), np.empty(len(places)), np.ones((len(places), SIZE + 1), np.float32)
+        for a in range(0, len(places), 1024):  # short enough to stay in the processor's cache
+            here = places[a : a + 1024]
+            part = self.predict(vectors.take(row[here[0] - CONTEXT : here[-1] + 1], axis=0))
+            q[a : a + 1024, :SIZE] = part if len(part) == len(here) else part.take(here - here[0], axis=0)
+            out[a : a + 1024] = _log_share(q[a : a + 1024] @ r, classes[a : a + 1024], safe)
         if table is not None:
             inner = np.flatnonzero(classes > OWN)
             tail, choice = classes[inner] - OWN - 1, table.choice_of[targets[inner]]
@@ -323,7 +336,7 @@ def _log_share(z: np.ndarray, target: np.ndarray, safe: bool) -> np.ndarray:
         z -= z.max(axis=1, keepdims=True)
     own = z[np.arange(len(z)), target]
     np.exp(z, out=z)
-    return own - np.log(z.sum(axis=1))
+    return own - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
 def _softmax(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndarray, r: np.ndarray, safe: bool) -> np.ndarray:
@@ -405,7 +418,7 @@ _ENCODED = "row bigint, doc_id bigint, held_out boolean, order bigint, ids binar
 def _encode(batches: Iterator[pa.RecordBatch], table: Table) -> Iterator[pa.RecordBatch]:
     """Ids of all words, 4 bytes each, and of words outside the table the hash, with how often it occurs and its tail class in one number."""
     for whole in batches:
-        for b in slices(whole, "text"):
+        for b in slices(whole, "text", 1 << 18):
             hashes, tail, at = read(b.column("text"))
             ids, _, there = table.identify(hashes, tail)
             out = np.flatnonzero(~there)

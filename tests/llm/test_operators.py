@@ -160,6 +160,14 @@ def test_language_model_does_not_depend_on_partitions(spark, sf_dir):
         assert all(x == pytest.approx(found[0][i], rel=1e-3) for i, x in other.items())
 
 
+def test_language_model_table_finds_words():
+    rng = np.random.default_rng(8)
+    h = np.unique(np.r_[rng.integers(0, 2**64, 3000, np.uint64), rng.integers(0, 90, 40, np.uint64), np.uint64(2**64 - 1)])
+    t = language_model.Table(h[::2], np.ones(len(h[::2]), np.int64), np.zeros(len(h[::2]), np.int64))
+    at, there = t.find(h)
+    assert there.tolist() == np.isin(h, h[::2]).tolist() and (t.h[at[there]] == h[there]).all()
+
+
 def test_language_model_places():
     """Before a text's first words stand marks, and predictions add up the vectors of the words before."""
     row, places, begin = language_model.sequence(np.array([5, 6, 7]), np.array([0, 2, 2, 3]))
