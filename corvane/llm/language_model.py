@@ -258,7 +258,7 @@ class Model:
         d = 1 / (1 + np.exp(np.clip(np.einsum("nd,nd->n", q, rt) + (self.b - log_k)[classes], -30, 30)))
         e = -1 / (1 + np.exp(-np.clip(q @ rn.T + (self.b - log_k)[noise], -30, 30)))
         grad = Model(np.zeros(self.dense, np.float32))
-        _scatter(grad.r, classes, d[:, None] * q)
+        _scatter(grad.r, classes, d[:, None].astype(np.float32) * q)
         np.add.at(grad.r, noise, e.T @ q)
         grad.b[:] = np.bincount(classes, d, CLASSES) + np.bincount(noise, e.sum(axis=0), CLASSES)
         dq = d[:, None] * rt + e @ rn
@@ -323,7 +323,7 @@ def _contrast(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.nda
     d[:, 0] += 1
     d[size == 1] = 0
     g = np.zeros((len(rows), SIZE), np.float32)
-    _scatter(g, x.ravel(), (d[:, :, None] * q[:, None, :]).reshape(-1, SIZE))
+    _scatter(g, x.ravel(), d[:, :, None] * q[:, None, :])
     dq = np.einsum("nk,nkd->nd", d, vectors)
     _step(r, squares[0], rows, g / n)
     _step(b, squares[1], rows, np.bincount(x.ravel(), d.ravel(), len(rows)) / n)
@@ -353,9 +353,12 @@ def _softmax(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndar
     return out
 
 
+_PAIRS = np.arange(SIZE // 2)
+
+
 def _scatter(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    at = (rows[:, None] * SIZE + np.arange(SIZE)).ravel()
-    out += np.bincount(at, values.ravel(), out.size).reshape(out.shape).astype(np.float32)
+    """Adds values to rows of 32-bit floats, two at once as a complex number; rows may repeat."""
+    np.add.at(out.reshape(-1).view(np.complex64), (rows[:, None] * (SIZE // 2) + _PAIRS).ravel(), values.reshape(-1).view(np.complex64))
 
 
 _SUMS = "chunk int, shard bigint, n bigint, p binary, s binary"
