@@ -47,7 +47,7 @@ GROUP, INNER_NOISE = 64, 4
 #: Tokens of a shard, of an array of vectors; parts in which a shard's changes are averaged.
 SHARD, SLICE, CHUNKS = 1 << 20, 1 << 18, 16
 #: Where sums of squared gradients begin, for classes and for words and groups, which are seen more seldom.
-SQUARES, RARE_SQUARES = 1e-6, 3e-8
+SQUARES, RARE_SQUARES = 1e-6, 1e-8
 
 
 def tail_of(h: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -245,12 +245,10 @@ class Model:
         n = len(places)
         row, places = row[places[0] - CONTEXT : places[-1] + 1], places - places[0]
         targets = row[places + CONTEXT]
-        rows, x = _compact(row, len(table.class_of))
-        first = int(np.searchsorted(rows, CLASSES + 1))
-        kinds, word_rows = table.class_of[rows], rows[first:] - CLASSES - 1
+        kinds, words = table.class_of.take(row), np.flatnonzero(row > CLASSES)
+        word_rows = row[words] - CLASSES - 1
         vectors = self.q.take(kinds, axis=0)
-        vectors[first:] += self.wq.take(word_rows, axis=0)
-        vectors = vectors.take(x, axis=0)
+        vectors[words] += self.wq.take(word_rows, axis=0)
         classes = table.class_of[targets]
         noise = rng.choice(CLASSES, NOISE, p=share)
         log_k = np.log(NOISE * np.maximum(share, 1e-12)).astype(np.float32)
@@ -277,10 +275,9 @@ class Model:
             a = CONTEXT - 1 - k
             each[a : a + m] += back * self.c[k]
             grad.c[k] = np.einsum("nd,nd->d", back, vectors[a : a + m])
-        g = np.zeros((len(rows), SIZE), np.float32)
-        _scatter(g, x, each)
-        _scatter(grad.q, kinds, g)
-        _step(self.wq, squares.wq, word_rows, g[first:] / n)
+        _scatter(grad.q, kinds, each)
+        each = each.take(words, axis=0) / np.float32(n)
+        _scatter(self.wq, word_rows, each * _rates(squares.wq, word_rows, np.einsum("nd,nd->n", each, each) / np.float32(SIZE))[:, None])
         g = grad.flat / n
         squares.flat += g * g
         self.flat[: self.dense] += RATE * g / np.sqrt(squares.flat)
@@ -294,21 +291,10 @@ class Squares:
         self.wq, self.wr, self.wb, self.gr, self.gb = (np.full(n, RARE_SQUARES, np.float32) for n in (table.words,) * 3 + (table.choices,) * 2)
 
 
-def _compact(ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids in order, and the place of each id among them."""
-    seen = np.zeros(most, bool)
-    seen[ids] = True
-    rows = np.flatnonzero(seen)
-    place = np.empty(most, np.int64)
-    place[rows] = np.arange(len(rows))
-    return rows, place[ids]
-
-
-def _step(values: np.ndarray, squares: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
-    s = squares.take(rows) + (g * g if g.ndim == 1 else np.einsum("nd,nd->n", g, g) / np.float32(SIZE))
-    squares[rows] = s
-    rate = RATE / np.sqrt(s)
-    values[rows] = values.take(rows, axis=0) + (g * (rate if g.ndim == 1 else rate[:, None])).astype(np.float32)
+def _rates(squares: np.ndarray, rows: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Adds squared gradients to the sums of rows, which may repeat; the rates of their steps."""
+    np.add.at(squares, rows, more)
+    return np.float32(RATE) / np.sqrt(squares.take(rows))
 
 
 def _contrast(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndarray, values: tuple, squares: tuple, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -316,17 +302,19 @@ def _contrast(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.nda
     r, b = values
     noise = first[:, None] + (rng.random((len(q), INNER_NOISE), np.float32) * size[:, None]).astype(np.int64)
     ids = np.concatenate([target[:, None], np.minimum(noise, (first + size - 1)[:, None])], axis=1)
-    rows, x = _compact(ids, len(b))
+    flat = ids.ravel()
     vectors = r.take(ids, axis=0)
-    z = np.einsum("nkd,nd->nk", vectors, q) + b[ids] - np.log(INNER_NOISE / size).astype(np.float32)[:, None]
+    z = np.einsum("nkd,nd->nk", vectors, q) + b.take(ids) - np.log(INNER_NOISE / size).astype(np.float32)[:, None]
     d = -1 / (1 + np.exp(-np.clip(z, -30, 30)))
     d[:, 0] += 1
     d[size == 1] = 0
-    g = np.zeros((len(rows), SIZE), np.float32)
-    _scatter(g, x.ravel(), d[:, :, None] * q[:, None, :])
     dq = np.einsum("nk,nkd->nd", d, vectors)
-    _step(r, squares[0], rows, g / n)
-    _step(b, squares[1], rows, np.bincount(x.ravel(), d.ravel(), len(rows)) / n)
+    d *= np.float32(1 / n)
+    square = d * d
+    np.add.at(b, flat, d.ravel() * _rates(squares[1], flat, square.ravel()))
+    square *= (np.einsum("nd,nd->n", q, q) / np.float32(SIZE))[:, None]
+    d *= _rates(squares[0], flat, square.ravel()).reshape(d.shape)
+    _scatter(r, flat, d[:, :, None] * q[:, None, :])
     return dq
 
 
