@@ -233,11 +233,19 @@ class Model:
             out[a : a + 1024] = _log_share(q[a : a + 1024] @ r, classes[a : a + 1024], safe)
         if table is not None:
             inner = np.flatnonzero(classes > OWN)
-            tail, choice = classes[inner] - OWN - 1, table.choice_of[targets[inner]]
-            out[inner] += _softmax(q.take(inner, axis=0), choice, table.first_choice[tail], table.n_choices[tail], gr, safe)
-            inner = inner[targets[inner] > CLASSES]
-            word = targets[inner] - CLASSES - 1
-            out[inner] += _softmax(q.take(inner, axis=0), word, table.first_word[word], table.n_words[word], wr, safe)
+            choice = table.choice_of[targets[inner]]
+            # in the order of choices, words of a group stand together, and choices of a class too
+            order = np.argsort(choice.astype(np.uint16) if table.choices <= 1 << 16 else choice, kind="stable")
+            inner, choice = inner[order], choice[order]
+            tail, word, q, more = classes[inner] - OWN - 1, targets[inner] - CLASSES - 1, q.take(inner, axis=0), np.zeros(len(inner))
+            for a, z in _equal(tail):
+                f, n = int(table.first_choice[tail[a]]), int(table.n_choices[tail[a]])
+                more[a:z] = _log_shares(q[a:z], gr[f : f + n], choice[a:z] - f, safe)
+            for a, z in _equal(choice):
+                if word[a] >= 0:
+                    f, n = int(table.first_word[word[a]]), int(table.n_words[word[a]])
+                    more[a:z] += _log_shares(q[a:z], wr[f : f + n], word[a:z] - f, safe)
+            out[inner] += more
         return out / np.log(10)
 
     def train(self, row: np.ndarray, places: np.ndarray, share: np.ndarray, squares: Squares, rng: np.random.Generator, table: Table) -> None:
@@ -318,27 +326,27 @@ def _contrast(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.nda
     return dq
 
 
+def _equal(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    cuts = [0, *(np.flatnonzero(np.diff(x)) + 1).tolist(), len(x)] if len(x) else [0]
+    return zip(cuts[:-1], cuts[1:], strict=True)
+
+
 def _log_share(z: np.ndarray, target: np.ndarray, safe: bool) -> np.ndarray:
     """log of each row's share of exp(z) at the target; z is overwritten. `safe`: no z is beyond 80, so that sums of exponentials fit in 32 bits as they are."""
     if not safe:
         z -= z.max(axis=1, keepdims=True)
-    own = z[np.arange(len(z)), target]
+    n, width = z.shape
+    own = z.ravel().take(target + np.arange(0, n * width, width))
     np.exp(z, out=z)
-    return own - np.log(z @ np.ones(z.shape[1], np.float32))
-
-
-def _softmax(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndarray, r: np.ndarray, safe: bool) -> np.ndarray:
-    """log of the probability of each target among the `size` choices from `first` on; one matrix product for each set of choices."""
-    out = np.empty(len(q))
-    order = np.argsort(first, kind="stable")
-    q, target, first, size = q.take(order, axis=0), target[order], first[order], size[order]
-    cuts = np.r_[0, np.flatnonzero(np.diff(first)) + 1, len(first)] if len(first) else np.zeros(1, np.int64)
-    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        f, n = int(first[a]), int(size[a])
-        for k in range(a, z, 4096):
-            e = min(k + 4096, z)
-            out[order[k:e]] = _log_share(q[k:e] @ r[f : f + n].T, target[k:e] - f, safe)
-    return out
+    return own - np.log(z @ np.ones(width, np.float32))
+
+
+def _log_shares(q: np.ndarray, r: np.ndarray, target: np.ndarray, safe: bool) -> np.ndarray:
+    """log of the probability of each target among the choices r; matrix products of bounded size."""
+    if len(q) <= 4096:
+        return _log_share(q @ r.T, target, safe)
+    return np.concatenate([_log_share(q[k : k + 4096] @ r.T, target[k : k + 4096], safe) for k in range(0, len(q), 4096)])
 
 
 _PAIRS = np.arange(SIZE // 2)
