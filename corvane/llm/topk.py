@@ -22,12 +22,13 @@ def quantized(column: Column, scale: int = 1024) -> Column:
     return F.when(whole, F.transform(x, lambda v: F.floor(v * F.lit(float(scale)))))
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK) -> list[tuple[int, int, int]]:
+def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK, least: dict[int, int] | None = None) -> list[tuple[int, int, int]]:
     """(query, vector, score) of each query's k best among the vectors, ties to smaller ids, a query's own id left out.
 
     Vectors lie dimension by dimension. For each query, dimensions come in the order of the query's weight. After each
     block, a vector goes on only if its sum so far plus the product of the lengths that both have left reaches the
-    k-th best full score of the candidates that led after the first block. All values are whole numbers below 2^53 in
+    k-th best full score of the candidates that led after the first block, or `least`, the k-th best score of the query
+    in vectors searched before, if that is higher. All values are whole numbers below 2^53 in
     doubles, so sums are exact; the bound is raised by a millionth against rounding of lengths.
     """
     if not len(vectors) or not len(queries):
@@ -42,18 +43,20 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
         sums = np.zeros(len(alive))
         left_v = norms[alive]
         left_q = float((q**2).sum())
-        floor = -np.inf
+        floor = before = float((least or {}).get(int(own), -np.inf))
         for at in range(0, dims, block):
             d = order[at : at + block]
             part = columns[np.ix_(d, alive)]
             sums = sums + q[d] @ part
             left_v = left_v - (part**2).sum(axis=0)
             left_q -= float((q[d] ** 2).sum())
-            if at + block >= dims or len(alive) <= k:
+            if at + block >= dims or (len(alive) <= k and before == -np.inf):
                 continue
-            if floor == -np.inf:
+            if len(alive) <= k:
+                floor = before
+            elif floor == before:
                 lead = np.argpartition(-sums, k - 1)[:k]
-                floor = float((q @ columns[:, alive[lead]]).min())
+                floor = max(before, float((q @ columns[:, alive[lead]]).min()))
             most = sums + np.sqrt(np.maximum(left_v, 0) * max(left_q, 0)) * (1 + 1e-6) + 1e-3
             stay = most >= floor
             alive, sums, left_v = alive[stay], sums[stay], left_v[stay]
@@ -76,7 +79,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
     """(query_id, rank, vec_id, score): for each query its k vectors with the highest inner product of floor(scale * x).
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id; vectors of
-    another length than the query's are not compared with it. Every remaining row but those with the query's own id is
+    another length than the query's are not compared with it. Sums that doubles can't hold exactly are added up as whole
+    numbers of any size, and scores beyond 64 bits are held at the ends of that range. Every remaining row but those with the query's own id is
     a candidate, repeated rows too; a repeated query id counts once (its least vector). Fewer candidates give fewer
     rows. Queries come in blocks of 4096, each against all rows in a pass of its own: a task holds a block and a batch
     of vectors, and hands on k rows for each query.
@@ -108,7 +112,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
                     if dim and max(np.abs(x.astype(float)).max(), np.abs(q.astype(float)).max()) ** 2 * dim >= 2.0**53:
                         got = _exact(qs, [(int(i), [int(c) for c in v]) for i, v in zip(ids[here], x, strict=True)], k)
                     else:
-                        got = search(q.astype(np.int64).reshape(len(qs), dim), np.array([i for i, _ in qs]), x.reshape(len(here), dim), ids[here], k)
+                        got = search(q.astype(np.int64).reshape(len(qs), dim), np.array([i for i, _ in qs]), x.reshape(len(here), dim), ids[here], k, least={i: -h[k - 1][0] for i, h in held.items() if len(h) >= k})
                     for i, j, s in got:
                         held.setdefault(i, []).append((-s, j))
                 for i in held:
