@@ -10,6 +10,7 @@ words in tiles, in whatever order its parts stand in the document.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -53,44 +54,82 @@ def _windows(x: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+#: Pairs of equal windows that are followed one by one; where there are more, all diagonals are followed together.
+_FEW = 20_000
+
+
+def _runs(doc: np.ndarray, item: np.ndarray, free_d: np.ndarray, free_i: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(-length, start in doc, start in item) of the longest runs of equal free words, of `size` words or more."""
+    blocked_i, blocked_d = np.r_[0, np.cumsum(~free_i)], np.r_[0, np.cumsum(~free_d)]
+    mine, theirs = _windows(item, size), _windows(doc, size)
+    at_item: dict[int, list[int]] = {}
+    for t, h in enumerate(mine.tolist()):
+        if blocked_i[t + size] == blocked_i[t]:
+            at_item.setdefault(h, []).append(t)
+    if not at_item or not len(theirs):
+        return []
+    here = np.flatnonzero(np.isin(theirs, np.array(list(at_item), U)) & (blocked_d[size:] == blocked_d[:-size]))
+    if sum(len(at_item[h]) for h in theirs[here].tolist()) > _FEW:
+        return _all_runs(doc, item, free_d, free_i, size)
+    runs, ends = [], {}
+    for p in here.tolist():
+        for t in at_item[int(theirs[p])]:
+            if ends.get(p - t, -1) > p:  # inside a run that has been followed on this diagonal
+                continue
+            k = 0
+            while p + k < len(doc) and t + k < len(item) and free_d[p + k] and free_i[t + k] and doc[p + k] == item[t + k]:
+                k += 1
+            ends[p - t] = p + k
+            if k >= size:
+                runs.append((-k, p, t))
+    return runs
+
+
+def _all_runs(doc: np.ndarray, item: np.ndarray, free_d: np.ndarray, free_i: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """The same, for texts of few different words: word by word of the item, the runs that end at each word of the document."""
+    runs, before = [], np.zeros(len(doc) + 1, np.int32)
+    for t in range(len(item) + 1):
+        now = np.zeros(len(doc) + 1, np.int32)
+        if t < len(item) and free_i[t]:
+            now[1:] = np.where(free_d & (doc == item[t]), before[:-1] + 1, 0)
+        # runs up to the word before that don't go on
+        over = before >= size
+        over[:-1] &= now[1:] == 0
+        for p in np.flatnonzero(over).tolist():
+            k = int(before[p])
+            runs.append((-k, p - k, t - k))
+        before = now
+    return runs
+
+
 def tile(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """(start in doc, start in item, length) of the tiles; words are numbers, negative ones match nothing."""
+    """(start in doc, start in item, length) of the tiles; words are numbers, negative ones match nothing.
+
+    The longest run of free words comes first, of equal ones the first in the document, then in the item. What is left
+    of a run that longer ones cut into is put back in its place.
+    """
     free_d, free_i = doc >= 0, item >= 0
     tiles = []
     size = least
     while size * 2 <= len(item):
         size *= 2
-    while size >= least:
-        runs: dict[tuple[int, int], int] = {}
-        at_item: dict[int, list[int]] = {}
-        blocked_i, blocked_d = np.r_[0, np.cumsum(~free_i)], np.r_[0, np.cumsum(~free_d)]
-        for t, h in enumerate(_windows(item, size).tolist()):
-            if blocked_i[t + size] == blocked_i[t]:
-                at_item.setdefault(h, []).append(t)
-        hashes = _windows(doc, size)
-        if at_item and len(hashes):
-            here = np.flatnonzero(np.isin(hashes, np.array(list(at_item), U)) & (blocked_d[size:] == blocked_d[:-size]))
-            ends: dict[int, int] = {}
-            for p in here.tolist():
-                for t in at_item[int(hashes[p])]:
-                    if ends.get(p - t, -1) > p:  # inside a run that has been followed on this diagonal
-                        continue
-                    k = 0
-                    while p + k < len(doc) and t + k < len(item) and free_d[p + k] and free_i[t + k] and doc[p + k] == item[t + k]:
-                        k += 1
-                    ends[p - t] = p + k
-                    if k >= size:
-                        runs[p, t] = k
-        marked = False
-        for (p, t), k in sorted(runs.items(), key=lambda r: (-r[1], r[0])):
-            if free_d[p : p + k].all() and free_i[t : t + k].all():
-                free_d[p : p + k] = free_i[t : t + k] = False
-                tiles.append((p, t, k))
-                marked = True
-        if not marked or size > least and not runs:
-            size = size // 2
-        if not free_i.any():
-            break
+    while size >= least and free_i.any():
+        runs = _runs(doc, item, free_d, free_i, size)
+        heapq.heapify(runs)
+        while runs:
+            k, p, t = heapq.heappop(runs)
+            free = free_d[p : p - k] & free_i[t : t - k]
+            if free.all():
+                free_d[p : p - k] = free_i[t : t - k] = False
+                tiles.append((p, t, -k))
+                if not free_i.any():
+                    break
+                continue
+            cut = np.flatnonzero(np.diff(np.r_[False, free, False]))
+            for a, z in zip(cut[::2].tolist(), cut[1::2].tolist(), strict=True):
+                if z - a >= size:
+                    heapq.heappush(runs, (a - z, p + a, t + a))
+        size //= 2
     return sorted(tiles)
 
 
@@ -112,23 +151,35 @@ class Index:
         h = np.concatenate([np.zeros(0, U), *seeds])
         order = np.argsort(h, kind="stable")
         self.owner, self.place = np.concatenate([np.zeros(0, np.int64), *owner])[order], np.concatenate([np.zeros(0, np.int64), *place])[order]
+        # items of fewer words than a seed, by their number of words: they are found as wholes
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for o, x in enumerate(self.items):
+            if 0 < len(x) < SEED:
+                self.short.setdefault(len(x), {}).setdefault(int(_windows(x, len(x))[0]), []).append(o)
         self.seeds, self.begin = np.unique(h[order], return_index=True)
         self.begin = np.r_[self.begin, len(h)]
 
     def matches(self, text: str, threshold: float) -> list[tuple[int, float, int, int, list[tuple[int, int, int]]]]:
         get = self.number.get
         doc = np.array([get(w, -1) for w in words_of(text)], np.int64)
+        whole: dict[int, int] = {}
+        for n, owners in self.short.items():
+            h = _windows(doc, n)
+            for p in np.flatnonzero(np.isin(h, np.array(list(owners), U))).tolist():
+                for o in owners[int(h[p])]:
+                    if (doc[p : p + n] == self.items[o]).all():
+                        whole.setdefault(o, p)
+        out = [(self.ids[o], 1.0, len(self.items[o]), len(self.items[o]), [(p, 0, len(self.items[o]))]) for o, p in whole.items()]
         h = _windows(doc, SEED)
         if not len(h) or not len(self.seeds):
-            return []
+            return out
         h = np.unique(h[np.convolve(doc < 0, np.ones(SEED, int), "valid") == 0])
         at = np.minimum(np.searchsorted(self.seeds, h), len(self.seeds) - 1)
         at = at[self.seeds[at] == h]
         if not len(at):
-            return []
+            return out
         rows = np.concatenate([np.arange(self.begin[k], self.begin[k + 1]) for k in at])
         owner, place = self.owner[rows], self.place[rows]
-        out = []
         for o in np.unique(owner):
             x = self.items[o]
             inside = np.zeros(len(x), bool)
@@ -158,8 +209,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[Index]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, coverage, matched, item_words, tiles) for every document and item whose coverage reaches the threshold.
 
-    Clean documents have no row. Items and documents of fewer than SEED words, and null texts, match nothing; words with
-    other marks or in other letter case are equal. A document or item that repeats gives a row each time; null
+    Clean documents have no row. Items of fewer than SEED words are found only where they stand as a whole; items without
+    words, and null or empty texts, match nothing; texts of any length are searched whole. Words with other marks or in other letter case are equal. A document or item that repeats gives a row each time; null
     identifiers stay null; other columns are ignored; without items the result is empty. Documents are read once for
     each block of items (500,000 words), whole, and nothing is shuffled.
     """
@@ -182,7 +233,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, the same columns, without the rows that cover an item to the threshold."""
+    """docs, the same columns, without the rows that cover an item to the threshold.
+
+    Null and empty texts cover nothing and stay, repeated rows share their fate, texts of any length are searched whole,
+    an empty table or benchmark changes nothing, and columns other than text may have any names.
+    """
     at = docs.columns.index("text")
     for index in _blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(index)
