@@ -4,7 +4,9 @@ Base patterns find assigned secrets (`assign`), access keys (`access`) and long
 what decodes into a known structure: signed tokens whose first part is a JSON header with an algorithm (`jwt`), and
 base64 or hex whose bytes are a private key: DER with nested lengths that fit exactly (`der`), or the binary format of
 OpenSSH with its length-prefixed fields (`openssh`). A key may begin anywhere, also within a longer run of letters, and
-run over several lines, broken by line ends or by escaped ones as in JSON; its own lengths say where it ends.
+run over several lines, broken by line ends or by escaped ones as in JSON; its own lengths say where it ends. Bytes in hex
+may stand apart by colons or blanks. A PEM file that is itself in base64, as mounted secrets are, counts as `pem`, if a key
+is confirmed in it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import strings
 
 #: Kinds in the order in which spans with one start are listed.
-KINDS = ("assign", "access", "hex", "jwt", "der", "openssh")
+KINDS = ("assign", "access", "hex", "jwt", "der", "openssh", "pem")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 #: A run of 20 or 24 characters is found just where the open-ended pattern finds a run that long.
@@ -33,8 +35,12 @@ _JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)
 #: Alphabets of encoded keys; what may stand between two pieces: a line end, real or escaped, or the backslash of "\/".
 _BASE64, _URL_BASE64, _ANY_HEX = (re.compile(f"[{x}]+") for x in ("A-Za-z0-9+/", "A-Za-z0-9_-", "0-9a-fA-F"))
 _BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*|\\+(?=/)")
+#: The same in hex, where a colon or a blank may also stand between two bytes.
+_HEX_BREAK = re.compile(r":?[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*|[: ]")
 #: Where keys may begin: DER with the byte 0x30 and a length, so in base64 with M and A to I; OpenSSH with its magic.
-_STARTS = (re.compile(r"M(?=[A-I][A-Za-z0-9+/_-]{6})"), re.compile("b3BlbnNz"), re.compile("30(?=[0-8][0-9a-fA-F]{5})"), re.compile("6[fF]70656[eE]7373"))
+_STARTS = (re.compile(r"M(?=[A-I][A-Za-z0-9+/_-]{6})"), re.compile("b3BlbnNz"), re.compile("30(?=[: ]?[0-8][0-9a-fA-F](?:[: ]?[0-9a-fA-F]{2}){2})"), re.compile("6[fF][: ]?70[: ]?65[: ]?6[eE][: ]?73[: ]?73"), re.compile("LS0tLS1CRUdJTi"))
+#: A PEM file, by its first and last lines.
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----(?:[^-]|-(?!----BEGIN))+?-----END [A-Z0-9 ]+-----")
 #: Object identifiers of private-key algorithms (RSA, EC, Ed25519, Ed448, X25519, X448, DSA, DH).
 _KEY_OIDS = {bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce3d0201", "2b6570", "2b6571", "2b656e", "2b656f", "2a8648ce380401", "2a864886f70d010301")}
 #: Fixed value: object identifier of password-based encryption 2.
@@ -129,11 +135,11 @@ def is_signed_header(part: str) -> bool:
 
 def _taken(text: str, at: int, n: int, alphabet: re.Pattern[str]) -> tuple[str, int]:
     """Up to n characters of an alphabet from `at` on, what breaks lines left out, and where they end."""
-    out = []
+    out, breaks = [], _HEX_BREAK if alphabet is _ANY_HEX else _BREAK
     while m := alphabet.match(text, at, at + n):
         out.append(m[0])
         n, end = n - len(m[0]), m.end()
-        if not n or not (b := _BREAK.match(text, end)):
+        if not n or not (b := breaks.match(text, end)):
             break
         at = b.end()
     return ("".join(out), end) if out else ("", at)
@@ -157,6 +163,17 @@ def _bytes(text: str, at: int, n: int, alphabet: re.Pattern[str]) -> tuple[bytes
 def _key_at(text: str, at: int, alphabet: re.Pattern[str]) -> tuple[str, int] | None:
     """Kind and end of the private key that is encoded from `at` on."""
     head = _bytes(text, at, 24, alphabet)[0]
+    if head.startswith(b"-----BEGIN "):
+        n = inner = 0
+        while not inner and n < 2 * _MOST:  # a longer part only while no second file begins in it
+            n = 4 * n or 2048
+            pem = _bytes(text, at, n, alphabet)[0].decode("latin-1")
+            inner = _PEM.match(pem)
+            if len(pem) < n or "-----BEGIN" in pem[10:]:
+                break
+        if inner and any(k in ("der", "openssh") for _, k, _ in confirmed_spans(inner[0])):
+            return "pem", _bytes(text, at, inner.end(), alphabet)[1]
+        return None
     if head.startswith(_OPENSSH):
         n = _openssh_end(_bytes(text, at, _MOST, alphabet)[0])
         return ("openssh", _bytes(text, at, n, alphabet)[1]) if n else None
@@ -186,7 +203,7 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     if "ey" in text or "ew" in text:
         out += [(m.start(), "jwt", m.end()) for m in _JWT.finditer(text) if is_signed_header(m[1])]
     for k, start in enumerate(_STARTS):
-        alphabets, at = (_BASE64, _URL_BASE64) if k < 2 else (_ANY_HEX,), 0
+        alphabets, at = (_ANY_HEX,) if k in (2, 3) else (_BASE64, _URL_BASE64), 0
         while m := start.search(text, at):
             at = m.start() + 1
             for alphabet in alphabets:
@@ -243,7 +260,11 @@ def redacted(text: str, mark: str = "[{kind}]") -> str:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with the same columns and rows; secrets in text are replaced by a mark of their kind, and n_chars, if there, is counted anew for changed texts."""
+    """docs with the same columns and rows; secrets in text are replaced by a mark of their kind, and n_chars, if there, is counted anew for changed texts.
+
+    Null and empty texts stay as they are, repeated rows change alike, texts of any length are searched whole, an empty
+    table stays empty, and columns other than text and n_chars may have any names.
+    """
     schema = docs.schema
     names = docs.columns
 
