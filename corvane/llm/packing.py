@@ -4,7 +4,8 @@ Documents longer than a sequence give full sequences first; what remains of each
 a quarter of the capacity, is packed in groups (the last, smaller pieces let windows come out nearly equal). A group is divided into windows of nearly equal sums: every piece
 starts as a partition with one filled window, the two partitions with the largest differences are merged with opposing
 imbalances (largest window with smallest), until one is left. If its largest window exceeds the capacity, the group is
-divided again into one window more.
+divided again into one window more. Pieces that a task has left when its documents end are packed together with those of
+other tasks, so that padding doesn't grow with the number of partitions.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from corvane.llm.common import slices, strings
+from corvane.llm.common import shared_dir, slices, strings, written
 from corvane.llm.tokens import encoder
 
 #: Pieces that are packed together.
@@ -123,19 +124,50 @@ def _rows(batches: Iterator[pa.RecordBatch], tokenizer: str, capacity: int, end:
                     close()
             if len(out) > 10_000:
                 yield batch()
-    close()
+    out += [(*h, None, None) for h in held]
     if out:
         yield batch()
 
 
+def _left(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """Places for the pieces that tasks had left; sequence ids from 2^62 on."""
+    task = TaskContext.get()
+    first, held = (1 << 62) + ((task.partitionId() if task else 0) << 32), []
+
+    def close() -> pa.RecordBatch:
+        nonlocal first
+        out = []
+        for window in pack([h[2] for h in held], capacity):
+            at = 0
+            for k in window:
+                out.append((*held[k], first, at))
+                at += held[k][2]
+            first += 1
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], [x.split()[0] for x in _OUT.split(", ")])
+
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns[:5]), strict=True):
+            held.append(row)
+            if len(held) >= GROUP:
+                yield close()
+    if held:
+        yield close()
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1) -> DataFrame:
     """Pieces of all documents' token ids and their places in sequences of at most `capacity` ids.
 
     (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): a document's ids are those of its text (null:
     none) and then `end`; start counts its ids before the piece; pieces of a sequence follow each other from offset 0
     without gaps. Each row of docs (doc_id, text, ...) is a document of its own, also with a repeated or null doc_id;
-    other columns are ignored; an empty table gives an empty result. Each partition packs its own documents as they
-    come: nothing is shuffled, a task holds one group, and only its last group may leave a window partly empty.
+    other columns are ignored; an empty table gives an empty result. Texts of any length are encoded whole and cut; which
+    of two equal pieces goes where depends on the order of rows. Each partition packs its own documents as they come, a
+    task holds one group; the last ones of all tasks, a few numbers for each piece, are read again by as many tasks as
+    they fill eight groups, and packed there. Nothing is shuffled.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(lambda b: _rows(b, tokenizer, capacity, end), _OUT)
+    placed = written(texts.mapInArrow(lambda b: _rows(b, tokenizer, capacity, end), _OUT), shared_dir(docs.sparkSession), "placed")
+    left = placed.where("sequence_id is null")
+    tasks = -(-left.count() // (8 * GROUP))
+    return placed.where("sequence_id is not null").unionByName(left.coalesce(max(1, tasks)).mapInArrow(lambda b: _left(b, capacity), _OUT))
