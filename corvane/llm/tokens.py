@@ -2,7 +2,8 @@
 
 Both public tokenizers split a text before they merge symbols, so that a word's ids do not depend on its neighbours. A
 text is cut where the tokenizer would cut too, each distinct word is encoded once by the tokenizers library, many at a
-time, and the ids are joined. Texts in which a blank follows another are not cut but encoded whole.
+time, and the ids are joined. Texts in which a blank follows another, or which hold a
+mark like <|endoftext|>, are not cut but encoded whole.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             head = json.load(f)
         pre, norm = head.get("pre_tokenizer") or {}, head.get("normalizer")
@@ -53,6 +53,8 @@ class Encoder:
             self._begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         elif self.mode == "bare":
             self._begins[self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids] = True
+        # marks with ids of their own, which the tokenizer finds before it parts a text
+        self.marks = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -122,16 +124,17 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mode == "whole":
             return self._whole(texts)
-        cut = [self._cut(t) if t else [] for t in texts]
+        marked = [any(m in low for m in self.marks) for low in map(str.lower, texts)]
+        cut = [self._cut(t) if t and not m else [] for t, m in zip(texts, marked, strict=True)]
         known = self.known
         missing = set(chain.from_iterable(cut)).difference(known)
         if self.mode == "spaced":
             # a word that is empty or ends with a blank stands before another blank
             unsafe = {w for w in missing if not w or w[-1].isspace() or w == _FIRST}
-            odd = [k for k, t in enumerate(texts) if _FIRST in t or (unsafe and not unsafe.isdisjoint(cut[k]))]
+            odd = [k for k, t in enumerate(texts) if marked[k] or _FIRST in t or (unsafe and not unsafe.isdisjoint(cut[k]))]
         else:
             # blanks to Python, but not to the tokenizer
-            odd = [k for k, t in enumerate(texts) if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t]
+            odd = [k for k, t in enumerate(texts) if marked[k] or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t]
         whole = dict(zip(odd, self._whole([texts[k] for k in odd]), strict=True)) if odd else {}
         if odd:
             for k in odd:
