@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI of the shared folder, and the path there. Spark's names of S3 are pyarrow's s3."""
+    kind, mark, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(("s3" if kind in ("s3a", "s3n") else kind) + mark + rest)
+
+
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: its lineage ends there, and columns are pruned on reading."""
     path = f"{folder}/{name}"
@@ -43,6 +50,14 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of the table is called so in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import partitions, shared_dir, slices, written
+from corvane.llm.common import partitions, shared_dir, slices, unused, written
 from corvane.llm.components import components
 from corvane.llm.shingles import U, mix, shingle_sets
 
@@ -280,18 +280,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
 def deduplicated(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     """docs, the same columns, with one document of each group of near duplicates: the one with the smallest doc_id.
 
-    Rows with a null doc_id stay. A doc_id identifies a document: of rows that share one that stays, the one with the
+    Null, empty and wordless texts stay, as they are near nothing; texts of any length are compared whole; equal texts
+    are ties that the smallest doc_id wins; an empty table stays empty. Rows with a null doc_id stay. A doc_id identifies a document: of rows that share one that stays, the one with the
     smallest text does.
     """
+    near_id, place = (unused(docs, x) for x in ("near_id", "place"))
     near = near_duplicates(docs, percent, size).select("doc_id", "kept")
-    near = written(near, shared_dir(docs.sparkSession), "near").withColumnRenamed("doc_id", "near_id")
-    ids = near.where("kept and near_id is not null")
-    twice = near.where("near_id is not null").groupBy("near_id").agg(F.count("*").alias("n")).where("n > 1").select("near_id")
+    near = written(near, shared_dir(docs.sparkSession), "near").withColumnRenamed("doc_id", near_id)
+    ids = near.where(F.col("kept") & F.col(near_id).isNotNull())
+    twice = near.where(F.col(near_id).isNotNull()).groupBy(near_id).agg(F.count("*").alias("n")).where("n > 1").select(near_id)
     nameless = docs.where(F.col("doc_id").isNull())
-    out = docs.join(ids.select("near_id").distinct().hint("merge"), docs["doc_id"] == F.col("near_id"), "left_semi")
+    out = docs.join(ids.select(near_id).distinct().hint("merge"), docs["doc_id"] == F.col(near_id), "left_semi")
     if not twice.isEmpty():
-        same = out.join(twice, out["doc_id"] == F.col("near_id"), "left_semi")
+        same = out.join(twice, out["doc_id"] == F.col(near_id), "left_semi")
         one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-        least = same.withColumn("__place", F.row_number().over(one)).where(F.col("__place") == 1).drop("__place")
-        out = out.join(twice, out["doc_id"] == F.col("near_id"), "left_anti").unionByName(least)
-    return out if near.where("near_id is null").isEmpty() else out.unionByName(nameless)
+        least = same.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place)
+        out = out.join(twice, out["doc_id"] == F.col(near_id), "left_anti").unionByName(least)
+    return out if near.where(F.col(near_id).isNull()).isEmpty() else out.unionByName(nameless)

@@ -23,12 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from corvane.llm.common import partitions, shared_dir, slices, strings
+from corvane.llm.common import file_system, partitions, shared_dir, slices, strings
 from corvane.llm.tokens import encoder
 
 MAGIC, FORMAT = b"CVSST\x01", 1
@@ -123,7 +122,7 @@ class ShardReader:
     """Reads a shard: entries() in order, get(doc_id) by filter and binary search."""
 
     def __init__(self, uri: str):
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = file_system(uri)
         self.file = fs.open_input_file(path)
         size = self.file.size()
         index, index_n, bloom, bloom_n, self.count, self.ids, form, magic = _FOOTER.unpack(self._at(size - _FOOTER.size, _FOOTER.size))
@@ -192,7 +191,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, sha
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        fs, path = pafs.FileSystem.from_uri(f"{folder}/shard-{shard:06d}.sst")
+        fs, path = file_system(f"{folder}/shard-{shard:06d}.sst")
         part = f"{path}.{uuid.uuid4().hex}"
         writer, least, most = None, None, None
         stream = None
@@ -262,8 +261,8 @@ def store_tokens(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
     """Writes the documents' token ids as shards in the shared folder, reads them back: (doc_id, start, n_tokens, ids_crc32).
 
     A document's ids are those of its text (null: none) and then `end`; start counts the ids of all documents before it
-    in ascending order of doc_id, null first; rows that share a doc_id are documents of their own, in the order of their
-    texts. Other columns are ignored; an empty table writes no shard and gives an empty result.
+    in ascending order of doc_id, null first; rows that share a doc_id are documents of their own, in one order of
+    their texts or of their hashes. Other columns are ignored; an empty table writes no shard and gives an empty result.
     """
     spark = docs.sparkSession
     return read_shards(spark, write_shards(docs, shared_dir(spark), tokenizer, end))

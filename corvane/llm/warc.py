@@ -16,12 +16,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from corvane.llm.common import shared_dir, utf8, written
+from corvane.llm.common import file_system, shared_dir, utf8, written
 
 #: A digest is dealt with apart if its rows are more than one in this many; there can't be more such digests than that.
 HOT = 1000
@@ -113,7 +112,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 1) -> list:
         import zlib
 
         task = TaskContext.get().partitionId()
-        fs, path = pafs.FileSystem.from_uri(f"{folder}/part-{task:06d}.warc.gz")
+        fs, path = file_system(f"{folder}/part-{task:06d}.warc.gz")
         part, stream, row = f"{path}.{uuid.uuid4().hex}", None, 0
         for b in batches:
             for page, url, payload, *places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), *(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
@@ -153,7 +152,7 @@ def _records(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.R
     held = 0
     for b in batches:
         for path in b.column(0).to_pylist():
-            fs, at = pafs.FileSystem.from_uri(path)
+            fs, at = file_system(path)
             with fs.open_input_stream(at, compression=None) as raw, gzip.open(raw, "rb") as stream:
                 for h, block in parse(stream):
                     kind = h["warc-type"]
@@ -209,15 +208,20 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     empty table gives an empty result.
     """
     spark = pages.sparkSession
-    manifest = write_archives(pages, shared_dir(spark))
+    folder = shared_dir(spark)
+    manifest = write_archives(pages, folder)
     c = read_captures(spark, [m.path for m in manifest], payloads=False)
-    page = _page_column(F.col("capture"))
+    # what a revisit refers to is found among the responses that were read; captures that refer to nothing meet themselves, so that they are no group
+    c = written(c.select("capture", "request", "response", "metadata"), folder, "captures")
+    asked = F.coalesce("response.refers_to", "capture").alias("asked")
+    found = c.where("response.kind = 'response'").select(F.col("response.record").alias("record"), _page_column(F.col("response.record")).alias("first_page"))
+    c = c.select("*", asked).join(found, F.col("asked") == F.col("record"), "left")
     return c.select(
-        page.alias("page_id"),
+        _page_column(F.col("capture")).alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
-        _page_column(F.col("response.refers_to")).alias("refers_to"),
+        F.when(F.col("response.refers_to").isNotNull(), F.col("first_page")).alias("refers_to"),
         (F.lit(1) + F.col("request").isNotNull().cast("int") + F.col("metadata").isNotNull().cast("int")).alias("n_records"),
     )
 
