@@ -32,7 +32,7 @@ VALUES, TREES, DEPTH = 64, 16, 2
 #: Classes of one region, or part of one, that are compared all with all; neighbours that others meet; rows at each end of a shard that meet those of the next.
 REGION, WINDOW, BORDER = 2048, 32, 64
 #: Shingles of one block of full sets (8 bytes each).
-BLOCK = 1 << 16
+BLOCK = 1 << 20
 _rng = np.random.default_rng(9)
 _A = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) | U(1)
 _B = _rng.integers(0, 2**63, VALUES, dtype=np.uint64)
