@@ -54,7 +54,9 @@ class Encoder:
         elif self.mode == "bare":
             self._begins[self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids] = True
         # marks with ids of their own, which the tokenizer finds before it parts a text
-        self.marks = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.lower_marks = any(t.normalized for t in added)
+        self.marks = [t.content.lower() if self.lower_marks else t.content for t in added]
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -124,7 +126,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mode == "whole":
             return self._whole(texts)
-        marked = [any(m in low for m in self.marks) for low in map(str.lower, texts)]
+        marked = [any(m in t for m in self.marks) for t in texts] if not self.lower_marks else [any(m in low for m in self.marks) for low in map(str.lower, texts)]
         cut = [self._cut(t) if t and not m else [] for t, m in zip(texts, marked, strict=True)]
         known = self.known
         missing = set(chain.from_iterable(cut)).difference(known)
