@@ -76,12 +76,6 @@ def locally_damaged(text: Column) -> Column:
     return F.coalesce(F.exists(F.split(text, "\n"), bad), F.lit(False))
 
 
-def placeholder(text: Column) -> Column:
-    """Whether a source gave a notice in place of the text."""
-    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    return (F.length(low) < 200) & low.rlike(r"^$|being updated|not available|đang cập nhật|under construction|no content")
-
-
 def titles_match(a: Column, b: Column, share: float = 0.85) -> Column:
     """Whether two titles are equal, or one holds the other and is hardly longer, letter case and marks apart."""
     x, y = (F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{Nd}]+", " ")) for t in (a, b))

@@ -21,9 +21,19 @@ def _fold_map() -> tuple[str, str]:
 _ACCENTED, _BASE = _fold_map()
 
 
+def unaccented(text: Column) -> Column:
+    """Lower case without accents, all else as it is."""
+    return F.regexp_replace(F.translate(F.lower(text), _ACCENTED, _BASE), r"\p{Mn}", "")
+
+
 def folded(text: Column) -> Column:
     """Lower case without accents; what is no letter or digit becomes a space."""
-    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), _ACCENTED, _BASE), r"\p{Mn}", ""), r"[^\p{L}\p{Nd}]+", " ")
+    return F.regexp_replace(unaccented(text), r"[^\p{L}\p{Nd}]+", " ")
+
+
+def repeats_a_word(text: Column) -> Column:
+    """Whether a word of two letters or more stands twice in a row, with blanks or an opening bracket between."""
+    return text.rlike(r"(?iu)(?<![\p{L}\p{N}_])(\p{L}{2,})[\s(]+\1(?![\p{L}\p{N}_])")
 
 
 def folded_tokens(text: Column) -> Column:

@@ -88,6 +88,18 @@ def label(found: str) -> str:
     return "".join(str(unicodedata.digit(c)) if c.isdigit() and unicodedata.digit(c, -1) >= 0 else c for c in found.strip())
 
 
+def _opens(lines: list[str], at: int) -> bool:
+    """Whether a quotation begins in a line and ends in a later one, before another begins; one that nobody closes is none."""
+    if "“" not in lines[at]:
+        return False
+    for line in lines[at + 1 :]:
+        if "”" in line:
+            return "“" not in line or line.index("”") < line.index("“")
+        if "“" in line:
+            return False
+    return False
+
+
 def parse(text: str, grammar: str = "common") -> list[tuple[int, int | None, str, int, str, str, str]]:
     """(node, parent, kind, ordinal, label, content, path) in reading order. Text without headings is one whole-document node; a path that repeats gets ~2, ~3 and so on. An unknown grammar counts as the common one."""
     headings = GRAMMARS.get(grammar, GRAMMARS["common"])
@@ -96,17 +108,15 @@ def parse(text: str, grammar: str = "common") -> list[tuple[int, int | None, str
     seen: dict[str, int] = {}
     children: dict[int | None, int] = {}
     quoted = False
-    for raw in text.split("\n"):
-        line = raw.strip()
-        if not line:
-            continue
+    lines = [x for raw in text.split("\n") if (x := raw.strip())]
+    for at, line in enumerate(lines):
         found = None
         if not quoted:
             for kind, level, pattern in headings:
                 if (m := pattern.match(line)) and (level < 5 or stack):
                     found = kind, level, m
                     break
-        quoted = (quoted or "“" in line) and "”" not in line
+        quoted = (quoted or _opens(lines, at)) and "”" not in line
         if found:
             kind, level, m = found
             while stack and stack[-1][0] >= level:

@@ -14,6 +14,7 @@ from corvane.plans.evidence import _table
 from corvane.plans.relational import register
 from corvane.plans.views import with_views
 from corvane.sources import captures
+from corvane.storage import checkpoint_folder
 from corvane.streaming import ledger
 
 _SECTIONS = """SELECT CAST(r_regionkey AS BIGINT) AS document_id, CAST(r_regionkey AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent_id, CAST(r_regionkey AS BIGINT) AS ordinal FROM region
@@ -63,7 +64,7 @@ def r21_related_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r11_family_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best hit of each family; hits outside families stand alone."""
-    evidence.checkpoint_folder(spark)
+    checkpoint_folder(spark)
     hits = evidence._hits(spark, sf_dir)
     families = graph.families(evidence._relation(spark, sf_dir))
     named = hits.join(families, hits["id"] == families["node"], "left").select("id", F.coalesce("family", "id").alias("family"), "score")
@@ -88,10 +89,6 @@ def x36_enacting_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, text).select("o_orderkey", C.enacting_date(F.col("text")).alias("enacted"))
 
 
-def x28_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", C.placeholder(F.col("text")).alias("placeholder"))
-
-
 def x37_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", C.titles_match(F.col("p_name"), F.concat(F.upper("p_name"), F.when(F.expr("p_partkey % 2 = 0"), " (x)").otherwise(" and further rules of conduct"))).alias("same"))
 
@@ -104,10 +101,6 @@ def x31_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", repair.cleaned("text").alias("text"))
 
 
-def s18_legacy_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", repair.decoded_thai(F.encode(F.regexp_replace("text", r"[^\x00-\x7F]", ""), "US-ASCII")).alias("text"))
-
-
 def p7_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-party trees; here each line of a document is a node."""
     lines = F.transform(F.split("text", "\n"), lambda x, k: F.struct(F.lit("line").alias("kind"), (k + 1).cast("string").alias("label"), x.alias("content")))
@@ -143,7 +136,7 @@ def st3_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.replayed(ledger.actions_of(_table(spark, sf_dir, "events")))
 
 
-QUERIES = {f.__name__: f for f in (g1_preorder, g8_ancestors, p9_appendix_merge, r17_articles, g9_resolved, r21_related_hits, r11_family_collapse, x5_diacritic_free, x17_article_citation, x24_path_citation, x36_enacting_date, x28_placeholders, x37_title_match, x3_thai_clusters, x31_cleaned, s18_legacy_encoding, p7_trees, p8_dispatched, p11_mined_relations, p12_structured_relations, s1_json_capture, st3_state_machine)}
+QUERIES = {f.__name__: f for f in (g1_preorder, g8_ancestors, p9_appendix_merge, r17_articles, g9_resolved, r21_related_hits, r11_family_collapse, x5_diacritic_free, x17_article_citation, x24_path_citation, x36_enacting_date, x37_title_match, x3_thai_clusters, x31_cleaned, p7_trees, p8_dispatched, p11_mined_relations, p12_structured_relations, s1_json_capture, st3_state_machine)}
 _WALK = f"""WITH RECURSIVE s AS ({_SECTIONS}), w AS (SELECT document_id, id, CAST(0 AS BIGINT) AS depth, lpad(CAST(ordinal AS VARCHAR), 8, '0') AS path, '' AS ancestors FROM s WHERE parent_id IS NULL
     UNION ALL SELECT s.document_id, s.id, w.depth + 1, w.path || '/' || lpad(CAST(s.ordinal AS VARCHAR), 8, '0'), CASE WHEN w.ancestors = '' THEN '' ELSE w.ancestors || '>' END || w.id FROM w JOIN s ON s.document_id = w.document_id AND s.parent_id = w.id)"""
 _D = Duck()
@@ -166,9 +159,7 @@ ORACLES = {
     "x17_article_citation": with_views("SELECT id, concat('Chapter ', ordinal % 3, ', Article ', ordinal) AS article, concat('Chapter ', ordinal % 3, ', Article ', ordinal, ', Clause ', ordinal % 2) AS whole FROM chunk", _D),
     "x24_path_citation": with_views("SELECT id, concat('Chapter ', ordinal % 3, ', Article ', ordinal, CASE WHEN ordinal % 5 = 0 THEN ' [2]' ELSE '' END) AS citation FROM chunk", _D),
     "x36_enacting_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderdate AS DATE) END AS enacted FROM orders",
-    "x28_placeholders": "SELECT doc_id, length(t) < 200 AND regexp_matches(t, '^$|being updated|not available|đang cập nhật|under construction|no content') AS placeholder FROM (SELECT doc_id, lower(trim(coalesce(text, ''))) AS t FROM documents)",
     "x37_title_match": "SELECT p_partkey, p_partkey % 2 = 0 AND length(trim(regexp_replace(p_name, '[^\\p{L}\\p{Nd}]+', ' ', 'g'))) >= 0.85 * (2 + length(trim(regexp_replace(p_name, '[^\\p{L}\\p{Nd}]+', ' ', 'g')))) AS same FROM part",
-    "s18_legacy_encoding": "SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text FROM documents",
     "p7_trees": "SELECT doc_id, k AS ordinal, string_split(text, chr(10))[k] AS content, 'line-' || k AS path FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents WHERE text IS NOT NULL)",
     "p11_mined_relations": "SELECT doc_id, concat(100 + doc_id % 900, '/2020/ab') AS number, 'amends' AS relation, 'Article 3' AS target, length(substring(text, 1, 60)) + 27 AS start FROM documents WHERE text IS NOT NULL",
     "s1_json_capture": "SELECT CAST(o_orderkey AS VARCHAR) AS external_id, concat(o_custkey, '/2024') AS number, o_orderstatus AS doc_type, CAST(o_orderdate AS DATE) AS issued_at, 'vn' AS jurisdiction FROM orders",

@@ -22,7 +22,6 @@ BODIES: dict[str, Callable] = {
     "f9_citation_filter": lambda d: "SELECT document_id, citation FROM chunk WHERE lower(citation) LIKE '%line 7%'",
     "f10_changed": lambda d: "SELECT a.doc_id, a.lang AS was, b.source AS became FROM documents a JOIN documents b ON a.doc_id = b.doc_id WHERE a.lang IS DISTINCT FROM b.source",
     "f11_not_blank": lambda d: "SELECT id, length(trim(coalesce(text, ''))) > 0 AS has_text FROM document",
-    "f12_mojibake": lambda d: f"SELECT doc_id, {d.like('text', 'Ã[¡-ÿ]|�|â€|[Ѐ-ӿ]')} AS damaged FROM documents",
     "f14_lead_verbs": lambda d: "SELECT document_id, ordinal FROM chunk WHERE lower(content) LIKE '%with%' OR lower(content) LIKE '%pour%'",
     "f15_article_match": lambda d: "SELECT document_id, citation FROM chunk WHERE citation = 'Line 7' OR citation LIKE concat('Line 7', ', %')",
     "f16_exclusions": lambda d: "SELECT d.id, d.issuer FROM document d LEFT ANTI JOIN (SELECT 'src1' AS issuer UNION ALL SELECT 'src2') x ON d.issuer = x.issuer" if d.name == "spark" else "SELECT id, issuer FROM document WHERE issuer NOT IN ('src1', 'src2')",
@@ -89,8 +88,6 @@ BODIES: dict[str, Callable] = {
     "x20_token_estimate": lambda d: "SELECT id, CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, CAST(floor(length(content) / 2.0) AS BIGINT)) END AS tokens FROM chunk",
     "x25_clamped": lambda d: f"SELECT doc_id, CASE WHEN length(s) > 200 THEN concat(substring(s, 1, 197), '...') ELSE s END AS snippet FROM (SELECT doc_id, trim({d.replaced('text', '[ \\t\\n]+', ' ')}) AS s FROM documents) x",
     "x26_status_label": lambda d: "SELECT document_id, CASE status_class WHEN 'in_force' THEN 'in force' WHEN 'partial' THEN 'partly in force' WHEN 'not_yet' THEN 'not yet in force' ELSE status_class END AS label FROM current_validity",
-    "x27_quality_gate": lambda d: f"""SELECT doc_id, round(1.0 - least(1.0, 3.0 * bad / n) - CASE WHEN blank / n > 0.5 THEN 0.3 ELSE 0.0 END, 6) AS confidence, bad / n < 0.1 AND n >= 20 AS ok
-        FROM (SELECT doc_id, CAST(greatest(1, length(text)) AS DOUBLE) AS n, CAST(length(text) - length({d.replaced('text', '[$%&#*|]')}) AS DOUBLE) AS bad, CAST(length(text) - length({d.replaced('text', '[ \\t\\n]')}) AS DOUBLE) AS blank FROM documents) x""",
     "x40_content_hash": lambda d: f"SELECT doc_id, {d.sha('text')} AS sha256 FROM documents",
     "x44_redacted_url": lambda d: f"SELECT page_id, {d.replaced('url', '[?#].*$')} AS url, url LIKE '%utm_source%' AS tracked FROM pages",
     "discovery_hash": lambda d: f"SELECT id, {d.sha("concat_ws('|', doc_number, title, issuer, doc_type)")} AS content_hash FROM document",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import graph
-from corvane.plans.evidence import _relation, _table, checkpoint_folder
+from corvane.plans.evidence import _relation, _table
+from corvane.storage import checkpoint_folder
 from corvane.sources import readers
 
 _DUCK_FOLD = "regexp_replace(strip_accents(lower({x})), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g')"
@@ -42,10 +43,6 @@ def r18_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", T.in_scope(F.col("text"), ["license"], ["token"], ["the", "der"]).alias("in_scope"))
 
 
-def x14_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.references(F.col("text")), ",").alias("refs"))
-
-
 def s_html_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of captured pages, as the listing reader finds them."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "html")
@@ -64,7 +61,7 @@ def g3_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.families(_relation(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (x2_folded, a10_bm25_statistics, a11_dictionary, i1_document_keys, r18_scope, x14_references, s_html_listing, st1_watermarks, g3_families)}
+QUERIES = {f.__name__: f for f in (x2_folded, a10_bm25_statistics, a11_dictionary, i1_document_keys, r18_scope, s_html_listing, st1_watermarks, g3_families)}
 _PAD = "concat(' ', " + _DUCK_FOLD.format(x="text") + ", ' ')"
 ORACLES = {
     "x2_folded": f"SELECT doc_id, {_DUCK_FOLD.format(x='text')} AS folded FROM documents",
@@ -74,7 +71,6 @@ ORACLES = {
         r AS (SELECT *, sum(n) OVER (PARTITION BY folded) AS total, row_number() OVER (PARTITION BY folded ORDER BY n DESC, form) AS place FROM f)
         SELECT folded, form, round(n / total, 6) AS share FROM r WHERE place = 1 AND total >= 5 AND n >= 0.6 * total AND form <> folded""",
     "i1_document_keys": "SELECT doc_id, upper(source) || doc_id AS stored, upper(lang) || '|' || upper(source) || doc_id AS doc_key FROM documents",
-    "x14_references": r"SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(text, '(\d{1,4}/\d{4}/[\p{L}\d-]+)', 1), regexp_extract_all(text, '(?i)\b(act \d{1,4})\b', 1)), lambda x: lower(x)))), ','), '') END AS refs FROM documents",
     "r18_scope": f"SELECT doc_id, contains(p, ' license ') OR (contains(p, ' token ') AND (contains(p, ' the ') OR contains(p, ' der '))) AS in_scope FROM (SELECT doc_id, {_PAD} AS p FROM documents)",
     "s_html_listing": """WITH e AS (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS x FROM pages), u AS (SELECT page_id, unnest(range(len(x))) AS place, unnest(x) AS a FROM e)
         SELECT page_id, place, nullif(regexp_extract(a, 'href="([^"]*)"', 1), '') AS link, nullif(regexp_extract(a, '>([^<]*)<', 1), '') AS label FROM u""",
