@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of context on either side of a mention.
@@ -91,3 +91,32 @@ def base_of(text: str, preamble: int = 400) -> str | None:
     notes = "\n".join(x for x in text.split("\n") if re.match(r"\s*\[\d+\]", x))
     votes = Counter(m[0].lower() for m in _MENTION.finditer(f"{text[:preamble]}\n{notes}"))
     return min(votes, key=lambda n: (-votes[n], n)) if votes else None
+
+
+# How far a relation is trusted that has weak evidence only, by (authority, in a title, with an operator word).
+OFFICIAL = ("official_tree", "official_text", "official_metadata")
+TRANSCRIBED = "non_binding_transcription"
+WEAK_CONFIDENCE = {
+    ("official", True, True): 0.65,
+    ("official", True, False): 0.5,
+    ("official", False, True): 0.55,
+    ("official", False, False): 0.45,
+    ("transcribed", True, True): 0.45,
+    ("transcribed", True, False): 0.35,
+    ("transcribed", False, True): 0.35,
+    ("transcribed", False, False): 0.25,
+    ("other", True, True): 0.3,
+    ("other", True, False): 0.3,
+    ("other", False, True): 0.2,
+    ("other", False, False): 0.2,
+}
+
+
+def weak_confidence(authority: Column, title_level: Column, operator: Column) -> Column:
+    """The confidence of weak evidence; an operator of blanks is none, and an unknown authority counts as other."""
+    kind = F.when(authority.isin(*OFFICIAL), "official").when(authority == TRANSCRIBED, "transcribed").otherwise("other")
+    named = F.trim(F.coalesce(operator, F.lit(""))) != ""
+    out = F.lit(None).cast("double")
+    for (k, title, word), value in WEAK_CONFIDENCE.items():
+        out = F.when((kind == k) & (F.coalesce(title_level, F.lit(False)) == F.lit(title)) & (named == F.lit(word)), value).otherwise(out)
+    return out

@@ -40,8 +40,9 @@ def g8_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_appendix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    main = _sql(spark, sf_dir, "SELECT document_id, ordinal AS path, 'main' AS origin FROM chunk WHERE ordinal % 2 = 0")
-    return sections.merged_appendices(main, _sql(spark, sf_dir, "SELECT document_id, ordinal AS path, 'appendix' AS origin FROM chunk WHERE ordinal % 3 = 0"))
+    """Every chunk stands in the main text; appendices repeat them three places on, and go on where the main text ends."""
+    main = _sql(spark, sf_dir, "SELECT document_id, ordinal AS path, 'main' AS origin FROM chunk")
+    return sections.merged_appendices(main, _sql(spark, sf_dir, "SELECT document_id, ordinal + 3 AS path, 'appendix' AS origin FROM chunk"))
 
 
 def r17_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def r17_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g9_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = _sql(spark, sf_dir, _REFS).select("ref_id", "document_id", "alias", F.array("c1", "c2").alias("candidates"))
     docs = _sql(spark, sf_dir, "SELECT doc_key, doc_id AS document_id FROM observation")
-    return references.resolved(refs, docs, _sql(spark, sf_dir, "SELECT concat('a', doc_id) AS alias, doc_id AS document_id FROM documents WHERE doc_id < 20"))
+    return references.resolved(refs, docs, _sql(spark, sf_dir, "SELECT concat('a', doc_id) AS alias, doc_id AS document_id FROM documents"))
 
 
 def r21_related_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,10 +144,10 @@ _D = Duck()
 ORACLES = {
     "g1_preorder": f"{_WALK} SELECT document_id, id, depth, path FROM w",
     "g8_ancestors": f"{_WALK} SELECT id, ancestors FROM w",
-    "p9_appendix_merge": with_views("SELECT document_id, ordinal AS path, CASE WHEN ordinal % 2 = 0 THEN 'main' ELSE 'appendix' END AS origin FROM chunk WHERE ordinal % 2 = 0 OR ordinal % 3 = 0", _D),
+    "p9_appendix_merge": with_views("SELECT document_id, ordinal AS path, 'main' AS origin FROM chunk UNION ALL SELECT document_id, ordinal + 3, 'appendix' FROM chunk WHERE (document_id, ordinal + 3) NOT IN (SELECT (document_id, ordinal) FROM chunk)", _D),
     "r17_articles": with_views(f"""WITH a AS (SELECT *, lag(content) OVER (PARTITION BY document_id, article ORDER BY ordinal) AS before FROM ({_ARTICLES}) x), r AS (SELECT *, CASE WHEN content = before THEN '' ELSE content END AS rest FROM a)
         SELECT document_id, article, count(*) AS chunks, CAST(sum(length(rest)) AS BIGINT) AS characters, CASE WHEN sum(length(rest)) <= 14000 THEN coalesce(string_agg(rest, chr(10) ORDER BY ordinal) FILTER (WHERE rest <> ''), '') END AS text FROM r GROUP BY document_id, article""", _D),
-    "g9_resolved": with_views(f"""WITH r AS ({_REFS}), k AS (SELECT doc_key, count(DISTINCT doc_id) AS n, min(doc_id) AS found FROM observation GROUP BY doc_key), al AS (SELECT concat('a', doc_id) AS alias, doc_id AS found FROM documents WHERE doc_id < 20),
+    "g9_resolved": with_views(f"""WITH r AS ({_REFS}), k AS (SELECT doc_key, count(DISTINCT doc_id) AS n, min(doc_id) AS found FROM observation GROUP BY doc_key), al AS (SELECT concat('a', doc_id) AS alias, doc_id AS found FROM documents),
         j AS (SELECT r.ref_id, r.document_id AS old, coalesce(al.found, CASE WHEN k1.n = 1 THEN k1.found END, CASE WHEN k2.n = 1 THEN k2.found END) AS fresh, greatest(coalesce(k1.n, 0), coalesce(k2.n, 0)) > 1 AS shared FROM r LEFT JOIN al ON al.alias = r.alias LEFT JOIN k k1 ON k1.doc_key = r.c1 LEFT JOIN k k2 ON k2.doc_key = r.c2)
         SELECT ref_id, CASE WHEN fresh IS NULL AND shared THEN NULL ELSE coalesce(fresh, old) END AS document_id,
           CASE WHEN fresh IS NOT NULL THEN CASE WHEN old IS NULL THEN 'resolved' WHEN fresh <> old THEN 'corrected' ELSE 'unchanged' END WHEN shared THEN CASE WHEN old IS NULL THEN 'ambiguous' ELSE 'cleared' END ELSE 'unmatched' END AS outcome FROM j""", _D),

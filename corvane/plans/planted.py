@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import quality, repair
 from corvane.functions import text as T
-from corvane.operators import provisions
+from corvane.operators import mining, provisions, workflow
 from corvane.plans.relational import register
 
 _LAW = "Điều 1. Ngân hàng Nhà nước Việt Nam quy định các điều kiện sau đây. "
@@ -81,7 +81,36 @@ def p1_provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), "kind", "label", "content", "path")
 
 
-QUERIES = {f.__name__: f for f in (f12_mojibake, f13_repeated_words, x27_quality_gate, x28_placeholders, x14_references, s18_legacy_encoding, p1_provisions)}
+#: A case for each conversation, and a transcript whose calls and citations come from its turns.
+_CASES = "SELECT DISTINCT conv_id AS id, concat('D', conv_id % 7) AS one, CASE WHEN conv_id % 3 = 0 THEN '' ELSE concat('A', conv_id % 4) END AS article, concat('D', (conv_id + 1) % 7) AS two, conv_id % 2 = 0 AS must, conv_id % 5 = 0 AS abstain FROM conversations"
+_TURNS = "SELECT conv_id, concat(' d', turn % 7, ' ') AS doc, concat('a', length(text) % 4) AS article, CASE role WHEN 'user' THEN 'search' WHEN 'assistant' THEN 'document' ELSE role END AS tool FROM conversations"
+
+
+def _workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _sql(spark, sf_dir, _CASES).select("id", F.array(F.struct(F.col("one").alias("doc_number"), "article"), F.struct(F.col("two").alias("doc_number"), F.lit("").alias("article"))).alias("final_citations"), F.col("must").alias("must_check_relations"), F.col("abstain").alias("expect_abstain"))
+    t = _sql(spark, sf_dir, _TURNS).groupBy(F.col("conv_id").alias("case_id")).agg(F.collect_list(F.struct(F.col("doc").alias("doc_number"), "article")).alias("cited"), (F.count("*") < 5).alias("abstained"), F.collect_list("tool").alias("tools"))
+    return workflow.scored(c, t)
+
+
+def r29_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _workflow(spark, sf_dir)
+    return s.select("case_id", "citation_score", "abstain_correct", "followed_relations", *(F.col(x).cast("long").alias(x) for x in ("tool_calls", "searches", "documents")))
+
+
+def r29_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = workflow.summary(_workflow(spark, sf_dir))
+    return s.select("cases", *(F.round(x, 6).alias(x) for x in ("citation_score", "abstention", "relations", "tool_calls")))
+
+
+_EVIDENCE = "SELECT event_id, CASE user_id % 6 WHEN 0 THEN 'official_tree' WHEN 1 THEN 'official_text' WHEN 2 THEN 'official_metadata' WHEN 3 THEN 'non_binding_transcription' WHEN 4 THEN 'unknown' END AS authority, event_type IN ('view', 'click') AS title_level, CASE WHEN value > 40 THEN 'sửa đổi' WHEN value > 20 THEN '  ' END AS word FROM events"
+
+
+def x34_weak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _sql(spark, sf_dir, _EVIDENCE)
+    return e.select("event_id", mining.weak_confidence(F.col("authority"), F.col("title_level"), F.col("word")).alias("confidence"))
+
+
+QUERIES = {f.__name__: f for f in (f12_mojibake, f13_repeated_words, x27_quality_gate, x28_placeholders, x14_references, s18_legacy_encoding, p1_provisions, r29_workflow, r29_summary, x34_weak_evidence)}
 
 _COUNTS = f"""t AS (SELECT doc_id, regexp_replace(text, '\\p{{L}}\\p{{Mn}}+', 'é', 'g') AS text FROM ({DAMAGED})),
 c AS (SELECT doc_id, CAST(length(text) AS DOUBLE) AS n, len(list_filter(s, lambda x: regexp_full_match(x, '\\p{{L}}'))) AS letters,
@@ -107,7 +136,15 @@ _NODES = (
     (3, "NULL", "article", "2", "concat('Rules', chr(10), 'says “never closed')", "article-2"),
     (4, "NULL", "article", "3", _EACH, "article-3"),
 )
+_SCORED = f"""c AS ({_CASES}), t AS ({_TURNS}),
+e AS (SELECT id, one AS doc, article FROM c UNION ALL SELECT id, two, '' FROM c),
+h AS (SELECT e.id, e.doc, e.article, coalesce(bool_or(lower(trim(t.doc)) = lower(e.doc) AND (e.article = '' OR lower(t.article) = lower(e.article))), false) AS hit FROM e JOIN t ON t.conv_id = e.id GROUP BY ALL),
+n AS (SELECT conv_id, count(*) AS calls, count(*) FILTER (WHERE tool = 'search') AS searches, count(*) FILTER (WHERE tool = 'document') AS documents FROM t GROUP BY conv_id),
+s AS (SELECT c.id AS case_id, (SELECT sum(CAST(hit AS INTEGER)) / 2.0 FROM h WHERE h.id = c.id) AS citation_score, (calls < 5) = abstain AS abstain_correct, NOT must OR documents > 0 AS followed_relations, calls AS tool_calls, searches, documents, must FROM c JOIN n ON n.conv_id = c.id)"""
 ORACLES = {
+    "x34_weak_evidence": f"SELECT event_id, CAST(CASE WHEN a LIKE 'official%' THEN CASE WHEN title_level THEN 0.5 ELSE 0.45 END + CASE WHEN NOT op THEN 0.0 WHEN title_level THEN 0.15 ELSE 0.1 END WHEN a LIKE 'non%' THEN CASE WHEN title_level THEN 0.35 ELSE 0.25 END + CASE WHEN op THEN 0.1 ELSE 0.0 END WHEN title_level THEN 0.3 ELSE 0.2 END AS DECIMAL(3, 2))::DOUBLE AS confidence FROM (SELECT *, coalesce(authority, '') AS a, trim(coalesce(word, '')) <> '' AS op FROM ({_EVIDENCE}))",
+    "r29_workflow": f"WITH {_SCORED} SELECT case_id, citation_score, abstain_correct, followed_relations, tool_calls, searches, documents FROM s",
+    "r29_summary": f"WITH {_SCORED} SELECT count(*) AS cases, round(avg(citation_score), 6) AS citation_score, round(avg(CAST(abstain_correct AS DOUBLE)), 6) AS abstention, round(avg(CAST(followed_relations AS DOUBLE)) FILTER (WHERE must), 6) AS relations, round(avg(tool_calls), 6) AS tool_calls FROM s",
     "f12_mojibake": f"SELECT doc_id, n >= 8 AND n >= 0.005 * length(text) AS damaged FROM (SELECT doc_id, text, len(regexp_extract_all(text, '\\p{{Cyrillic}}')) AS n FROM ({DAMAGED}))",
     "f13_repeated_words": f"SELECT doc_id, len(list_filter(range(1, len(w) - 1), lambda i: length(w[i]) >= 2 AND regexp_full_match(w[i], '\\p{{L}}+') AND regexp_full_match(w[i + 1], '[\\s(]+') AND w[i + 2] = w[i] AND NOT regexp_matches(coalesce(w[i - 1], ''), '[\\p{{N}}_]$') AND NOT regexp_matches(coalesce(w[i + 3], ''), '^[\\p{{N}}_]'))) > 0 AS repeats FROM ({_WORDS})",
     "x27_quality_gate": f"WITH {_COUNTS} SELECT doc_id, round(confidence, 6) AS confidence, ok, CASE WHEN ok THEN '' WHEN why = '' THEN 'below confidence threshold' ELSE why END AS reason FROM o UNION ALL SELECT doc_id, 0.0, false, 'empty text' FROM c WHERE n = 0",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corvane.plans import corpus, derived, evidence, planted, relational, text_queries
+from corvane.plans import corpus, derived, evidence, planted, relational, searching, text_queries
 
-QUERIES: dict = relational.QUERIES | corpus.QUERIES | evidence.QUERIES | text_queries.QUERIES | derived.QUERIES | planted.QUERIES
-ORACLES: dict = relational.ORACLES | corpus.ORACLES | evidence.ORACLES | text_queries.ORACLES | derived.ORACLES | planted.ORACLES
-FLAGSHIP = "r8_hybrid"
+QUERIES: dict = relational.QUERIES | corpus.QUERIES | evidence.QUERIES | text_queries.QUERIES | derived.QUERIES | planted.QUERIES | searching.QUERIES
+ORACLES: dict = relational.ORACLES | corpus.ORACLES | evidence.ORACLES | text_queries.ORACLES | derived.ORACLES | planted.ORACLES | searching.ORACLES
+FLAGSHIP = "search"

@@ -39,7 +39,8 @@ BODIES: dict[str, Callable] = {
     "j6_anti": lambda d: "SELECT id FROM document d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.id)",
     "j7_either_missing": lambda d: "SELECT id FROM (SELECT d.id, max(CASE WHEN l.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS a, max(CASE WHEN v.document_id IS NOT NULL THEN 1 ELSE 0 END) AS b FROM document d LEFT JOIN labels l ON l.doc_id = d.id LEFT JOIN current_validity v ON v.document_id = d.id GROUP BY d.id) x WHERE a = 0 OR b = 0",
     "j8_best_evidence": lambda d: "SELECT from_id, to_id, l_linenumber AS line, l_quantity AS confidence FROM (SELECT r.from_id, r.to_id, l.l_linenumber, l.l_quantity, row_number() OVER (PARTITION BY r.from_id, r.to_id ORDER BY l.l_quantity DESC, l.l_linenumber) AS rn FROM relation r JOIN lineitem l ON l.l_orderkey = r.from_id) x WHERE rn = 1",
-    "j9_prefix_residual": lambda d: "SELECT a.document_id, a.citation AS article, b.citation AS part FROM chunk a JOIN chunk b ON a.document_id = b.document_id AND (b.citation = a.citation OR b.citation LIKE concat(a.citation, ', %')) WHERE a.ordinal = 0",
+    # the part before the first comma is the join's key, so that no document is compared with itself all with all
+    "j9_prefix_residual": lambda d: f"SELECT a.document_id, a.article, b.citation AS part FROM (SELECT DISTINCT document_id, concat('Article ', CAST(floor(ordinal / 10) AS BIGINT)) AS article FROM chunk) a JOIN (SELECT document_id, concat('Article ', CAST(floor(ordinal / 10) AS BIGINT), CASE WHEN ordinal % 10 = 0 THEN '' ELSE concat(', Clause ', ordinal % 10) END) AS citation FROM chunk) b ON a.document_id = b.document_id AND {d.part('b.citation', ', ', 1)} = a.article",
     "j10_term_scope": lambda d: "SELECT d.id, t.term FROM document d JOIN (SELECT 'license' AS term UNION ALL SELECT 'token' UNION ALL SELECT 'idiot') t ON lower(d.text) LIKE concat('%', t.term, '%')",
     "j13_pair_in": lambda d: "SELECT doc_id, lang, source FROM documents WHERE (lang, source) IN (SELECT lang, source FROM documents GROUP BY lang, source HAVING count(*) >= 5)",
     "j14_better_sibling": lambda d: "SELECT doc_id, doc_key, priority, max(priority) OVER (PARTITION BY doc_key) > priority AS outranked FROM observation",
@@ -82,8 +83,7 @@ BODIES: dict[str, Callable] = {
     "st3_claim_order": lambda d: "SELECT fetch_doc_id, ref_key, CAST(row_number() OVER (PARTITION BY fetch_doc_id ORDER BY CASE state WHEN 'pending' THEN 0 ELSE 1 END, updated_at, ref_key) AS BIGINT) AS claim FROM fetch_artifact WHERE state IN ('pending', 'error')",
     "st7_needs_index": lambda d: "SELECT d.id FROM document d JOIN document_text t ON t.document_id = d.id LEFT JOIN (SELECT DISTINCT label AS document_id FROM embeddings) e ON e.document_id = d.id WHERE e.document_id IS NULL AND t.is_binding",
     # text and other functions
-    "x16_number_key": lambda d: f"SELECT id, {d.replaced('lower(doc_number)', '[^a-z0-9]')} AS number_key FROM document",
-    "x17_parent_citation": lambda d: "SELECT id, concat(" + d.part("citation", " ", 1) + ", ' ', substring(" + d.part("citation", " ", 2) + ", 1, 1)) AS parent FROM chunk",
+    "x16_number_key": lambda d: f"SELECT id, {d.replaced("replace(lower(concat(doc_number, '/NĐ-CP É', id)), 'đ', 'd')", '[^\\p{L}\\p{Nd}]')} AS number_key FROM document",
     "x19_prefix": lambda d: "SELECT id, concat_ws(chr(10), concat(doc_number, ': ', title), issuer, doc_type) AS prefix FROM document",
     "x20_token_estimate": lambda d: "SELECT id, CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, CAST(floor(length(content) / 2.0) AS BIGINT)) END AS tokens FROM chunk",
     "x25_clamped": lambda d: f"SELECT doc_id, CASE WHEN length(s) > 200 THEN concat(substring(s, 1, 197), '...') ELSE s END AS snippet FROM (SELECT doc_id, trim({d.replaced('text', '[ \\t\\n]+', ' ')}) AS s FROM documents) x",
@@ -97,7 +97,6 @@ BODIES: dict[str, Callable] = {
         UNION ALL SELECT document_id, 'needs_review' FROM document_text WHERE needs_review""",
     "r25_corpus_status": lambda d: "SELECT issuer, count(*) AS documents, count(v.document_id) AS with_validity, count(*) FILTER (WHERE v.status_class IN ('in_force', 'partial')) AS current_law, CAST(sum(n_chars) AS BIGINT) AS characters FROM document d LEFT JOIN current_validity v ON v.document_id = d.id GROUP BY issuer",
     "r27_validity_usable": lambda d: "SELECT count(*) FILTER (WHERE status_class IN ('in_force', 'partial')) > 0 AS usable FROM current_validity",
-    "r29_workflow": lambda d: "SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'assistant') AS answers, bool_or(role = 'assistant' AND length(text) = 0) AS abstained, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
     "r30_family_validity": lambda d: "SELECT to_id AS base, from_id AS member, CASE WHEN rn = 1 THEN coalesce(status_class, 'unknown') ELSE 'expired' END AS status_class FROM (SELECT r.from_id, r.to_id, v.status_class, row_number() OVER (PARTITION BY r.to_id ORDER BY o.o_orderdate DESC, r.from_id DESC) AS rn FROM relation r JOIN orders o ON o.o_orderkey = r.from_id LEFT JOIN current_validity v ON v.document_id = r.to_id) x",
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corvane.functions import quality
 from corvane.functions.html import text_of
 from corvane.functions.text import repeats_a_word
-from corvane.operators import provisions, retrieval
+from corvane.operators import provisions, retrieval, workflow
 from corvane.storage import shared_folder
 
 LAW = "Điều 3. Tổ chức tín dụng phải công bố lãi suất cho vay bình quân. "
@@ -90,3 +90,14 @@ def test_postings(spark, sf_dir):
         assert {r.id: round(r.score, 9) for r in retrieval.search_postings(spark, path, query).collect()} == plain
     plan = retrieval.search_postings(spark, path, ["law"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_workflow(spark):
+    kind = "array<struct<doc_number:string,article:string>>"
+    cases = spark.createDataFrame([("a", [("12/2020", "5"), ("13/2020", None)], True, False), ("b", [], False, True), ("c", [("1", "")], None, None)], f"id string, final_citations {kind}, must_check_relations boolean, expect_abstain boolean")
+    runs = [("a", [(" 12/2020 ", "6"), ("13/2020", "1")], False, ["search", "document", "search"]), ("b", [], True, []), ("c", None, None, None), ("z", [], True, [])]
+    s = workflow.scored(cases, spark.createDataFrame(runs, f"case_id string, cited {kind}, abstained boolean, tools array<string>"))
+    got = {r.case_id: (r.citation_score, r.abstain_correct, r.followed_relations, r.tool_calls, r.searches, r.documents) for r in s.collect()}
+    assert got == {"a": (0.5, True, True, 3, 2, 1), "b": (1.0, True, True, 0, 0, 0), "c": (0.0, True, True, 0, 0, 0)}
+    assert tuple(workflow.summary(s).first()) == (3, 0.5, 1.0, 1.0, 1.0)
+    assert tuple(workflow.summary(s.limit(0)).first()) == (0, 0.0, 0.0, 0.0, 0.0)
