@@ -42,6 +42,8 @@ END = OWN
 BATCH, NOISE, RATE = 2048, 48, 0.1
 #: Bits of a hash that say where in the table it may be.
 PARTS = 19
+#: Counts of words that a task holds before it adds up equal ones (24 bytes each), and hands them on if as many are left.
+MERGED = 1_000_000
 #: Words of a group, and draws of noise for each token within a class or group.
 GROUP, INNER_NOISE = 64, 4
 #: Tokens of a shard, of an array of vectors; parts in which a shard's changes are averaged.
@@ -81,7 +83,7 @@ def read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, tails, counts, held = [], [], [], 0
+    keys, tails, counts, held, most = [], [], [], 0, MERGED
 
     def merged():
         k, t, c = np.concatenate(keys), np.concatenate(tails), np.concatenate(counts)
@@ -94,12 +96,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             u, first, c = np.unique(h, return_index=True, return_counts=True)
             keys, tails, counts = [*keys, u], [*tails, tail[first]], [*counts, c]
             held += len(u)
-            if held > 3_000_000:
+            if held > most:
                 u, t, c = merged()
-                keys, tails, counts, held = [u], [t], [c], 0
-                if len(u) > 2_000_000:
+                keys, tails, counts, held, most = [u], [t], [c], len(u), MERGED + len(u)
+                if len(u) > MERGED:
                     yield _counts(u, t, c)
-                    keys, tails, counts = [], [], []
+                    keys, tails, counts, held, most = [], [], [], 0, MERGED
     if keys:
         yield _counts(*merged())
 
