@@ -88,3 +88,16 @@ def detail(df, level: str):
     compact = ["id", "doc_number", "citation", "status_class", "score"]
     keep = {"compact": compact, "standard": [*compact, "title", "snippet", "is_binding"], "full": df.columns}[level]
     return df.select(*(c for c in df.columns if c in keep))
+
+
+def prefix(number: Column, title: Column, chapter: Column, section: Column, label: Column, effective: Column, most: int = 220) -> Column:
+    """What stands before a chunk: number and title, chapter, section, and the label with the date; each but the date cut to `most` characters."""
+
+    def cut(x: Column) -> Column:
+        x = F.trim(F.coalesce(x, F.lit("")))
+        return F.when(F.length(x) <= most, x).otherwise(F.concat(F.trim(F.substring(x, 1, most - 3)), F.lit("...")))
+
+    number, title = F.coalesce(number, F.lit("")), cut(title)
+    head = F.concat_ws(": ", F.when(number != "", number), F.when(title != "", title))
+    rest = (F.when(x != "", x) for x in (head, cut(chapter), cut(section)))
+    return F.concat_ws("\n", *rest, F.concat(label, F.lit(": "), F.date_format(effective, "dd/MM/yyyy")))

@@ -58,6 +58,11 @@ def references(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
 
+def terms_in(text: Column, terms: list[str]) -> Column:
+    """Which of the terms a text holds, letter case apart; the text is lower-cased once, and no join is needed."""
+    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda low: F.filter(F.array(*map(F.lit, terms)), lambda t: low.contains(F.lower(t))))[0]
+
+
 def in_scope(text: Column, strong: list[str], weak: list[str], signals: list[str]) -> Column:
     """A strong term, or a weak one together with a signal; terms are compared folded, as whole words."""
     padded = F.concat(F.lit(" "), folded(text), F.lit(" "))

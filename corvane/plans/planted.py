@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import quality, repair
+from corvane.functions import citations, quality, repair
 from corvane.functions import text as T
 from corvane.operators import mining, provisions, workflow
 from corvane.plans.relational import register
@@ -92,6 +92,19 @@ def _workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.scored(c, t)
 
 
+_TERMS = ["License", "token", "idiot"]
+_HEADS = "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat(source, '/', doc_id) END AS number, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END AS title, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE concat(' Chapter ', doc_id, ' ') END AS chapter, lang AS section, CASE WHEN doc_id % 2 = 0 THEN DATE '2020-02-03' END AS effective FROM documents"
+
+
+def j10_term_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, "SELECT doc_id AS id, text FROM documents").select("id", F.explode(T.terms_in(F.col("text"), _TERMS)).alias("term"))
+
+
+def x19_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return _sql(spark, sf_dir, _HEADS).select("doc_id", citations.prefix(c("number"), c("title"), c("chapter"), c("section"), F.lit("Effective"), c("effective")).alias("prefix"))
+
+
 def r29_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _workflow(spark, sf_dir)
     return s.select("case_id", "citation_score", "abstain_correct", "followed_relations", *(F.col(x).cast("long").alias(x) for x in ("tool_calls", "searches", "documents")))
@@ -110,7 +123,7 @@ def x34_weak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", mining.weak_confidence(F.col("authority"), F.col("title_level"), F.col("word")).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (f12_mojibake, f13_repeated_words, x27_quality_gate, x28_placeholders, x14_references, s18_legacy_encoding, p1_provisions, r29_workflow, r29_summary, x34_weak_evidence)}
+QUERIES = {f.__name__: f for f in (f12_mojibake, f13_repeated_words, x27_quality_gate, x28_placeholders, x14_references, s18_legacy_encoding, p1_provisions, r29_workflow, r29_summary, x34_weak_evidence, j10_term_scope, x19_prefix)}
 
 _COUNTS = f"""t AS (SELECT doc_id, regexp_replace(text, '\\p{{L}}\\p{{Mn}}+', 'é', 'g') AS text FROM ({DAMAGED})),
 c AS (SELECT doc_id, CAST(length(text) AS DOUBLE) AS n, len(list_filter(s, lambda x: regexp_full_match(x, '\\p{{L}}'))) AS letters,
@@ -141,7 +154,10 @@ e AS (SELECT id, one AS doc, article FROM c UNION ALL SELECT id, two, '' FROM c)
 h AS (SELECT e.id, e.doc, e.article, coalesce(bool_or(lower(trim(t.doc)) = lower(e.doc) AND (e.article = '' OR lower(t.article) = lower(e.article))), false) AS hit FROM e JOIN t ON t.conv_id = e.id GROUP BY ALL),
 n AS (SELECT conv_id, count(*) AS calls, count(*) FILTER (WHERE tool = 'search') AS searches, count(*) FILTER (WHERE tool = 'document') AS documents FROM t GROUP BY conv_id),
 s AS (SELECT c.id AS case_id, (SELECT sum(CAST(hit AS INTEGER)) / 2.0 FROM h WHERE h.id = c.id) AS citation_score, (calls < 5) = abstain AS abstain_correct, NOT must OR documents > 0 AS followed_relations, calls AS tool_calls, searches, documents, must FROM c JOIN n ON n.conv_id = c.id)"""
+_CUT = "CASE WHEN length({x}) > 220 THEN concat(trim(substring({x}, 1, 217)), '...') ELSE {x} END"
 ORACLES = {
+    "j10_term_scope": f"SELECT doc_id AS id, term FROM documents, (SELECT unnest({_TERMS}) AS term) WHERE contains(lower(text), lower(term))",
+    "x19_prefix": f"SELECT doc_id, concat_ws(chr(10), nullif(concat_ws(': ', nullif(number, ''), nullif({_CUT.format(x='t')}, '')), ''), nullif(trim(chapter), ''), nullif(section, ''), CASE WHEN effective IS NOT NULL THEN 'Effective: 03/02/2020' END) AS prefix FROM (SELECT *, trim(coalesce(title, ''), ' ') AS t FROM ({_HEADS}))",
     "x34_weak_evidence": f"SELECT event_id, CAST(CASE WHEN a LIKE 'official%' THEN CASE WHEN title_level THEN 0.5 ELSE 0.45 END + CASE WHEN NOT op THEN 0.0 WHEN title_level THEN 0.15 ELSE 0.1 END WHEN a LIKE 'non%' THEN CASE WHEN title_level THEN 0.35 ELSE 0.25 END + CASE WHEN op THEN 0.1 ELSE 0.0 END WHEN title_level THEN 0.3 ELSE 0.2 END AS DECIMAL(3, 2))::DOUBLE AS confidence FROM (SELECT *, coalesce(authority, '') AS a, trim(coalesce(word, '')) <> '' AS op FROM ({_EVIDENCE}))",
     "r29_workflow": f"WITH {_SCORED} SELECT case_id, citation_score, abstain_correct, followed_relations, tool_calls, searches, documents FROM s",
     "r29_summary": f"WITH {_SCORED} SELECT count(*) AS cases, round(avg(citation_score), 6) AS citation_score, round(avg(CAST(abstain_correct AS DOUBLE)), 6) AS abstention, round(avg(CAST(followed_relations AS DOUBLE)) FILTER (WHERE must), 6) AS relations, round(avg(tool_calls), 6) AS tool_calls FROM s",

@@ -41,7 +41,6 @@ BODIES: dict[str, Callable] = {
     "j8_best_evidence": lambda d: "SELECT from_id, to_id, l_linenumber AS line, l_quantity AS confidence FROM (SELECT r.from_id, r.to_id, l.l_linenumber, l.l_quantity, row_number() OVER (PARTITION BY r.from_id, r.to_id ORDER BY l.l_quantity DESC, l.l_linenumber) AS rn FROM relation r JOIN lineitem l ON l.l_orderkey = r.from_id) x WHERE rn = 1",
     # the part before the first comma is the join's key, so that no document is compared with itself all with all
     "j9_prefix_residual": lambda d: f"SELECT a.document_id, a.article, b.citation AS part FROM (SELECT DISTINCT document_id, concat('Article ', CAST(floor(ordinal / 10) AS BIGINT)) AS article FROM chunk) a JOIN (SELECT document_id, concat('Article ', CAST(floor(ordinal / 10) AS BIGINT), CASE WHEN ordinal % 10 = 0 THEN '' ELSE concat(', Clause ', ordinal % 10) END) AS citation FROM chunk) b ON a.document_id = b.document_id AND {d.part('b.citation', ', ', 1)} = a.article",
-    "j10_term_scope": lambda d: "SELECT d.id, t.term FROM document d JOIN (SELECT 'license' AS term UNION ALL SELECT 'token' UNION ALL SELECT 'idiot') t ON lower(d.text) LIKE concat('%', t.term, '%')",
     "j13_pair_in": lambda d: "SELECT doc_id, lang, source FROM documents WHERE (lang, source) IN (SELECT lang, source FROM documents GROUP BY lang, source HAVING count(*) >= 5)",
     "j14_better_sibling": lambda d: "SELECT doc_id, doc_key, priority, max(priority) OVER (PARTITION BY doc_key) > priority AS outranked FROM observation",
     "j16_status_row": lambda d: "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM chunk) AS chunks, (SELECT count(DISTINCT document_id) FROM validity) AS with_validity, (SELECT count(*) FROM relation) AS relations, (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(*) FROM document_text WHERE is_binding) AS binding",
@@ -84,7 +83,6 @@ BODIES: dict[str, Callable] = {
     "st7_needs_index": lambda d: "SELECT d.id FROM document d JOIN document_text t ON t.document_id = d.id LEFT JOIN (SELECT DISTINCT label AS document_id FROM embeddings) e ON e.document_id = d.id WHERE e.document_id IS NULL AND t.is_binding",
     # text and other functions
     "x16_number_key": lambda d: f"SELECT id, {d.replaced("replace(lower(concat(doc_number, '/NĐ-CP É', id)), 'đ', 'd')", '[^\\p{L}\\p{Nd}]')} AS number_key FROM document",
-    "x19_prefix": lambda d: "SELECT id, concat_ws(chr(10), concat(doc_number, ': ', title), issuer, doc_type) AS prefix FROM document",
     "x20_token_estimate": lambda d: "SELECT id, CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, CAST(floor(length(content) / 2.0) AS BIGINT)) END AS tokens FROM chunk",
     "x25_clamped": lambda d: f"SELECT doc_id, CASE WHEN length(s) > 200 THEN concat(substring(s, 1, 197), '...') ELSE s END AS snippet FROM (SELECT doc_id, trim({d.replaced('text', '[ \\t\\n]+', ' ')}) AS s FROM documents) x",
     "x26_status_label": lambda d: "SELECT document_id, CASE status_class WHEN 'in_force' THEN 'in force' WHEN 'partial' THEN 'partly in force' WHEN 'not_yet' THEN 'not yet in force' ELSE status_class END AS label FROM current_validity",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ SEEDS = {
     "setting": "key string, value string",
     "abbreviation_expand": "jurisdiction string, abbreviation string, expansion string",
 }
-_GOLDEN = "id string, question string, expected_citations array<struct<doc_number: string, article: string, clause: string, point: string>>, expect_abstain boolean, notes string"
+_CITATION = "doc_number string, article string, clause string, point string, relation_ok boolean, alt_doc_numbers array<string>"
+_GOLDEN = f"id string, question string, expected_citations array<struct<{_CITATION.replace(' ', ': ').replace(',: ', ', ')}>>, expect_abstain boolean, expect_fail boolean, notes string"
 
 
 def seeds(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -30,11 +33,27 @@ def reload_seeds(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFr
 
 
 def golden(spark: SparkSession, path: str) -> DataFrame:
-    """Question sets as JSON; unknown kinds of values fail the read, and so do repeated ids."""
-    df = spark.read.schema(_GOLDEN).json(path, multiLine=True, mode="FAILFAST")
-    if twice := df.groupBy("id").count().where("count > 1").limit(1).collect():
-        raise ValueError(f"case {twice[0].id} is there twice")
-    return df
+    """A question set, a JSON array of cases. Refused: unknown fields, an empty set, a case without id or question or with an id that another has, one that expects an answer but no citation, a citation without a document. Sets are small files that the driver reads."""
+    cases = json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    if not isinstance(cases, list) or not cases:
+        raise ValueError(f"{path} holds no cases")
+    of_case, of_citation = ["id", "question", "expected_citations", "expect_abstain", "expect_fail", "notes"], [x.split()[0] for x in _CITATION.split(", ")]
+    seen = set()
+    for k, c in enumerate(cases):
+        cited = c.get("expected_citations") or []
+        if extra := {*c} - {*of_case} | {x for e in cited for x in {*e} - {*of_citation}}:
+            raise ValueError(f"case {k} has unknown fields {sorted(extra)}")
+        if not c.get("id") or not c.get("question"):
+            raise ValueError(f"case {k} has no id or no question")
+        if c["id"] in seen:
+            raise ValueError(f"case {c['id']} is there twice")
+        if not c.get("expect_abstain") and not cited:
+            raise ValueError(f"case {c['id']} expects neither citations nor abstention")
+        if any(not e.get("doc_number") for e in cited):
+            raise ValueError(f"case {c['id']} expects a citation without a document")
+        seen.add(c["id"])
+    rows = [tuple([tuple(map(e.get, of_citation)) for e in c.get(n) or []] if n == "expected_citations" else c.get(n) for n in of_case) for c in cases]
+    return spark.createDataFrame(rows, _GOLDEN)
 
 
 def feed(spark: SparkSession, path: str) -> DataFrame:

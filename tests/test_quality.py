@@ -7,6 +7,7 @@ from corvane.functions import quality
 from corvane.functions.html import text_of
 from corvane.functions.text import repeats_a_word
 from corvane.operators import provisions, retrieval, workflow
+from corvane.sources import readers, sinks
 from corvane.storage import shared_folder
 
 LAW = "Điều 3. Tổ chức tín dụng phải công bố lãi suất cho vay bình quân. "
@@ -101,3 +102,33 @@ def test_workflow(spark):
     assert got == {"a": (0.5, True, True, 3, 2, 1), "b": (1.0, True, True, 0, 0, 0), "c": (0.0, True, True, 0, 0, 0)}
     assert tuple(workflow.summary(s).first()) == (3, 0.5, 1.0, 1.0, 1.0)
     assert tuple(workflow.summary(s.limit(0)).first()) == (0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_question_sets(spark, tmp_path):
+    import json
+
+    good = {"id": "1", "question": "q", "expected_citations": [{"doc_number": "12/2020", "relation_ok": True, "alt_doc_numbers": ["x"]}], "expect_abstain": False}
+
+    def load(cases):
+        (tmp_path / "g.json").write_text(json.dumps(cases, indent=1))
+        return readers.golden(spark, str(tmp_path / "g.json")).collect()
+
+    row = load([good, {"id": "2", "question": "r", "expect_abstain": True, "expect_fail": True}])[0]
+    assert row.expected_citations[0].alt_doc_numbers == ["x"] and row.expected_citations[0].relation_ok
+    cited = lambda **e: {**good, "expected_citations": [e]}
+    for bad in ([], [good, good], [{**good, "id": ""}], [{**good, "question": None}], [{**good, "typo": 1}], [cited(doc_number="a", artcle="b")], [cited(article="5")], [{**good, "expected_citations": []}]):
+        with pytest.raises(ValueError):
+            load(bad)
+
+
+def test_reports(spark, tmp_path):
+    words = spark.createDataFrame([("thue", "thuế", 0.98765), ("luat", "luật", 1.0)], "folded string, form string, share double")
+    sinks.write_dictionary(words, str(tmp_path / "d"))
+    assert "".join(p.read_text() for p in (tmp_path / "d").glob("*.csv")) == "folded,form,share\nluat,luật,1.0\nthue,thuế,0.9877\n"
+    sinks.write_report(spark.createDataFrame([("b", 1.0), ("a", 0.5)], "case_id string, score double"), str(tmp_path / "r"))
+    assert "".join(p.read_text() for p in (tmp_path / "r").glob("*.json")).startswith('{"case_id":"a"')
+    metrics = {"recall": 0.8, "mrr": 0.5, "abstention": 1.0}
+    low = sinks.missed(metrics, {"recall": 0.9, "mrr": 0.9, "abstention": 0}, {"recall": 3, "mrr": 0, "abstention": 3})
+    assert low == [("recall", 0.8, 0.9)] and "below threshold: recall 0.800 < 0.900" in sinks.report(metrics, low)
+    left = [3, 2, 0, 5]
+    assert sinks.rounds(lambda: left.pop(0), 6) == 3 and sinks.rounds(lambda: 1, 4) == 4
