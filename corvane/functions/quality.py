@@ -69,14 +69,26 @@ def assess(text: Column, gate: Gate = Gate()) -> Column:  # noqa: B008
     A letter with marks behind it counts as one accented letter. Null is an empty text, which fails.
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{L}\p{Mn}+", "é")
-    n = F.length(t)
+    return _once(_once(t, _counts), lambda c: _verdict(c, gate))
+
+
+def _once(value: Column, then) -> Column:
+    """`then` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _counts(t: Column) -> Column:
+    kinds = {"letters": r"\p{L}", "ascii": "[A-Za-z]", "bad": r"[\x00-\x08\x0B\x0E-\x1F\x7F-\x9F�]", "blank": r"[\t\n\x0B\f\r\x85\p{Z}]", "private": r"[\x{E000}-\x{F8FF}]", "marks": f"[{MOJIBAKE_MARKS}]", "cyrillic": "[Ѐ-ӿ]"}
+    return F.struct(F.length(t).alias("n"), *(_count(t, k).alias(name) for name, k in kinds.items()))
+
+
+def _verdict(c: Column, gate: Gate) -> Column:
+    n, letters, marks = c.n, c.letters, c.marks
     share = lambda x: x / F.greatest(n, F.lit(1))
-    letters = _count(t, r"\p{L}")
-    bad = share(_count(t, r"[\x00-\x08\x0B\x0E-\x1F\x7F-\x9F�]"))
-    blank, private = share(_count(t, r"[\t\n\x0B\f\r\x85\p{Z}]")), share(_count(t, r"[\x{E000}-\x{F8FF}]"))
-    marks = _count(t, f"[{MOJIBAKE_MARKS}]")
-    garbled, cyrillic = (marks >= MOJIBAKE_COUNT) & (share(marks) > MOJIBAKE_RATIO), cyrillic_mojibake(t)
-    plain = (letters >= 200) & ((letters - _count(t, "[A-Za-z]")) / F.greatest(letters, F.lit(1)) < gate.min_diacritic_density)
+    bad, blank, private = share(c.bad), share(c.blank), share(c.private)
+    garbled = (marks >= MOJIBAKE_COUNT) & (share(marks) > MOJIBAKE_RATIO)
+    cyrillic = (c.cyrillic >= CYRILLIC_COUNT) & (c.cyrillic >= CYRILLIC_RATIO * n)
+    plain = (letters >= 200) & ((letters - c.ascii) / F.greatest(letters, F.lit(1)) < gate.min_diacritic_density)
     faults = (
         (bad > gate.max_bad_ratio, bad * 5.0, "bad chars"),
         (letters < gate.min_letters, F.lit(0.3), "too few letters"),
