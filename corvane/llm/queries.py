@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, language_id, language_model, minhash, packing, periodic, secret_scan, sstable, topk, toxicity, url_filter, warc
+from corvane.llm import decontaminate, language_id, language_model, minhash, packing, periodic, schema_rewrite, secret_scan, sstable, topk, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_schema_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_rewrite.rewrite_clients(table(spark, sf_dir, "clients"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(table(spark, sf_dir, "documents"), change=periodic.planted).drop("text")
 
@@ -64,7 +68,7 @@ def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_language(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_language_model, op3_decontaminate, op4_topk, op5_toxicity, op6_packing, op7_token_shards, op8_warc, op9_near_duplicates, op10_urls, op12_periodic_runs, op13_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_language_model, op3_decontaminate, op4_topk, op5_toxicity, op6_packing, op7_token_shards, op8_warc, op9_near_duplicates, op10_urls, op11_schema_rewrite, op12_periodic_runs, op13_language_id)}
 
 _TOPK = """
 WITH ready AS (
