@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import os
-from itertools import chain
+from itertools import chain, takewhile
 
 import numpy as np
 
@@ -55,8 +55,11 @@ class Encoder:
             self._begins[self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids] = True
         # marks with ids of their own, which the tokenizer finds before it parts a text
         added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.lower_marks = any(t.normalized for t in added)
+        # texts of bare words are cut in lower case, so marks in capitals, which are plain text, count there as well
+        self.lower_marks = self.mode == "bare" or any(t.normalized for t in added)
         self.marks = [t.content.lower() if self.lower_marks else t.content for t in added]
+        # what each begins with before its first letter, which is the same in either case
+        self.heads = {"".join(takewhile(lambda c: not c.isalpha(), m)) for m in self.marks}
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -123,10 +126,17 @@ class Encoder:
         parts[0] = _FIRST + parts[0]
         return parts
 
+    def _marked(self, text: str) -> bool:
+        """Whether a text holds a mark, in any letter case if texts are cut in lower case."""
+        if not any(head in text for head in self.heads):
+            return False
+        text = text.lower() if self.lower_marks else text
+        return any(m in text for m in self.marks)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.mode == "whole":
             return self._whole(texts)
-        marked = [any(m in t for m in self.marks) for t in texts] if not self.lower_marks else [any(m in low for m in self.marks) for low in map(str.lower, texts)]
+        marked = [self._marked(t) for t in texts]
         cut = [self._cut(t) if t and not m else [] for t, m in zip(texts, marked, strict=True)]
         known = self.known
         missing = set(chain.from_iterable(cut)).difference(known)

@@ -329,6 +329,17 @@ def test_encoder_equals_the_library():
         assert [x for t in texts for x in e.encode([t])] == whole
 
 
+def test_marks_in_every_letter_case():
+    rng = random.Random(8)
+    ends = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext|", "|ENDOFTEXT|>", "<|", "<|STARTOFTEXT|>", "\u0130", "\u212a"]
+    texts = ["a <|ENDOFTEXT|> b"] + ["".join(rng.choice([*ends, " ", "a", "Zo\u00eb", "\n", ".", "1", "x "]) for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e, path = Encoder(public_tokenizers.path(name)), public_tokenizers.path(name)
+        library = Tokenizer.from_file(path)
+        want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+        assert e.encode(texts) == want
+
+
 def plain_tiles(a, b, least):
     """The longest run of free equal words, again and again."""
     free_a, free_b, out = [x >= 0 for x in a], [True] * len(b), []
