@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import bucket, number_slices, shared_dir, slices, text_ends, written
@@ -451,6 +451,28 @@ def _dealt(encoded: DataFrame, folder: str, tokens: int) -> list[DataFrame]:
     return [dealt.where(F.col("round") == k).select("shard", "ids") for k in range(rounds)]
 
 
+def most_frequent(counts: DataFrame, most: int) -> Column:
+    """The condition for the words of the table: of counts (h, c), those of the greatest, at most `most`.
+
+    Counts are told apart up to 2^20, greater ones by their first ten bits, so the driver gets a bounded number of steps
+    at any size. A step is taken whole or not at all; of a first one that is too large, the words of the least hashes are.
+    """
+    drop = F.expr("if(length(bin(c)) > 20, length(bin(c)) - 10, 0)")
+    step = drop.cast("bigint") * F.lit(1 << 20) + F.expr("shiftright(c, if(length(bin(c)) > 20, length(bin(c)) - 10, 0))")
+    least, reached = None, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        if reached + r.n > most:
+            if not reached:
+                part = F.shiftrightunsigned("h", 44)
+                for p in counts.where(step == r.step).groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+                    reached += p.n
+                    if reached > most:
+                        return (step == r.step) & (part < p.part)
+            break
+        least, reached = r.step, reached + r.n
+    return F.lit(False) if least is None else step >= least
+
+
 def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each row of docs (doc_id, text, ...).
 
@@ -468,19 +490,14 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame
     counts = training.select("text").mapInArrow(_count, "h bigint, tail int, c bigint").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
     counts = written(counts, folder, "counts")
     texts = training.count()
-    # the least count that at most COMMON words reach
-    steps = counts.groupBy(F.least("c", F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
-    least, reached = (1 << 20) + 1, 0
-    for r in steps:
-        if reached + r.n > COMMON:
-            break
-        least, reached = r.c, reached + r.n
-    common = counts.where(F.col("c") >= least).toArrow() if reached else None
+    frequent = most_frequent(counts, COMMON)
+    common = counts.where(frequent).toArrow()
+    reached = len(common)
     h = common.column("h").to_numpy().view(U) if reached else np.zeros(0, U)
     c = common.column("c").to_numpy() if reached else np.zeros(0, np.int64)
     table = Table(h, c, common.column("tail").to_numpy() if reached else np.zeros(0, np.int64))
     tails = np.zeros((2, TAILS))
-    for r in counts.where(F.col("c") < least).groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+    for r in counts.where(~frequent).groupBy("tail").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         tails[:, r.tail] = r.n, r.v
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = words + texts, kinds + (texts > 0)
@@ -525,7 +542,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2) -> DataFrame
     each = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("h"), F.shiftright("w.times", 6).alias("k"), F.col("w.times").bitwiseAND(63).cast("int").alias("tail"))
     count = F.coalesce("c", F.lit(0))
     tail_log = F.element_at(F.array(*(F.lit(float(x)) for x in log_k)), F.col("tail") + 1)
-    joined = each.join(counts.select("h", "c").where(F.col("c") < least), "h", "left")
+    joined = each.join(counts.where(~frequent).select("h", "c"), "h", "left")
     more = joined.groupBy("row").agg(
         F.sum(F.when(count > 0, F.col("k")).otherwise(0)).alias("more_known"),
         F.sum(F.col("k") * (F.log10(count + 1) - F.lit(log_n))).alias("more_base"),

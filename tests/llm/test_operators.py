@@ -329,6 +329,20 @@ def test_encoder_equals_the_library():
         assert [x for t in texts for x in e.encode([t])] == whole
 
 
+def test_table_of_frequent_words_at_any_count(spark):
+    def chosen(counts, most):
+        df = spark.createDataFrame([(mixed(i), c) for i, c in enumerate(counts)], "h bigint, c bigint")
+        return sorted(r.c for r in df.where(language_model.most_frequent(df, most)).collect())
+
+    def mixed(i):
+        return int.from_bytes(hashlib.sha256(b"%d" % i).digest()[:8], "big", signed=True)
+
+    assert chosen([5, 4, 4, 3, 1], 3) == [4, 4, 5] and chosen([5, 4, 4, 3], 2) == [5] and chosen([7, 7], 9) == [7, 7]
+    large = [(1 << 20) + 4096 * k for k in range(300)] + [1 << 40] * 3 + [9] * 50
+    assert len(chosen(large, 100)) > 90 and chosen(large, 100)[-3:] == [1 << 40] * 3 and min(chosen(large, 100)) > 1 << 20
+    assert 90 <= len(chosen([(1 << 20) + 1] * 300, 100)) <= 100 and chosen([], 5) == []
+
+
 def test_marks_in_every_letter_case():
     rng = random.Random(8)
     ends = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext|", "|ENDOFTEXT|>", "<|", "<|STARTOFTEXT|>", "\u0130", "\u212a"]
