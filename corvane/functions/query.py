@@ -18,6 +18,11 @@ class Options:
     doc_cap: int | None = None
     in_force_only: bool | None = None
     other_pass: bool | None = None
+    #: hybrid, vector or bm25; a date; the constant of rank fusion; none, clause or article.
+    mode: str | None = None
+    as_of: str | None = None
+    rrf_k: int | None = None
+    roll_up: str | None = None
 
     def over(self, *below: Options) -> Options:
         """These settings, gaps filled from the ones below in turn; a search within named documents has no pass for others."""
@@ -27,7 +32,7 @@ class Options:
         return out
 
 
-DEFAULTS = Options(top_k=8, pool=50, doc_cap=3, in_force_only=True, other_pass=True)
+DEFAULTS = Options(top_k=8, pool=50, doc_cap=3, in_force_only=True, other_pass=True, mode="hybrid", rrf_k=60, roll_up="article")
 
 
 def fold(text: str) -> str:

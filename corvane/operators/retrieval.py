@@ -12,6 +12,8 @@ RRF_K = 60
 LEXICAL_WEIGHT = 0.5
 POOL = 50
 DOC_CAP = 3
+#: Terms that are counted in columns of their own; more are joined.
+COLUMNS = 64
 
 
 def tokens(text: Column) -> Column:
@@ -19,58 +21,69 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", " "), " "), lambda t: t != "")
 
 
-def _weighted(post: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
-    """(id, score) from postings (term, id, f, dl), document frequencies (term, df) and one row (n, avgdl). Both of these have a row for each query term at most."""
+def weighted(post: DataFrame, df: DataFrame, stats: DataFrame, *keys: str) -> DataFrame:
+    """(keys, id, score) from postings (term, id, f, dl, keys), document frequencies (term, df) and one row (n, avgdl). Both of these have a row for each query term at most."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return post.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy("id").agg(F.sum(weight).alias("score"))
+    return post.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy(*keys, "id").agg(F.sum(weight).alias("score"))
 
 
-def bm25(docs: DataFrame, query: list[str], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, score) of the documents that hold a query term, without an index.
+def counted(docs: DataFrame, terms: list[str], id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings (term, id, f, dl), document frequencies and statistics for some terms, without an index.
 
-    The texts are read once: a document's length and its counts of the query's terms are written, a few numbers each,
-    and statistics and scores come from these. For many queries over one corpus, build_postings() once.
+    The texts are read once: a document's length and its counts of the terms are written, a few numbers each.
     """
-    terms = list(dict.fromkeys(query))
     t = docs.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("t"))
 
-    def count(q: str) -> Column:
-        return F.size(F.filter("t", lambda x: x == q))
+    def count(term: str) -> Column:
+        return F.size(F.filter("t", lambda x: x == term))
+
+    if len(terms) <= COLUMNS:
+        counts = F.array(*map(count, terms)) if terms else F.array().cast("array<int>")
+        t = written(t.select("id", F.size("t").alias("dl"), counts.alias("f")))
+        post = t.select("id", "dl", F.posexplode("f").alias("k", "f")).where("f > 0").select("id", "dl", "f", F.element_at(F.array(*map(F.lit, terms or [""])), F.col("k") + 1).alias("term"))
+    else:
+        asked = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in terms], "term string"))
+        t = written(t.select(F.monotonically_increasing_id().alias("row"), "id", F.size("t").alias("dl"), "t"))
+        post = written(t.select("row", "id", "dl", F.explode("t").alias("term")).join(asked, "term").groupBy("row", "id", "dl", "term").agg(F.count("*").cast("int").alias("f")).drop("row"))
+    return post, post.groupBy("term").agg(F.count("*").alias("df")), t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
-    counts = F.array(*map(count, terms)) if terms else F.array().cast("array<int>")
-    t = written(t.select("id", F.size("t").alias("dl"), counts.alias("f")))
-    stats = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    post = t.select("id", "dl", F.posexplode("f").alias("k", "f")).where("f > 0").select("id", "dl", "f", F.element_at(F.array(*map(F.lit, terms or [""])), F.col("k") + 1).alias("term"))
-    return _weighted(post, post.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+def bm25(docs: DataFrame, query: list[str], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, score) of the documents that hold a query term, without an index. For many queries over one corpus, build_postings() once."""
+    return weighted(*counted(docs, list(dict.fromkeys(query)), id_column, text_column))
 
 
 def build_postings(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", buckets: int = 256) -> str:
     """Writes the corpus's postings below `path`: (term, id, f, dl) in folders by a hash of the term and in its order, document frequencies alike, and the corpus's statistics.
 
-    Terms are counted where the texts are read. A common term's postings are many rows of one key: each folder is
-    dealt over tasks by document, too, so that no task gets more than its share. Repeated ids are documents of their
+    Terms are counted where the texts are read. A common term's postings are many rows of one key: rows go to tasks by
+    ranges of (folder, term, document), so that a term is spread over as many tasks as its postings fill. Repeated ids are documents of their
     own; null and wordless texts count in the statistics only.
     """
     t = docs.select(F.col(id_column).alias("id"), tokens(F.coalesce(F.col(text_column), F.lit(""))).alias("t"))
     t = t.select(F.monotonically_increasing_id().alias("place"), "id", F.size("t").alias("dl"), "t")
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
     post = t.select("place", "id", "dl", F.explode("t").alias("term")).groupBy("place", "id", "dl", "term").agg(F.count("*").cast("int").alias("f"))
-    post.select("term", "id", "f", "dl", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    post.select("term", "id", "f", "dl", bucket).repartitionByRange("bucket", "term", F.xxhash64("id")).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     df = docs.sparkSession.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
     df.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
     return path
 
 
-def search_postings(spark: SparkSession, path: str, query: list[str]) -> DataFrame:
-    """bm25() from postings: only the folders of the query's terms are read, and of these the row groups that can hold them."""
+def read_postings(spark: SparkSession, path: str, terms: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, document frequencies and statistics for some terms: only their folders are read, and of these the row groups that can hold them."""
     stats = spark.read.parquet(f"{path}/statistics")
     n = stats.first().buckets
-    terms = list(dict.fromkeys(query))
     folders = [r[0] for r in spark.createDataFrame([(x,) for x in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(n)).cast("int")).distinct().collect()]
     post, df = (spark.read.parquet(f"{path}/{x}").where(F.col("bucket").isin(folders) & F.col("term").isin(terms)) for x in ("postings", "terms"))
-    return _weighted(post.select("term", "id", "f", "dl"), df.select("term", "df"), stats.select("n", "avgdl"))
+    return post.select("term", "id", "f", "dl"), df.select("term", "df"), stats.select("n", "avgdl")
+
+
+def search_postings(spark: SparkSession, path: str, query: list[str]) -> DataFrame:
+    """bm25() from postings."""
+    return weighted(*read_postings(spark, path, list(dict.fromkeys(query))))
 
 
 def cosine(vectors: DataFrame, query: list[float], id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
