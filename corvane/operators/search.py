@@ -240,8 +240,8 @@ class _Search:
     def kept(self, df: DataFrame, name: str) -> DataFrame:
         return written(df, self.folder, name)
 
-    def fulfilled(self, rows: DataFrame) -> Column:
-        """Whether a row (query_id, kind, scoped, scope_id, and chunk and document columns) fulfils its question's condition."""
+    def fulfilled(self) -> Column:
+        """Whether a row (kind, scoped, scope_id, and chunk and document columns) fulfils its question's condition."""
         of_kind = F.lit(False)
         for k, c in enumerate(self.conditions):
             of_kind = F.when(F.col("kind") == k, c).otherwise(of_kind)
@@ -259,7 +259,7 @@ class _Search:
         rows = found.join(self.settings, "query_id").join(chunks, "id").join(F.broadcast(self.kept(known, f"{name}-known")), "document_id")
         rows = self._scoped(rows)
         other = F.col("others") & F.col("status_class").isNotNull() & ~_current()
-        return rows.withColumn("fulfilled", self.fulfilled(rows)).withColumn("other", other)
+        return rows.withColumn("fulfilled", self.fulfilled()).withColumn("other", other)
 
     def _scoped(self, rows: DataFrame) -> DataFrame:
         scope = self.scope.select(F.col("query_id").alias("_q"), "scope_id")
@@ -292,16 +292,19 @@ class _Search:
         """The pools of (question, arm) pairs, chosen among all rows that fulfil the conditions."""
         asked = F.broadcast(self.spark.createDataFrame(sorted(short), "query_id bigint, arm string"))
         known = self.corpus.document.withColumnRenamed("id", "document_id").join(self.status, "document_id", "left")
-        chunks = self.corpus.chunk.join(known.select("document_id", *(c for c in known.columns if c not in {"document_id", *self.corpus.chunk.columns})), "document_id")
-        rows = self._scoped(chunks.crossJoin(asked.join(self.settings, "query_id")))  # a stated set of questions against all chunks
-        rows = rows.withColumn("fulfilled", self.fulfilled(rows)).withColumn("other", F.col("others") & F.col("status_class").isNotNull() & ~_current())
-        rows = rows.where((F.col("fulfilled") & (F.col("arm") != "other")) | (F.col("other") & (F.col("arm") == "other")))
+        chunks = self.corpus.chunk.select("id", "document_id", "citation")
+        chunks = chunks.join(known.select("document_id", *(c for c in known.columns if c not in {"document_id", "citation", "title"})), "document_id")
+        # the questions that fell short, a stated set, against all chunks
+        rows = self._scoped(chunks.join(asked.join(self.settings, "query_id")))
+        other = F.col("others") & F.col("status_class").isNotNull() & ~_current()
+        allowed = rows.where(F.when(F.col("arm") == "other", other).otherwise(self.fulfilled())).select("query_id", "arm", "id", "pool")
         scored = None
         for arm, df in lists.items():
-            mine = rows.where(F.col("arm") == arm) if arm == "sparse" else rows.where("arm <> 'sparse'")
-            mine = mine.join(df, ["query_id", "id"])
-            scored = mine if scored is None else scored.unionByName(mine)
-        return self.kept(_top(scored, F.col("pool"), "arm").drop("rank"), "again")
+            if arm in {a if a == "sparse" else "dense" for _, a in short}:
+                mine = allowed.where(F.col("arm") == arm if arm == "sparse" else F.col("arm") != "sparse").join(df, ["query_id", "id"])
+                scored = mine if scored is None else scored.unionByName(mine)
+        found = self.kept(_top(scored, F.col("pool"), "arm").drop("pool"), "again")
+        return self.looked_up(found, "again")
 
     def hits(self, rows: DataFrame) -> DataFrame:
         """The hits of all questions: shown ones, promoted ones, those of other validity."""

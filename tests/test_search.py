@@ -96,3 +96,78 @@ def test_gaps(corpus):
     assert ("low_confidence", None) in kinds(weak) and weak.abstain()
     unknown = search(corpus, "reserve ratio", unit(0), Options(in_force_only=False))
     assert ("validity_unknown", 5) in kinds(unknown)
+
+
+def test_lists_that_are_cut_are_completed(corpus, monkeypatch):
+    from corvane.operators import search as module
+
+    asked = [("reserve ratio", unit(0), Options(top_k=2), Filters()), ("reserve ratio", unit(1), Options(top_k=1), Filters(issuers=("ministry",))), ("ratio in 2/2020/AB", unit(0), Options(), Filters())]
+    whole = [search(corpus, *a).hits.drop("content").orderBy("place").collect() for a in asked]
+    monkeypatch.setattr(module, "WIDE", 1)
+    monkeypatch.setattr(module, "OVERFETCH", 1)
+    pool = [Options(top_k=a[2].top_k, pool=2) for a in asked]
+    cut = [search(corpus, a[0], a[1], o, a[3]).hits.drop("content").orderBy("place").collect() for a, o in zip(asked, pool, strict=True)]
+    monkeypatch.setattr(module, "WIDE", 1000)
+    wide = [search(corpus, a[0], a[1], o, a[3]).hits.drop("content").orderBy("place").collect() for a, o in zip(asked, pool, strict=True)]
+    assert cut == wide and [r.document_id for r in cut[2]] == [2] and whole[2]
+
+
+def test_many_questions_equal_each_alone(corpus):
+    from corvane.operators.search import Question, search_many
+
+    questions = [
+        Question(1, "reserve ratio", unit(0)),
+        Question(2, "lending rules", unit(1), Options(top_k=1)),
+        Question(3, "reserve ratio in 2/2020/AB", unit(0)),
+        Question(4, "reserve", None, Options(in_force_only=False), Filters(issuers=("central",))),
+        Question(5, "zebra"),
+        Question(6, "reserve ratio", unit(0), Options(mode="vector", roll_up="none")),
+        Question(7, "reserve ratio", unit(0), Options(mode="bm25", roll_up="clause", in_force_only=True)),
+    ]
+    r = search_many(corpus, questions)
+    hits, missing = r.hits.collect(), r.gaps.collect()
+    for q in questions:
+        alone = search(corpus, q.text, q.vector, q.options, q.filters)
+        assert sorted(tuple(h)[1:] for h in hits if h.query_id == q.id) == sorted(tuple(h) for h in alone.hits.collect()), q
+        assert sorted((tuple(g)[1:] for g in missing if g.query_id == q.id), key=str) == sorted((tuple(g) for g in alone.gaps.collect()), key=str), q
+    with pytest.raises(ValueError):
+        search_many(corpus, [questions[0], questions[0]])
+
+
+def test_when_other_validity_is_shown(corpus):
+    from corvane.operators.search import Question, search_many
+
+    ways = [Options(), Options(in_force_only=True), Options(in_force_only=False), Options(mode="vector"), Options(other_pass=False)]
+    filters = [Filters(issuers=("central",)), Filters(doc_types=("rule", "act")), Filters(issued_from="2000-01-01"), Filters(excluded_issuers=("ministry",)), Filters(citation="article")]
+    r = search_many(corpus, [Question(i, "reserve ratio", unit(0), o, f) for i, (o, f) in enumerate([*((o, Filters()) for o in ways), *((Options(), f) for f in filters)])])
+    expired = {h.query_id for h in r.hits.collect() if h.badge == "expired"}
+    assert expired == {0, 2, 8, 9}
+
+
+def test_as_of_a_date_and_sections(spark, corpus):
+    from dataclasses import replace
+
+    day = dt.date
+    rows = [(1, "in_force", day(2020, 1, 1), None), (2, "expired", day(2010, 1, 1), day(2019, 1, 1)), (3, "partial", None, None), (4, "not_yet", day(2030, 1, 1), None)]
+    dated = replace(corpus, validity=spark.createDataFrame(rows, "document_id bigint, status_class string, eff_from date, eff_to date"))
+
+    def documents(date):
+        return {d for d, _ in found(search(dated, "reserve ratio lending", unit(0), Options(as_of=date)))}
+
+    assert documents("2015-06-01") == {2} and documents("2019-01-01") == set() and documents("2020-01-01") == {1} and documents("2031-01-01") == {1, 4}
+    from pyspark.sql import functions as F
+
+    parts = replace(corpus, chunk=corpus.chunk.withColumn("section_id", F.when(F.col("id") == 30, 7)), sections=spark.createDataFrame([(7,)], "section_id int"))
+    assert ("partial_uncertain", 3) not in kinds(search(parts, "reserve ratio", unit(0)))
+
+
+def test_gaps_of_relations_and_texts(spark, corpus):
+    from dataclasses import replace
+
+    relation = spark.createDataFrame([(100, 1, None), (101, 1, None), (102, 1, 2), (103, 1, 8), (104, 1, 9)], "id bigint, from_id bigint, to_id bigint")
+    text = spark.createDataFrame([(1, True, False, "x"), (8, True, False, "y"), (7, False, True, "on the Reserve Ratio"), (6, False, True, "reserve ratio, but indexed"), (11, False, False, "nothing")], "document_id bigint, is_binding boolean, needs_review boolean, markdown string")
+    more = corpus.document.unionByName(corpus.document.where("id < 3").selectExpr("id + 6 as id", "concat(id + 6, '/1999/ZZ') as doc_number", "title", "issuer", "doc_type", "issued_at"))
+    r = search(replace(corpus, relation=relation, text=text, document=more), "reserve ratio", unit(0))
+    gaps = {(g.kind, g.document_id, g.relation_id) for g in r.gaps.collect()}
+    assert {("unresolved_relation", 1, 100), ("unresolved_relation", 1, 101), ("relation_target_text_gap", 9, 104), ("known_binding_text_gap", 7, None)} <= gaps
+    assert not any(k == "relation_target_text_gap" and d != 9 for k, d, _ in gaps) and ("known_binding_text_gap", 6, None) not in gaps
