@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import citations, quality, repair
 from corvane.functions import text as T
-from corvane.operators import mining, provisions, workflow
+from corvane.operators import chunker, mining, provisions, workflow
 from corvane.plans.relational import register
 
 _LAW = "Điều 1. Ngân hàng Nhà nước Việt Nam quy định các điều kiện sau đây. "
@@ -81,6 +81,17 @@ def p1_provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), "kind", "label", "content", "path")
 
 
+#: Articles that fit, that are cut by clauses and by words, that repeat, and that are too short.
+_CHUNKED = """concat('Chapter I. General', chr(10), 'Article 1. Scope', chr(10), {line}, chr(10), 'Article 2. Rules for banks', chr(10), 'Banks shall', chr(10), '1. ', repeat('alpha ', 120), {line}, chr(10), '2. ', repeat('beta ', 140), 'end', chr(10),
+  'Chapter II. Special', chr(10), 'Article 1. Scope', chr(10), {line}, chr(10), 'Article 1. Other scope than before', chr(10), 'Article 3. No', chr(10), 'Article 4. Long', chr(10), '1. ', repeat('gamma ', 250), 'end') AS text"""
+
+
+def p10_provision_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of articles planted in every document: whole, by clauses under their article's lead, by words; repeated and short ones."""
+    docs = _sql(spark, sf_dir, f"SELECT doc_id, concat('N', doc_id % 9) AS doc_number, lang AS title, {_CHUNKED.format(line=_LINE.format(text=_TEXT, every=''))} FROM documents")
+    return chunker.text_chunks(docs).drop("node")
+
+
 #: A case for each conversation, and a transcript whose calls and citations come from its turns.
 _CASES = "SELECT DISTINCT conv_id AS id, concat('D', conv_id % 7) AS one, CASE WHEN conv_id % 3 = 0 THEN '' ELSE concat('A', conv_id % 4) END AS article, concat('D', (conv_id + 1) % 7) AS two, conv_id % 2 = 0 AS must, conv_id % 5 = 0 AS abstain FROM conversations"
 _TURNS = "SELECT conv_id, concat(' d', turn % 7, ' ') AS doc, concat('a', length(text) % 4) AS article, CASE role WHEN 'user' THEN 'search' WHEN 'assistant' THEN 'document' ELSE role END AS tool FROM conversations"
@@ -123,7 +134,7 @@ def x34_weak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", mining.weak_confidence(F.col("authority"), F.col("title_level"), F.col("word")).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (f12_mojibake, f13_repeated_words, x27_quality_gate, x28_placeholders, x14_references, s18_legacy_encoding, p1_provisions, r29_workflow, r29_summary, x34_weak_evidence, j10_term_scope, x19_prefix)}
+QUERIES = {f.__name__: f for f in (f12_mojibake, f13_repeated_words, x27_quality_gate, x28_placeholders, x14_references, s18_legacy_encoding, p1_provisions, p10_provision_chunks, r29_workflow, r29_summary, x34_weak_evidence, j10_term_scope, x19_prefix)}
 
 _COUNTS = f"""t AS (SELECT doc_id, regexp_replace(text, '\\p{{L}}\\p{{Mn}}+', 'é', 'g') AS text FROM ({DAMAGED})),
 c AS (SELECT doc_id, CAST(length(text) AS DOUBLE) AS n, len(list_filter(s, lambda x: regexp_full_match(x, '\\p{{L}}'))) AS letters,
@@ -155,6 +166,15 @@ h AS (SELECT e.id, e.doc, e.article, coalesce(bool_or(lower(trim(t.doc)) = lower
 n AS (SELECT conv_id, count(*) AS calls, count(*) FILTER (WHERE tool = 'search') AS searches, count(*) FILTER (WHERE tool = 'document') AS documents FROM t GROUP BY conv_id),
 s AS (SELECT c.id AS case_id, (SELECT sum(CAST(hit AS INTEGER)) / 2.0 FROM h WHERE h.id = c.id) AS citation_score, (calls < 5) = abstain AS abstain_correct, NOT must OR documents > 0 AS followed_relations, calls AS tool_calls, searches, documents, must FROM c JOIN n ON n.conv_id = c.id)"""
 _CUT = "CASE WHEN length({x}) > 220 THEN concat(trim(substring({x}, 1, 217)), '...') ELSE {x} END"
+_GAMMA = ("concat('1. ', trim(repeat('gamma ', 170)))", "concat(repeat('gamma ', 80), 'end')")
+_PARTS = (
+    ("Chapter I, Article 1", "Chapter I General", "concat('Article 1. Scope', chr(10), line)"),
+    ("Article 2, Clause 1", "Chapter I General", "concat('Article 2. Rules for banks', chr(10), 'Banks shall', chr(10), '1. ', repeat('alpha ', 120), line)"),
+    ("Article 2, Clause 2", "Chapter I General", "concat('Article 2. Rules for banks', chr(10), 'Banks shall', chr(10), '2. ', repeat('beta ', 140), 'end')"),
+    ("Article 1 [2]", "Chapter II Special", "'Article 1. Other scope than before'"),
+    ("Article 4, Clause 1, Paragraph 2", "Chapter II Special", _GAMMA[0]),
+    ("Article 4, Clause 1, Paragraph 3", "Chapter II Special", _GAMMA[1]),
+)
 ORACLES = {
     "j10_term_scope": f"SELECT doc_id AS id, term FROM documents, (SELECT unnest({_TERMS}) AS term) WHERE contains(lower(text), lower(term))",
     "x19_prefix": f"SELECT doc_id, concat_ws(chr(10), nullif(concat_ws(': ', nullif(number, ''), nullif({_CUT.format(x='t')}, '')), ''), nullif(trim(chapter), ''), nullif(section, ''), CASE WHEN effective IS NOT NULL THEN 'Effective: 03/02/2020' END) AS prefix FROM (SELECT *, trim(coalesce(title, ''), ' ') AS t FROM ({_HEADS}))",
@@ -168,4 +188,7 @@ ORACLES = {
     "x14_references": "SELECT doc_id, concat('12/2020/ab-', doc_id % 50, ',act ', doc_id % 90 + 1) AS refs FROM documents",
     "s18_legacy_encoding": f"SELECT doc_id, translate(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '{_LEGACY}', '{_THAI}') AS text FROM documents",
     "p1_provisions": " UNION ALL ".join(f"SELECT doc_id, CAST({n} AS BIGINT) AS node, CAST({p} AS BIGINT) AS parent, '{k}' AS kind, '{l}' AS label, {c} AS content, '{x}' AS path FROM documents" for n, p, k, l, c, x in _NODES),
+    "p10_provision_chunks": "WITH p AS (SELECT doc_id, " + _LINE.format(text=_TEXT, every=", 'g'") + " AS line, concat('N', doc_id % 9) || CASE WHEN coalesce(lang, '') <> '' THEN ': ' || lang ELSE '' END AS head FROM documents), c AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, {n} AS n, '{c}' AS citation, concat(head, chr(10), '{h}') AS prefix, {x} AS content FROM p" for n, (c, h, x) in enumerate(_PARTS))
+    + "), kept AS (SELECT * FROM c WHERE length(content) >= 21) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS ordinal, citation, prefix, content, CAST((length(prefix) + 1 + length(content)) // 2 AS BIGINT) AS tokens FROM kept",
 }
