@@ -16,7 +16,8 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,79 +50,95 @@ _OPENSSH = b"openssh-key-v1\0"
 _LENGTH = rb"(?:[\0-\x7f]|\x81.|\x82..)"
 #: How every key in DER begins: a version, or the name of the encryption. The longest such beginning has 19 bytes.
 _HEAD = re.compile(rb"\x30" + _LENGTH + rb"(?:\x02\x01[\0\1]|\x30" + _LENGTH + rb"\x06\x09" + re.escape(_PBES2) + rb")", re.DOTALL)
-#: The most bytes of a key: DER with a length of two bytes. It keeps the time in proportion to the text's length.
-_MOST = 4 + 0xFFFF
+#: The most bytes of a key, DER with a length of two bytes, and the most elements of one level (keys have ten at most).
+_MOST, ELEMENTS = 4 + 0xFFFF, 16
 
 
-def _fields(data: bytes) -> list[tuple[int, bytes]] | None:
-    """The elements that fill `data` exactly, as (tag, content); None if the lengths don't fit."""
-    out, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+def _fields(read: Callable[[int, int], bytes], at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill the bytes from `at` to `end` exactly, as (tag, begin, end of the content); None if a length doesn't fit, or of more than ELEMENTS.
+
+    Only tags and lengths are read, and the first length that doesn't fit ends it.
+    """
+    out = []
+    while at < end:
+        head = read(at, min(6, end - at))
+        if len(head) < 2 or len(out) == ELEMENTS:
             return None
-        tag, n = data[at], data[at + 1]
-        at += 2
+        n, at = head[1], at + 2
         if n & 128:
             size = n & 127
-            if not 1 <= size <= 4 or at + size > len(data):
+            if not 1 <= size <= 4 or len(head) < 2 + size:
                 return None
-            n = int.from_bytes(data[at : at + size], "big")
+            n = int.from_bytes(head[2 : 2 + size], "big")
             at += size
             if n < 128 or (size > 1 and n >> (8 * (size - 1)) == 0):
                 return None
-        if at + n > len(data):
+        if at + n > end:
             return None
-        out.append((tag, data[at : at + n]))
+        out.append((head[0], at, at + n))
         at += n
     return out
 
 
-def is_private_der(data: bytes) -> bool:
-    """Whether the bytes are a private key in DER: PKCS#1, PKCS#8, encrypted PKCS#8 or SEC 1; every nested length must fit."""
-    top = _fields(data)
+def _private_der(read: Callable[[int, int], bytes], total: int) -> bool:
+    """is_private_der() of `total` bytes, of which only the parts that decide it are read."""
+    top = _fields(read, 0, total)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
-    f = _fields(top[0][1])
+    f = _fields(read, *top[0][1:])
     if not f:
         return False
-    tags = [t for t, _ in f]
-    if tags[:2] == [0x02, 0x30] and len(f) >= 3 and tags[2] == 0x04 and f[0][1] in (b"\0", b"\1"):
-        inner = _fields(f[1][1])
-        return bool(inner) and inner[0][0] == 0x06 and inner[0][1] in _KEY_OIDS
-    if len(f) >= 9 and all(t == 0x02 for t in tags[:9]) and f[0][1] in (b"\0", b"\1"):
-        return len(f[1][1]) >= 32 and len(f[2][1]) >= 1
-    if tags[:2] == [0x02, 0x04] and f[0][1] == b"\1" and 16 <= len(f[1][1]) <= 80:
+    tags, sizes = [t for t, _, _ in f], [b - a for _, a, b in f]
+
+    def small(k: int) -> bytes:
+        return read(f[k][1], sizes[k]) if sizes[k] <= 16 else b""
+
+    def algorithm(k: int) -> bytes:
+        inner = _fields(read, *f[k][1:])
+        if not inner or inner[0][0] != 0x06 or inner[0][2] - inner[0][1] > 16:
+            return b""
+        return read(inner[0][1], inner[0][2] - inner[0][1])
+
+    if tags[:2] == [0x02, 0x30] and len(f) >= 3 and tags[2] == 0x04 and small(0) in (b"\0", b"\1"):
+        return algorithm(1) in _KEY_OIDS
+    if len(f) >= 9 and all(t == 0x02 for t in tags[:9]) and small(0) in (b"\0", b"\1"):
+        return sizes[1] >= 32 and sizes[2] >= 1
+    if tags[:2] == [0x02, 0x04] and small(0) == b"\1" and 16 <= sizes[1] <= 80:
         return all(t in (0xA0, 0xA1) for t in tags[2:])
-    if tags == [0x30, 0x04] and len(f[1][1]) >= 16:
-        inner = _fields(f[0][1])
-        return bool(inner) and inner[0] == (0x06, _PBES2)
-    return False
+    return tags == [0x30, 0x04] and sizes[1] >= 16 and algorithm(0) == _PBES2
 
 
-def _openssh_end(data: bytes) -> int | None:
+def is_private_der(data: bytes) -> bool:
+    """Whether the bytes are a private key in DER: PKCS#1, PKCS#8, encrypted PKCS#8 or SEC 1; every nested length must fit."""
+    return _private_der(lambda at, n: data[at : at + n], len(data))
+
+
+def _openssh_end(read: Callable[[int, int], bytes], total: int) -> int | None:
     """Where the private-key file of OpenSSH at the beginning of the bytes ends: magic, cipher, kdf and options, key count, public and private parts."""
-    if not data.startswith(_OPENSSH):
+    if read(0, len(_OPENSSH)) != _OPENSSH:
         return None
     at, parts = len(_OPENSSH), []
     for k in range(5):
         if k == 3:  # the number of keys stands between the kdf options and the public key
-            if data[at : at + 4] != b"\0\0\0\1":
+            if read(at, 4) != b"\0\0\0\1":
                 return None
             at += 4
-        if at + 4 > len(data):
+        if at + 4 > total:
             return None
-        n = int.from_bytes(data[at : at + 4], "big")
+        n = int.from_bytes(read(at, 4), "big")
         at += 4
-        if at + n > len(data):
+        if at + n > total:
             return None
-        parts.append(data[at : at + n])
+        parts.append((at, n))
         at += n
-    return at if parts[0].isascii() and len(parts[0]) > 0 and len(parts[4]) >= 8 and len(parts[4]) % 8 == 0 else None
+    cipher, private = parts[0], parts[4]
+    named = 0 < cipher[1] <= 64 and read(*cipher).isascii()
+    return at if named and private[1] >= 8 and private[1] % 8 == 0 else None
 
 
 def is_openssh(data: bytes) -> bool:
     """Whether the bytes are a private-key file of OpenSSH and nothing more."""
-    return _openssh_end(data) == len(data)
+    return _openssh_end(lambda at, n: data[at : at + n], len(data)) == len(data)
 
 
 def is_signed_header(part: str) -> bool:
@@ -133,56 +150,95 @@ def is_signed_header(part: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
-def _taken(text: str, at: int, n: int, alphabet: re.Pattern[str]) -> tuple[str, int]:
-    """Up to n characters of an alphabet from `at` on, what breaks lines left out, and where they end."""
-    out, breaks = [], _HEX_BREAK if alphabet is _ANY_HEX else _BREAK
-    while m := alphabet.match(text, at, at + n):
-        out.append(m[0])
-        n, end = n - len(m[0]), m.end()
-        if not n or not (b := breaks.match(text, end)):
-            break
-        at = b.end()
-    return ("".join(out), end) if out else ("", at)
-
-
-def _bytes(text: str, at: int, n: int, alphabet: re.Pattern[str]) -> tuple[bytes, int]:
-    """Up to n bytes that are encoded from `at` on, and where their last character, or its padding, ends."""
-    if alphabet is _ANY_HEX:
-        s, end = _taken(text, at, 2 * n, alphabet)
-        return bytes.fromhex(s[: len(s) // 2 * 2]), end
-    s, end = _taken(text, at, -(-4 * n // 3), alphabet)
-    pad = -len(s) % 4
-    if pad == 3:  # a single character over holds no byte
-        s, pad = s[:-1], 0
-    data = base64.b64decode(s.replace("-", "+").replace("_", "/") + "=" * pad)
-    while pad and text[end : end + 1] == "=":
-        pad, end = pad - 1, end + 1
-    return data, end
-
-
-def _key_at(text: str, at: int, alphabet: re.Pattern[str]) -> tuple[str, int] | None:
-    """Kind and end of the private key that is encoded from `at` on."""
-    head = _bytes(text, at, 24, alphabet)[0]
+class _Run:
+    """The characters of an alphabet from some place of a text on, what breaks lines left out; each run of a text is put together once."""
+
+    def __init__(self, text: str, alphabet: re.Pattern[str]):
+        self.text, self.alphabet, self.hex = text, alphabet, alphabet is _ANY_HEX
+        self.begin = self.end = 0
+
+    def cover(self, at: int) -> None:
+        """Goes to the run that holds a place, unless that is this one."""
+        if self.begin <= at < self.end:
+            return
+        breaks = _HEX_BREAK if self.hex else _BREAK
+        self.begin, out, self.starts, self.offsets, n = at, [], [], [], 0
+        while m := self.alphabet.match(self.text, at):
+            out.append(m[0])
+            self.starts.append(at)
+            self.offsets.append(n)
+            n, self.end = n + len(m[0]), m.end()
+            if not (b := breaks.match(self.text, self.end)):
+                break
+            at = b.end()
+        self.chars = "".join(out)
+        if not out:
+            self.starts, self.offsets, self.end = [self.begin], [0], self.begin
+
+    def offset(self, at: int) -> int:
+        """The number of characters before a place of the text."""
+        k = bisect_right(self.starts, at) - 1
+        return self.offsets[k] + at - self.starts[k]
+
+    def place(self, offset: int) -> int:
+        """The place in the text behind so many characters, of which there is one at least."""
+        k = bisect_left(self.offsets, offset) - 1
+        return self.starts[k] + offset - self.offsets[k]
+
+    def size(self, start: int) -> int:
+        """The bytes that are encoded from a character on."""
+        return (len(self.chars) - start) // 2 if self.hex else (len(self.chars) - start) * 3 // 4
+
+    def read(self, start: int, at: int, n: int) -> bytes:
+        """Up to n bytes from byte `at` of what is encoded from a character on."""
+        if self.hex:
+            s = self.chars[start + 2 * at : start + 2 * (at + n)]
+            return bytes.fromhex(s[: len(s) // 2 * 2])
+        group, skip = divmod(at, 3)
+        s = self.chars[start + 4 * group : start + 4 * group + -(-4 * (skip + n) // 3)]
+        s = s[:-1] if len(s) % 4 == 1 else s
+        return base64.b64decode(s.replace("-", "+").replace("_", "/") + "=" * (-len(s) % 4))[skip : skip + n]
+
+    def stop(self, start: int, n: int) -> int:
+        """Where the last character of n bytes, or its padding, ends in the text."""
+        if self.hex:
+            return self.place(start + 2 * n)
+        chars = -(-4 * n // 3)
+        end, pad = self.place(start + chars), -chars % 4
+        while pad and self.text[end : end + 1] == "=":
+            pad, end = pad - 1, end + 1
+        return end
+
+
+def _key_at(run: _Run, at: int) -> tuple[str, int] | None:
+    """Kind and end of the private key that is encoded from a place on."""
+    run.cover(at)
+    start = run.offset(at)
+    total = min(run.size(start), _MOST)
+
+    def read(k: int, n: int) -> bytes:
+        return run.read(start, k, n)
+
+    head = read(0, 24)
     if head.startswith(b"-----BEGIN "):
         n = inner = 0
         while not inner and n < 2 * _MOST:  # a longer part only while no second file begins in it
             n = 4 * n or 2048
-            pem = _bytes(text, at, n, alphabet)[0].decode("latin-1")
+            pem = read(0, n).decode("latin-1")
             inner = _PEM.match(pem)
             if len(pem) < n or "-----BEGIN" in pem[10:]:
                 break
         if inner and any(k in ("der", "openssh") for _, k, _ in confirmed_spans(inner[0])):
-            return "pem", _bytes(text, at, inner.end(), alphabet)[1]
+            return "pem", run.stop(start, inner.end())
         return None
     if head.startswith(_OPENSSH):
-        n = _openssh_end(_bytes(text, at, _MOST, alphabet)[0])
-        return ("openssh", _bytes(text, at, n, alphabet)[1]) if n else None
+        n = _openssh_end(read, total)
+        return ("openssh", run.stop(start, n)) if n else None
     if not _HEAD.match(head):
         return None
     size = head[1] & 127 if head[1] & 128 else 0
     n = 2 + size + (int.from_bytes(head[2 : 2 + size], "big") if size else head[1])
-    data, end = _bytes(text, at, n, alphabet)
-    return ("der", end) if len(data) == n and is_private_der(data) else None
+    return ("der", run.stop(start, n)) if n <= total and _private_der(read, n) else None
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -203,11 +259,11 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     if "ey" in text or "ew" in text:
         out += [(m.start(), "jwt", m.end()) for m in _JWT.finditer(text) if is_signed_header(m[1])]
     for k, start in enumerate(_STARTS):
-        alphabets, at = (_ANY_HEX,) if k in (2, 3) else (_BASE64, _URL_BASE64), 0
+        runs, at = [_Run(text, x) for x in ((_ANY_HEX,) if k in (2, 3) else (_BASE64, _URL_BASE64))], 0
         while m := start.search(text, at):
             at = m.start() + 1
-            for alphabet in alphabets:
-                if found := _key_at(text, m.start(), alphabet):
+            for run in runs:
+                if found := _key_at(run, m.start()):
                     out.append((m.start(), *found))
                     at = found[1]
                     break

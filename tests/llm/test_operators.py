@@ -329,6 +329,23 @@ def test_encoder_equals_the_library():
         assert [x for t in texts for x in e.encode([t])] == whole
 
 
+@pytest.mark.parametrize("part", ["30:82:ff:ff:02:01:00:", "MIL//wIBAD\n", ":".join(f"{b:02x}" for b in b"openssh-key-v1\0") + ":", "3082ffff020100", "LS0tLS1CRUdJTi", "3082ffff0201000482000730820fff020100", "b3BlbnNzaC1rZXktdjEAAAAABG5vbmU"])
+def test_hostile_megabytes_take_seconds(part):
+    began = time.time()
+    secret_scan.confirmed_spans(part * (1_000_000 // len(part)))
+    assert time.time() - began < 15
+
+
+def test_keys_are_found_at_every_phase():
+    rng = random.Random(4)
+    for key, kind in ((RSA, "der"), (PKCS8, "der"), (SSH, "openssh")):
+        for text in (base64.b64encode(key).decode(), base64.encodebytes(key).decode().strip(), base64.urlsafe_b64encode(key).decode().rstrip("="), key.hex(), ":".join(f"{b:02X}" for b in key)):
+            for before in ("", "x", "key/", "ab\n", "MIIB\n", "30:82:"):
+                for after in ("", " end", "\nmore", "!" * rng.randrange(4)):
+                    found = secret_scan.confirmed_spans(before + text + after)
+                    assert (len(before), kind, len(before) + len(text)) in found, (before, text[:20], after, found)
+
+
 def test_table_of_frequent_words_at_any_count(spark):
     def chosen(counts, most):
         df = spark.createDataFrame([(mixed(i), c) for i, c in enumerate(counts)], "h bigint, c bigint")
