@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators import indonesian
+
 _ROMAN = r"[IVXLC]+|\d+[A-Z]?"
 _THAI = r"[\d๐-๙]+(?:/[\d๐-๙]+)?"
 _KHMER = r"[\d០-៩]+"
@@ -83,6 +85,10 @@ GRAMMARS = {
 _ROWS = "doc_id bigint, node int, parent int, kind string, ordinal int, label string, content string, path string"
 
 
+#: Layouts that need more than a grammar of headings, such as regulations from scanned pages.
+PARSERS = {"id-scan": indonesian.parse}
+
+
 def label(found: str) -> str:
     """A heading's label with digits of any script as 0-9."""
     return "".join(str(unicodedata.digit(c)) if c.isdigit() and unicodedata.digit(c, -1) >= 0 else c for c in found.strip())
@@ -101,7 +107,9 @@ def _opens(lines: list[str], at: int) -> bool:
 
 
 def parse(text: str, grammar: str = "common") -> list[tuple[int, int | None, str, int, str, str, str]]:
-    """(node, parent, kind, ordinal, label, content, path) in reading order. Text without headings is one whole-document node; a path that repeats gets ~2, ~3 and so on. An unknown grammar counts as the common one."""
+    """(node, parent, kind, ordinal, label, content, path) in reading order. Text without headings is one whole-document node; a path that repeats gets ~2, ~3 and so on. A name in PARSERS or GRAMMARS; an unknown one counts as the common grammar."""
+    if grammar in PARSERS:
+        return PARSERS[grammar](text)
     headings = GRAMMARS.get(grammar, GRAMMARS["common"])
     rows: list[list] = []
     stack: list[tuple[int, int]] = []

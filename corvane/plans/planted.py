@@ -92,6 +92,18 @@ def p10_provision_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunker.text_chunks(docs).drop("node")
 
 
+#: A regulation as scans show it: letterheads, confused digits, merged headings, an article of another law in an amendment.
+_SCANNED = """concat('DENGAN RAHMAT TUHAN', chr(10), 'BAB I', chr(10), 'KETENTUAN UMUM', chr(10), 'Pasal I', chr(10), {line}, chr(10), 'FRESIDEN', chr(10), 'REPUELIK INDONESIA', chr(10), '- ', doc_id % 90, ' -', chr(10),
+  'Pasal2 (1) ', {line}, chr(10), '(2) terdiri atas:', chr(10), 'a. alfa', chr(10), 'b. ', {line}, chr(10), 'BABII', chr(10), 'PENUTUP', chr(10), 'Pasa1 3', chr(10), 'Ketentuan Pasal 4 diubah sehingga berbunyi sebagai berikut:', chr(10), 'Pasal 4', chr(10), {line}, chr(10),
+  'Pasal 4. . .', chr(10), 'mulai berlaku', chr(10), 'PENJELASAN ATAS', chr(10), 'Pasal 1', chr(10), 'Cukup jelas', chr(10), 'LAMPIRAN I', chr(10), {line}) AS text"""
+
+
+def p3_indonesian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provisions of a scanned regulation planted in every document."""
+    rows = provisions.provisions(_sql(spark, sf_dir, f"SELECT doc_id, {_SCANNED.format(line=_LINE.format(text=_TEXT, every=''))} FROM documents"), "id-scan")
+    return rows.select("doc_id", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), "kind", "label", "content", "path")
+
+
 #: A case for each conversation, and a transcript whose calls and citations come from its turns.
 _CASES = "SELECT DISTINCT conv_id AS id, concat('D', conv_id % 7) AS one, CASE WHEN conv_id % 3 = 0 THEN '' ELSE concat('A', conv_id % 4) END AS article, concat('D', (conv_id + 1) % 7) AS two, conv_id % 2 = 0 AS must, conv_id % 5 = 0 AS abstain FROM conversations"
 _TURNS = "SELECT conv_id, concat(' d', turn % 7, ' ') AS doc, concat('a', length(text) % 4) AS article, CASE role WHEN 'user' THEN 'search' WHEN 'assistant' THEN 'document' ELSE role END AS tool FROM conversations"
@@ -134,7 +146,7 @@ def x34_weak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", mining.weak_confidence(F.col("authority"), F.col("title_level"), F.col("word")).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (f12_mojibake, f13_repeated_words, x27_quality_gate, x28_placeholders, x14_references, s18_legacy_encoding, p1_provisions, p10_provision_chunks, r29_workflow, r29_summary, x34_weak_evidence, j10_term_scope, x19_prefix)}
+QUERIES = {f.__name__: f for f in (f12_mojibake, f13_repeated_words, x27_quality_gate, x28_placeholders, x14_references, s18_legacy_encoding, p1_provisions, p10_provision_chunks, p3_indonesian, r29_workflow, r29_summary, x34_weak_evidence, j10_term_scope, x19_prefix)}
 
 _COUNTS = f"""t AS (SELECT doc_id, regexp_replace(text, '\\p{{L}}\\p{{Mn}}+', 'é', 'g') AS text FROM ({DAMAGED})),
 c AS (SELECT doc_id, CAST(length(text) AS DOUBLE) AS n, len(list_filter(s, lambda x: regexp_full_match(x, '\\p{{L}}'))) AS letters,
@@ -175,6 +187,20 @@ _PARTS = (
     ("Article 4, Clause 1, Paragraph 2", "Chapter II Special", _GAMMA[0]),
     ("Article 4, Clause 1, Paragraph 3", "Chapter II Special", _GAMMA[1]),
 )
+_SCAN_NODES = (
+    (0, None, "chapter", "I", "'KETENTUAN UMUM'", "chapter-i"),
+    (1, 0, "article", "1", "line", "chapter-i/article-1"),
+    (2, 0, "article", "2", "''", "chapter-i/article-2"),
+    (3, 2, "clause", "1", "line", "chapter-i/article-2/clause-1"),
+    (4, 2, "clause", "2", "'terdiri atas:'", "chapter-i/article-2/clause-2"),
+    (5, 4, "point", "a", "'alfa'", "chapter-i/article-2/clause-2/point-a"),
+    (6, 4, "point", "b", "line", "chapter-i/article-2/clause-2/point-b"),
+    (7, None, "chapter", "II", "'PENUTUP'", "chapter-ii"),
+    (8, 7, "article", "3", "concat('Ketentuan Pasal 4 diubah sehingga berbunyi sebagai berikut:', chr(10), 'Pasal 4', chr(10), line)", "chapter-ii/article-3"),
+    (9, 7, "article", "4", "'mulai berlaku'", "chapter-ii/article-4"),
+    (10, None, "notes", "", "concat('Pasal 1', chr(10), 'Cukup jelas')", "notes"),
+    (11, None, "appendix", "I", "line", "appendix-i"),
+)
 ORACLES = {
     "j10_term_scope": f"SELECT doc_id AS id, term FROM documents, (SELECT unnest({_TERMS}) AS term) WHERE contains(lower(text), lower(term))",
     "x19_prefix": f"SELECT doc_id, concat_ws(chr(10), nullif(concat_ws(': ', nullif(number, ''), nullif({_CUT.format(x='t')}, '')), ''), nullif(trim(chapter), ''), nullif(section, ''), CASE WHEN effective IS NOT NULL THEN 'Effective: 03/02/2020' END) AS prefix FROM (SELECT *, trim(coalesce(title, ''), ' ') AS t FROM ({_HEADS}))",
@@ -191,4 +217,6 @@ ORACLES = {
     "p10_provision_chunks": "WITH p AS (SELECT doc_id, " + _LINE.format(text=_TEXT, every=", 'g'") + " AS line, concat('N', doc_id % 9) || CASE WHEN coalesce(lang, '') <> '' THEN ': ' || lang ELSE '' END AS head FROM documents), c AS ("
     + " UNION ALL ".join(f"SELECT doc_id, {n} AS n, '{c}' AS citation, concat(head, chr(10), '{h}') AS prefix, {x} AS content FROM p" for n, (c, h, x) in enumerate(_PARTS))
     + "), kept AS (SELECT * FROM c WHERE length(content) >= 21) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS ordinal, citation, prefix, content, CAST((length(prefix) + 1 + length(content)) // 2 AS BIGINT) AS tokens FROM kept",
+    "p3_indonesian": "WITH p AS (SELECT doc_id, " + _LINE.format(text=_TEXT, every=", 'g'") + " AS line FROM documents) "
+    + " UNION ALL ".join(f"SELECT doc_id, CAST({n} AS BIGINT) AS node, CAST({'NULL' if p is None else p} AS BIGINT) AS parent, '{k}' AS kind, '{label}' AS label, {c} AS content, '{x}' AS path FROM p" for n, p, k, label, c, x in _SCAN_NODES),
 }
