@@ -59,7 +59,7 @@ BODIES: dict[str, Callable] = {
     # windows, paging, sets
     "w1_current_validity": lambda d: "SELECT document_id, id, status_class FROM current_validity",
     "w2_section_validity": lambda d: "SELECT document_id, section_id, id, status_class FROM (SELECT *, row_number() OVER (PARTITION BY document_id, section_id ORDER BY observed_at DESC, id DESC) AS rn FROM validity) x WHERE rn = 1",
-    "w1_as_of_newest_then_window": lambda d: "SELECT document_id, id, status_class FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY observed_at DESC, id DESC) AS rn FROM validity) x WHERE rn = 1 AND eff_from IS NOT NULL AND eff_from <= DATE '2024-01-20'",
+    "w1_as_of_newest_then_window": lambda d: "SELECT document_id, id, status_class FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY observed_at DESC, id DESC) AS rn FROM validity) x WHERE rn = 1 AND eff_from IS NOT NULL AND eff_from <= DATE '2024-01-30'",
     "f4_as_of_window_then_newest": lambda d: "SELECT document_id, id, status_class FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY observed_at DESC, id DESC) AS rn FROM validity WHERE (eff_from IS NULL OR eff_from <= DATE '2024-01-20') AND (superseded_at IS NULL OR superseded_at > TIMESTAMP '2024-01-20 00:00:00')) x WHERE rn = 1",
     "w3_candidate_pick": lambda d: "SELECT doc_key, doc_id, priority FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY priority DESC, doc_id) AS rn FROM observation) x WHERE rn = 1",
     "w4_relations_per_base": lambda d: "SELECT base, other, direction, CAST(rn AS BIGINT) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY direction, relation_type, other) AS rn FROM (SELECT from_id AS base, to_id AS other, relation_type, 'outgoing' AS direction FROM relation UNION ALL SELECT to_id, from_id, relation_type, 'incoming' FROM relation) u) x WHERE rn <= 8",
