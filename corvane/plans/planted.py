@@ -104,6 +104,51 @@ def p3_indonesian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), "kind", "label", "content", "path")
 
 
+#: A statute in the layout of each jurisdiction, by a document's language: grammar, lines, and the nodes it has (parent, kind, label, content, path).
+_STATUTES = {
+    "en": ("sg", ("PART I PRELIMINARY", "1. Short title", "{line}", "(1) first", "(a) alpha", "(2) second", "FIRST SCHEDULE Forms", "{line}"),
+           ((None, "part", "I", "'PRELIMINARY'", "part-I"), (0, "section", "1", "concat('Short title', chr(10), line)", "part-I/section-1"), (1, "subsection", "1", "'first'", "part-I/section-1/subsection-1"), (2, "paragraph", "a", "'alpha'", "part-I/section-1/subsection-1/paragraph-a"), (1, "subsection", "2", "'second'", "part-I/section-1/subsection-2"), (None, "schedule", "FIRST", "concat('Forms', chr(10), line)", "schedule-FIRST"))),
+    "de": ("my", ("PART II", "CHAPTER 1 General", "14A. {line}", "(1) first", "(a) alpha"),
+           ((None, "part", "II", "''", "part-II"), (0, "chapter", "1", "'General'", "part-II/chapter-1"), (1, "section", "14A", "line", "part-II/chapter-1/section-14A"), (2, "subsection", "1", "'first'", "part-II/chapter-1/section-14A/subsection-1"), (3, "paragraph", "a", "'alpha'", "part-II/chapter-1/section-14A/subsection-1/paragraph-a"))),
+    "fr": ("th", ("หมวด ๑ บททั่วไป", "มาตรา ๑๒ {line}", "(๑) one", "มาตรา ๑๒/๑ two"),
+           ((None, "chapter", "1", "'บททั่วไป'", "chapter-1"), (0, "section", "12", "line", "chapter-1/section-12"), (1, "paragraph", "1", "'one'", "chapter-1/section-12/paragraph-1"), (0, "section", "12/1", "'two'", "chapter-1/section-12/1"))),
+    "es": ("kh", ("ជំពូក ១ General", "មាត្រា ៥ {line}", "១. one", "a. alpha"),
+           ((None, "chapter", "1", "'General'", "chapter-1"), (0, "article", "5", "line", "chapter-1/article-5"), (1, "clause", "1", "'one'", "chapter-1/article-5/clause-1"), (2, "point", "a", "'alpha'", "chapter-1/article-5/clause-1/point-a"))),
+    "": ("vn", ("Chương II QUY ĐỊNH", "Mục 1 Chung", "Điều 21b. {line}", "1. một", "đ) điểm", "Điều 21b. lại", "PHỤ LỤC I Mẫu", "{line}"),
+         ((None, "chapter", "II", "'QUY ĐỊNH'", "chapter-II"), (0, "section", "1", "'Chung'", "chapter-II/section-1"), (1, "article", "21b", "line", "chapter-II/section-1/article-21b"), (2, "clause", "1", "'một'", "chapter-II/section-1/article-21b/clause-1"), (3, "point", "đ", "'điểm'", "chapter-II/section-1/article-21b/clause-1/point-đ"), (1, "article", "21b", "'lại'", "chapter-II/section-1/article-21b~2"), (None, "appendix", "I", "concat('Mẫu', chr(10), line)", "appendix-I"))),
+}
+
+
+def _statute(lines: tuple[str, ...], line: str) -> str:
+    return "concat_ws(chr(10), " + ", ".join(f"replace('{x}', '{{line}}', {line})" for x in lines) + ")"
+
+
+def p8_jurisdictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statute planted in every document, laid out and parsed by the jurisdiction that its language stands for; a sixth has none."""
+    line = _LINE.format(text=_TEXT, every="")
+    by = " ".join(f"WHEN coalesce(lang, '') = '{lang}' THEN {{}}" for lang in _STATUTES if lang)
+    text = f"CASE WHEN doc_id % 6 = 5 THEN {_statute(_STATUTES[''][1], line)} " + by.format(*(_statute(x, line) for lang, (_, x, _) in _STATUTES.items() if lang)) + f" ELSE {_statute(_STATUTES[''][1], line)} END"
+    grammar = "CASE WHEN doc_id % 6 = 5 THEN 'vn' " + by.format(*(f"'{g}'" for lang, (g, _, _) in _STATUTES.items() if lang)) + " ELSE 'vn' END"
+    rows = provisions.provisions(_sql(spark, sf_dir, f"SELECT doc_id, {text} AS text, {grammar} AS grammar FROM documents"), F.col("grammar"))
+    return rows.select("doc_id", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), "kind", "label", "content", "path")
+
+
+#: Documents that are annexes only, that name an annex further on, and texts with a garbled line.
+_ANNEXED = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('Annex ', doc_id % 7, chr(10), 'Appendix II') WHEN 1 THEN concat('Article 1', chr(10), 'ANNEX') WHEN 2 THEN concat('SCHEDULE of fees ', doc_id % 3) ELSE 'no annexes' END AS text FROM documents"
+_GARBLED_LINES = "SELECT doc_id, concat('a clean line of text', chr(10), CASE doc_id % 3 WHEN 0 THEN 'NgÃ¢n hÃ ng NhÃ  nÆ°á»c' WHEN 1 THEN 'one Ã only in a line' ELSE 'short ÃÃÃ' END) AS text FROM documents"
+
+
+def x29_annexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document's first lines are all headings of annexes."""
+    lines = F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0), 1, 8)
+    return _sql(spark, sf_dir, _ANNEXED).select("doc_id", F.forall(lines, lambda x: F.lower(x).rlike("^(annex|appendix|supplement|schedule)")).alias("supplement"))
+
+
+def x30_garbled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether one line of a text is garbled, though the text as a whole is not."""
+    return _sql(spark, sf_dir, _GARBLED_LINES).select("doc_id", citations.locally_damaged(F.col("text")).alias("damaged"))
+
+
 #: A case for each conversation, and a transcript whose calls and citations come from its turns.
 _CASES = "SELECT DISTINCT conv_id AS id, concat('D', conv_id % 7) AS one, CASE WHEN conv_id % 3 = 0 THEN '' ELSE concat('A', conv_id % 4) END AS article, concat('D', (conv_id + 1) % 7) AS two, conv_id % 2 = 0 AS must, conv_id % 5 = 0 AS abstain FROM conversations"
 _TURNS = "SELECT conv_id, concat(' d', turn % 7, ' ') AS doc, concat('a', length(text) % 4) AS article, CASE role WHEN 'user' THEN 'search' WHEN 'assistant' THEN 'document' ELSE role END AS tool FROM conversations"
@@ -146,7 +191,7 @@ def x34_weak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", mining.weak_confidence(F.col("authority"), F.col("title_level"), F.col("word")).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (f12_mojibake, f13_repeated_words, x27_quality_gate, x28_placeholders, x14_references, s18_legacy_encoding, p1_provisions, p10_provision_chunks, p3_indonesian, r29_workflow, r29_summary, x34_weak_evidence, j10_term_scope, x19_prefix)}
+QUERIES = {f.__name__: f for f in (f12_mojibake, f13_repeated_words, x27_quality_gate, x28_placeholders, x14_references, s18_legacy_encoding, p1_provisions, p10_provision_chunks, p3_indonesian, p8_jurisdictions, x29_annexes, x30_garbled_lines, r29_workflow, r29_summary, x34_weak_evidence, j10_term_scope, x19_prefix)}
 
 _COUNTS = f"""t AS (SELECT doc_id, regexp_replace(text, '\\p{{L}}\\p{{Mn}}+', 'é', 'g') AS text FROM ({DAMAGED})),
 c AS (SELECT doc_id, CAST(length(text) AS DOUBLE) AS n, len(list_filter(s, lambda x: regexp_full_match(x, '\\p{{L}}'))) AS letters,
@@ -219,4 +264,8 @@ ORACLES = {
     + "), kept AS (SELECT * FROM c WHERE length(content) >= 21) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS ordinal, citation, prefix, content, CAST((length(prefix) + 1 + length(content)) // 2 AS BIGINT) AS tokens FROM kept",
     "p3_indonesian": "WITH p AS (SELECT doc_id, " + _LINE.format(text=_TEXT, every=", 'g'") + " AS line FROM documents) "
     + " UNION ALL ".join(f"SELECT doc_id, CAST({n} AS BIGINT) AS node, CAST({'NULL' if p is None else p} AS BIGINT) AS parent, '{k}' AS kind, '{label}' AS label, {c} AS content, '{x}' AS path FROM p" for n, p, k, label, c, x in _SCAN_NODES),
+    "x29_annexes": "SELECT doc_id, doc_id % 4 IN (0, 2) AS supplement FROM documents",
+    "x30_garbled_lines": "SELECT doc_id, doc_id % 3 = 0 AS damaged FROM documents",
+    "p8_jurisdictions": "WITH p AS (SELECT doc_id, CASE WHEN doc_id % 6 = 5 OR coalesce(lang, '') NOT IN ('en', 'de', 'fr', 'es') THEN '' ELSE lang END AS j, " + _LINE.format(text=_TEXT, every=", 'g'") + " AS line FROM documents) "
+    + " UNION ALL ".join(f"SELECT doc_id, CAST({n} AS BIGINT) AS node, CAST({'NULL' if above is None else above} AS BIGINT) AS parent, '{kind}' AS kind, '{label}' AS label, {content} AS content, '{path}' AS path FROM p WHERE j = '{j}'" for j, (_, _, nodes) in _STATUTES.items() for n, (above, kind, label, content, path) in enumerate(nodes)),
 }
