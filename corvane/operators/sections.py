@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.storage import shared_folder, written
+
 #: Levels of a tree; headings have six, legal trees with appendices a few more.
 DEPTH = 16
 #: Characters beyond which an article is pointed to and not shown.
@@ -15,17 +17,21 @@ def preorder(sections: DataFrame, tree: str = "document_id", depth: int = DEPTH)
     """(tree, id, depth, path, ancestors): path sorts sections in reading order, ancestors are ids from the root down.
 
     sections (tree, id, parent_id, ordinal): a join of one level with the next, on the tree and the parent, until no
-    level is left. Rows below a missing parent or in a circle are not reached. Trees deeper than `depth` raise.
+    level is left. Each level is written, so that a step joins the last one's rows and none is computed twice. Rows below
+    a missing parent or in a circle are not reached. Trees deeper than `depth` raise.
     """
     step = F.lpad(F.col("ordinal").cast("string"), 8, "0")
     s = sections.select(tree, "id", "parent_id", step.alias("step"))
     level = s.where("parent_id is null").select(tree, "id", F.lit(0).alias("depth"), F.col("step").alias("path"), F.array().cast("array<bigint>").alias("ancestors"))
     below = s.where("parent_id is not null").select(F.col(tree).alias("t"), F.col("id").alias("child"), "parent_id", "step")
+    folder = shared_folder(sections.sparkSession)
+    level = written(level, folder, "level-0")
     out = level
     for k in range(1, depth + 1):
         level = level.join(below, (F.col(tree) == F.col("t")) & (F.col("id") == F.col("parent_id"))).select(
             tree, F.col("child").alias("id"), F.lit(k).alias("depth"), F.concat_ws("/", "path", "step").alias("path"), F.concat("ancestors", F.array(F.col("id").cast("bigint"))).alias("ancestors")
         )
+        level = written(level, folder, f"level-{k}")
         if level.isEmpty():
             return out
         if k == depth:
