@@ -56,6 +56,41 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, _GOLDEN)
 
 
+_CITED = "array<struct<doc_number: string, article: string>>"
+
+
+def _json(spark: SparkSession, path: str):
+    """A small JSON file, read whole by the driver."""
+    return json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def _cited(found: list | None) -> list[tuple]:
+    return [(c.get("doc_number"), c.get("article")) for c in found or []]
+
+
+def workflow_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Tasks for agents, a JSON array: (id, task, final_citations, must_check_relations, expect_abstain). Refused: an empty set, a case without id or task, an id that another has."""
+    cases = _json(spark, path)
+    if not isinstance(cases, list) or not cases:
+        raise ValueError(f"{path} holds no cases")
+    rows, seen = [], set()
+    for k, c in enumerate(cases):
+        if not c.get("id") or not c.get("task"):
+            raise ValueError(f"case {k} has no id or no task")
+        if c["id"] in seen:
+            raise ValueError(f"case {c['id']} is there twice")
+        seen.add(c["id"])
+        e = c.get("expected") or {}
+        rows.append((c["id"], c["task"], _cited(e.get("final_citations")), bool(e.get("must_check_relations")), bool(e.get("expect_abstain"))))
+    return spark.createDataFrame(rows, f"id string, task string, final_citations {_CITED}, must_check_relations boolean, expect_abstain boolean")
+
+
+def transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """What agents did, a JSON array: (case_id, cited, abstained, tools); a case may have several."""
+    rows = [(t.get("case_id"), _cited(t.get("cited")), bool(t.get("abstained")), [c.get("tool") for c in t.get("tool_calls") or []]) for t in _json(spark, path)]
+    return spark.createDataFrame(rows, f"case_id string, cited {_CITED}, abstained boolean, tools array<string>")
+
+
 def feed(spark: SparkSession, path: str) -> DataFrame:
     """Items of captured RSS feeds: (title, link, published)."""
     return spark.read.format("xml").option("rowTag", "item").schema("title string, link string, pubDate string").load(path).select("title", "link", F.to_timestamp(F.regexp_replace("pubDate", r"^\w+, ", ""), "d MMM yyyy HH:mm:ss Z").alias("published"))
