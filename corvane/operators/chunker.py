@@ -55,7 +55,7 @@ STYLES = {
     "th": Style(_named({"part": "ภาค", "chapter": "หมวด", "division": "ส่วนที่", "section": "มาตรา"}, _BRACKETS), "section", {"section": ("paragraph",)}, sub=("division",), passage="วรรค", effective="มีผล"),
     "kh": Style(_named({"chapter": "Chapter", "section": "Section", "article": "Article"}, {"clause": ("Clause {}", "{}. "), "point": ("Point {}", "{}. ")}), "article", {"article": ("clause",), "clause": ("point",)}),
 }
-STYLES["id-scan"] = STYLES["id"]
+STYLES |= {"id-scan": STYLES["id"], "vn-text": STYLES["vn"]}
 
 
 def tokens(text: str) -> int:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators import indonesian
+from corvane.operators import indonesian, vietnamese
 
 _ROMAN = r"[IVXLC]+|\d+[A-Z]?"
 _THAI = r"[\d๐-๙]+(?:/[\d๐-๙]+)?"
@@ -85,8 +85,8 @@ GRAMMARS = {
 _ROWS = "doc_id bigint, node int, parent int, kind string, ordinal int, label string, content string, path string"
 
 
-#: Layouts that need more than a grammar of headings, such as regulations from scanned pages.
-PARSERS = {"id-scan": indonesian.parse}
+#: Layouts that need more than a grammar of headings: regulations from scanned pages, amendments, outlines.
+PARSERS = {"id-scan": indonesian.parse, "vn-text": vietnamese.parse}
 
 
 def label(found: str) -> str:

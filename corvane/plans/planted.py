@@ -133,6 +133,20 @@ def p8_jurisdictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), "kind", "label", "content", "path")
 
 
+#: An amendment: emphasis, a reference that a line begins with, quoted provisions, an appendix with an article; or, for every third document, an older outline.
+_AMENDING = """CASE WHEN doc_id % 3 = 0 THEN concat('I. CHUNG', chr(10), '1. ', {line}, chr(10), '1.1. nhỏ', chr(10), 'a) điểm', chr(10), 'II - SAU', chr(10), {line}) ELSE concat('Căn cứ', chr(10), '**Điều 1.** Sửa đổi', chr(10), '1. Sửa như sau:', chr(10), '“Điều 9. Cũ', chr(10), '1. ', {line}, '”', chr(10), '2. Bỏ', chr(10), 'Điều 7 của Luật này', chr(10), '## Điều 2. Hiệu lực', chr(10), {line}, chr(10), 'PHỤ LỤC II MẪU', chr(10), 'Điều 1. Trong mẫu') END AS text"""
+_AMENDING_NODES = (
+    ("<>", (None, "article", "1", "'Sửa đổi'", "article-1"), (0, "clause", "1", "concat('Sửa như sau:', chr(10), '“Điều 9. Cũ', chr(10), '1. ', line, '”')", "article-1/clause-1"), (0, "clause", "2", "concat('Bỏ', chr(10), 'Điều 7 của Luật này')", "article-1/clause-2"), (None, "article", "2", "concat('Hiệu lực', chr(10), line)", "article-2"), (None, "appendix", "II", "'MẪU'", "appendix-II"), (4, "article", "1", "'Trong mẫu'", "appendix-II/article-1")),
+    ("=", (None, "chapter", "I", "'CHUNG'", "chapter-I"), (0, "clause", "1", "line", "chapter-I/clause-1"), (1, "clause", "1.1", "'nhỏ'", "chapter-I/clause-1/clause-1.1"), (2, "point", "a", "'điểm'", "chapter-I/clause-1/clause-1.1/point-a"), (None, "chapter", "II", "concat('SAU', chr(10), line)", "chapter-II")),
+)
+
+
+def p1_vietnamese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provisions of an amendment or an outline planted in every document."""
+    rows = provisions.provisions(_sql(spark, sf_dir, f"SELECT doc_id, {_AMENDING.format(line=_LINE.format(text=_TEXT, every=''))} FROM documents"), "vn-text")
+    return rows.select("doc_id", F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), "kind", "label", "content", "path")
+
+
 #: Documents that are annexes only, that name an annex further on, and texts with a garbled line.
 _ANNEXED = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('Annex ', doc_id % 7, chr(10), 'Appendix II') WHEN 1 THEN concat('Article 1', chr(10), 'ANNEX') WHEN 2 THEN concat('SCHEDULE of fees ', doc_id % 3) ELSE 'no annexes' END AS text FROM documents"
 _GARBLED_LINES = "SELECT doc_id, concat('a clean line of text', chr(10), CASE doc_id % 3 WHEN 0 THEN 'NgÃ¢n hÃ ng NhÃ  nÆ°á»c' WHEN 1 THEN 'one Ã only in a line' ELSE 'short ÃÃÃ' END) AS text FROM documents"
@@ -191,7 +205,7 @@ def x34_weak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", mining.weak_confidence(F.col("authority"), F.col("title_level"), F.col("word")).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (f12_mojibake, f13_repeated_words, x27_quality_gate, x28_placeholders, x14_references, s18_legacy_encoding, p1_provisions, p10_provision_chunks, p3_indonesian, p8_jurisdictions, x29_annexes, x30_garbled_lines, r29_workflow, r29_summary, x34_weak_evidence, j10_term_scope, x19_prefix)}
+QUERIES = {f.__name__: f for f in (f12_mojibake, f13_repeated_words, x27_quality_gate, x28_placeholders, x14_references, s18_legacy_encoding, p1_provisions, p10_provision_chunks, p3_indonesian, p8_jurisdictions, p1_vietnamese, x29_annexes, x30_garbled_lines, r29_workflow, r29_summary, x34_weak_evidence, j10_term_scope, x19_prefix)}
 
 _COUNTS = f"""t AS (SELECT doc_id, regexp_replace(text, '\\p{{L}}\\p{{Mn}}+', 'é', 'g') AS text FROM ({DAMAGED})),
 c AS (SELECT doc_id, CAST(length(text) AS DOUBLE) AS n, len(list_filter(s, lambda x: regexp_full_match(x, '\\p{{L}}'))) AS letters,
@@ -268,4 +282,6 @@ ORACLES = {
     "x30_garbled_lines": "SELECT doc_id, doc_id % 3 = 0 AS damaged FROM documents",
     "p8_jurisdictions": "WITH p AS (SELECT doc_id, CASE WHEN doc_id % 6 = 5 OR coalesce(lang, '') NOT IN ('en', 'de', 'fr', 'es') THEN '' ELSE lang END AS j, " + _LINE.format(text=_TEXT, every=", 'g'") + " AS line FROM documents) "
     + " UNION ALL ".join(f"SELECT doc_id, CAST({n} AS BIGINT) AS node, CAST({'NULL' if above is None else above} AS BIGINT) AS parent, '{kind}' AS kind, '{label}' AS label, {content} AS content, '{path}' AS path FROM p WHERE j = '{j}'" for j, (_, _, nodes) in _STATUTES.items() for n, (above, kind, label, content, path) in enumerate(nodes)),
+    "p1_vietnamese": "WITH p AS (SELECT doc_id, " + _LINE.format(text=_TEXT, every=", 'g'") + " AS line FROM documents) "
+    + " UNION ALL ".join(f"SELECT doc_id, CAST({n} AS BIGINT) AS node, CAST({'NULL' if above is None else above} AS BIGINT) AS parent, '{kind}' AS kind, '{label}' AS label, {content} AS content, '{path}' AS path FROM p WHERE doc_id % 3 {sign} 0" for sign, *nodes in _AMENDING_NODES for n, (above, kind, label, content, path) in enumerate(nodes)),
 }
