@@ -262,7 +262,8 @@ def store_tokens(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
 
     A document's ids are those of its text (null: none) and then `end`; start counts the ids of all documents before it
     in ascending order of doc_id, null first; rows that share a doc_id are documents of their own, in one order of
-    their texts or of their hashes. Other columns are ignored; an empty table writes no shard and gives an empty result.
+    their texts or of their hashes. Texts of any length are encoded whole. Other columns are ignored; an empty table
+    writes no shard and gives an empty result.
     """
     spark = docs.sparkSession
     return read_shards(spark, write_shards(docs, shared_dir(spark), tokenizer, end))

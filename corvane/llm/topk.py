@@ -83,7 +83,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
     numbers of any size, and scores beyond 64 bits are held at the ends of that range. Every remaining row but those with the query's own id is
     a candidate, repeated rows too; a repeated query id counts once (its least vector). Fewer candidates give fewer
     rows. Queries come in blocks of 4096, each against all rows in a pass of its own: a task holds a block and a batch
-    of vectors, and hands on k rows for each query.
+    of vectors, and hands on k rows for each query. Without queries or candidates the result is empty.
     """
     spark = vectors.sparkSession
     ready = vectors.select(F.col(id_column).cast("bigint").alias("id"), quantized(F.col(vector_column), scale).alias("v")).where("id is not null and v is not null")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +57,8 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in {"=" + word, *(word[:n] for n in range(3, 8) if len(word) >= n)}]
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.4, l2: float = 2e-4, least: int = 3, weight: float = 4.0) -> np.ndarray:
-    """Weights of the features, and the bias last. Features in fewer than `least` documents keep weight 0; a toxic document counts `weight` times."""
+def fit(texts: Iterable[str], labels: list[int], rounds: int = 120, rate: float = 0.4, l2: float = 2e-4, least: int = 3, weight: float = 4.0) -> np.ndarray:
+    """Weights of the features, and the bias last. Features in fewer than `least` documents keep weight 0; a toxic document counts `weight` times. Texts are read once."""
     number: dict[str, int] = {}
     word, sent, doc, f, f_word = (array("i") for _ in range(5))
     n_sent = 0
@@ -81,7 +81,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.
     if not n_sent or not any(labels) or all(labels):
         theta[-1] = 3.0 if n_sent and all(labels) else -9.0
         return theta
-    word, sent, doc, f, f_word = (np.array(x, np.int32) for x in (word, sent, doc, f, f_word))
+    word, sent, doc, f, f_word = (np.frombuffer(x, np.int32) for x in (word, sent, doc, f, f_word))
     pairs = np.unique(doc[sent].astype(np.int64) << 32 | word)
     df = np.bincount(f, np.bincount(pairs & 0xFFFFFFFF, minlength=n_words)[f_word], 1 << BITS)
     del pairs
@@ -93,13 +93,13 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120, rate: float = 0.
         of_word = np.bincount(f_word, theta[f], n_words)
         z = np.bincount(sent, of_word[word], n_sent) + theta[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        total = np.bincount(doc, np.logaddexp(0, z), len(texts))[doc]
+        total = np.bincount(doc, np.logaddexp(0, z), len(labels))[doc]
         clean = np.exp(-total)
         g = np.where(y, -weight * p * clean / np.maximum(1 - clean, 1e-9), p)
         step = np.zeros(len(theta))
         step[:-1] = np.bincount(f, np.bincount(word, g[sent], len(of_word))[f_word], 1 << BITS)
         step[-1] = g.sum()
-        step = step / len(texts)
+        step = step / len(labels)
         step[:-1] += l2 * theta[:-1]
         squares += step * step * 1e4
         theta -= rate * step * 1e2 / np.sqrt(squares)
@@ -149,9 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0)
     # about MAX_TOXIC + MAX_CLEAN rows of two numbers, so texts needn't be shuffled to meet them
     small = F.broadcast(chosen.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("y")))
     rows = d.join(small, "doc_id").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    texts, y = strings(rows.column("text")), rows.column("y").to_pylist()
-    return fit([texts[k] for k in order], [y[k] for k in order])
+    rows = rows.take(np.argsort(rows.column("doc_id").to_numpy(), kind="stable"))
+    # one text at a time: the driver holds them as bytes only
+    return fit((x.as_py() or "" for x in rows.column("text")), rows.column("y").to_pylist())
 
 
 _OUT = "doc_id bigint, score double, predicted int, offending array<struct<start: bigint, end: bigint, score: double>>"
@@ -164,7 +164,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, f
     labels is toxic if one says so; null or other labels are ignored. offending lists the sentences whose own
     probability reaches the threshold. Null, empty and wordless texts score 0. Without labels of both kinds every
     document gets the prior. Repeated rows get equal results, a null doc_id is not held out, other columns are ignored.
-    The model, two megabytes whatever the input, goes out with the tasks.
+    Texts are scored whole however long, sentence by sentence; empty tables give empty results. A score of just the
+    threshold counts as toxic. The model, two megabytes whatever the input, goes out with the tasks.
     """
     theta = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds, held_out))
 
@@ -186,7 +187,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, f
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs, the same columns, without the rows that score `threshold` or more."""
+    """docs, the same columns, without the rows that score `threshold` or more.
+
+    Rows are judged one by one: repeated ones go or stay together, whatever their doc_id, which may be null. Null, empty
+    and wordless texts score 0 and stay; texts of any length are scored whole; other columns may have any names; an empty
+    table stays empty; without labels of both kinds nothing is rejected but where all known labels are toxic.
+    """
     theta = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
 

@@ -204,8 +204,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
 
     One row for each row of pages (page_id, url, html, ...). A null html is an empty payload, and empty payloads are
     equal as others are. Of rows with equal payloads, those with the smallest page_id are responses (all of them, if it
-    repeats, or if all are null), the others revisits of it; null page_ids come last. Other columns are ignored; an
-    empty table gives an empty result.
+    repeats, or if all are null), the others revisits of it; null page_ids come last. Payloads of any length are written
+    and digested whole, one at a time; repeated rows are captures of their own. Other columns are ignored; an empty table
+    gives an empty result.
     """
     spark = pages.sparkSession
     folder = shared_dir(spark)

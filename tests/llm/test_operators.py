@@ -526,6 +526,45 @@ def test_warc_revisits_name_records_that_are_there(spark, monkeypatch):
 # URLs
 
 
+def test_toxicity_scores_equal_a_plain_noisy_or(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(80)]
+    texts = [". ".join(" ".join(rng.choices(words, k=rng.randrange(1, 50))) for _ in range(rng.randrange(1, 7))) for _ in range(300)]
+    texts = [t + (" moron scum" if k % 3 == 0 else "") for k, t in enumerate(texts)] + ["moron " * 9000, "", "!!", None, "a. b. c", "Moron\nSCUM " + "x " * 100]
+    docs = documents(spark, texts, extra=True)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id bigint, toxic int")
+    theta = toxicity.train(docs, labels)
+
+    def plain(text):
+        """Every sentence, joined to 8 words and cut to 40, with the sum of its distinct words' hashed beginnings."""
+        groups, held = [], []
+        for sentence in re.split(r"[.!?\n]+", (text or "").lower()):
+            held += re.findall(r"[^\W\d_]+", sentence)
+            if len(held) >= 8:
+                n = -(-len(held) // 40)
+                groups += [held[k * len(held) // n : (k + 1) * len(held) // n] for k in range(n)]
+                held = []
+        clean = 1.0
+        for g in groups + [held] * bool(held):
+            z = theta[-1] + sum(theta[zlib.crc32(f.encode()) % 2**18] for w in set(g) for f in {"=" + w, *(w[:n] for n in range(3, 8) if n <= len(w))})
+            clean *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - clean
+
+    for r in toxicity.score_toxicity(docs, labels).collect():
+        want = plain(texts[r.doc_id])
+        assert abs(r.score - want) < 1e-9 and r.predicted == (r.score >= 0.5) and r.held_out == (crc(r.doc_id, 5) == 0)
+    none = toxicity.score_toxicity(docs.where("doc_id < 0"), labels)
+    assert none.count() == 0 and toxicity.without_toxic(docs.where("doc_id < 0"), labels).count() == 0
+    kept = {r.doc_id for r in toxicity.without_toxic(docs, labels).collect()}
+    assert kept == {k for k, t in enumerate(texts) if plain(t) < 0.5} and len(kept) > 100
+
+
+def test_urls_of_an_empty_table_and_repeats(spark):
+    urls = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, None)], "page_id bigint, url string")
+    got = url_filter.judge_urls(urls).collect()
+    assert len(got) == 3 and got[0] == got[1] and url_filter.judge_urls(urls.where("page_id > 5")).count() == 0
+
+
 def test_urls(spark):
     urls = ["http://www.example.com/en/1", "http://example.com/en/", "https://x.example.com/en/a?b#c", "http://EXAMPLE.com/fr/", "http://a.net/es/1", "http://net/fr/x", "http://a.com", "http://a.com?x=/en/", "notcom/x", None, "", "://com/", "http://xexample.com/en/1", "http://a.b://c/d", "http://spam-farm.example.org/en/1", "http://library.example.org/en/5", "x" * 50_000 + "://h/p", "http://É.com/é\nx"]
     got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").selectExpr("*", "'x' as host", "'r' as rule")).collect()}
