@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: five stages, each an operator of corvane.llm on all that the last one kept."""
+"""From raw documents to packed training sequences: five stages, each an operator of corvane.llm on all that the last one kept.
+
+Every stage takes nulls in any column, empty and very long texts (read whole), repeated rows, empty tables and further
+columns of any names: toxicity judges rows by their texts and keeps null and empty ones; near_dedup keeps rows that have no
+words, and one row of a repeated doc_id; decontamination keeps documents without words; secrets changes texts only;
+packing gives no row but the end mark's for a null or empty text. Ties are settled in the operators' docstrings.
+"""
 
 from __future__ import annotations
 
