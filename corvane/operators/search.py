@@ -160,9 +160,11 @@ def _plans(corpus: Corpus, questions: Sequence[Question], config: Options) -> tu
     """Plans, the conditions of their kinds, and the documents that questions name: (query_id, scope_id)."""
     spark = corpus.document.sparkSession
     named = [(q.id, n) for q in questions for n in query.named_documents(q.text)]
-    names = spark.createDataFrame(named, "query_id bigint, number string")
-    scope = written(corpus.document.select(F.col("id").alias("scope_id"), F.lower("doc_number").alias("number")).join(F.broadcast(names), "number").select("query_id", "scope_id").distinct())
-    found = {r.query_id for r in scope.select("query_id").distinct().collect()} if named else set()
+    scope, found = spark.createDataFrame([], "query_id bigint, scope_id bigint"), set()
+    if named:
+        names = spark.createDataFrame(named, "query_id bigint, number string")
+        scope = written(corpus.document.select(F.col("id").cast("bigint").alias("scope_id"), F.lower("doc_number").alias("number")).join(F.broadcast(names), "number").select("query_id", "scope_id").distinct())
+        found = {r.query_id for r in scope.select("query_id").distinct().collect()}
     kinds: dict[tuple, int] = {}
     plans = []
     for q in questions:
@@ -228,7 +230,7 @@ def _top(scored: DataFrame, n: Column | int, *keys: str) -> DataFrame:
 
 
 class _Search:
-    """One block of questions over a corpus; every table below is small and written, but those of the corpus."""
+    """One block of questions over a corpus; every table below is small, and written if it is read again, but those of the corpus."""
 
     def __init__(self, corpus: Corpus, questions: Sequence[Question], config: Options):
         self.corpus, self.spark, self.folder = corpus, corpus.document.sparkSession, shared_folder(corpus.document.sparkSession)
@@ -286,7 +288,7 @@ class _Search:
             again = self.again({(r.query_id, r.arm) for r in short}, lists)
             gone = F.broadcast(self.spark.createDataFrame([tuple(r) for r in short], "query_id bigint, arm string"))
             passes = passes.join(gone, ["query_id", "arm"], "left_anti").unionByName(again)
-        return self.kept(_top(passes.drop("rank"), F.col("pool"), "arm"), "candidates")
+        return _top(passes.drop("rank"), F.col("pool"), "arm")
 
     def again(self, short: set[tuple[int, str]], lists: dict[str, DataFrame]) -> DataFrame:
         """The pools of (question, arm) pairs, chosen among all rows that fulfil the conditions."""
@@ -327,7 +329,7 @@ class _Search:
         rolled = primary.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "section").orderBy(*order))).where("n = 1")
         late = F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy(*order)) > F.col("doc_cap")
         shown = rolled.withColumn("late", late).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("late", *order))).where("place <= top_k")
-        shown = self.kept(shown.withColumn("badge", F.when(_current(), "").otherwise(F.coalesce("status_class", F.lit("unknown")))), "shown")
+        shown = shown.withColumn("badge", F.when(_current(), "").otherwise(F.coalesce("status_class", F.lit("unknown"))))
         # groups that are not shown, but whose best hits together are worth more than the weakest of the first
         natural = primary.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
         first = natural.where("at <= top_k")
