@@ -185,17 +185,18 @@ def evaluate(corpus: Corpus, cases: DataFrame, vectors: DataFrame | None = None,
     document tells what the candidates hold. Question sets are small files, so the driver holds the questions.
     """
     spark = corpus.document.sparkSession
+    # read by several joins: how expectations were found is not computed again
+    cases = written(cases)
     known = {r.id: r.vector for r in vectors.select("id", "vector").collect()} if vectors is not None else {}
     ids: Sequence[tuple[str, str]] = [(r.id, r.question) for r in cases.select("id", "question").orderBy("id").collect()]
-    names = F.broadcast(spark.createDataFrame([(k, i) for k, (i, _) in enumerate(ids)], "query_id bigint, case_id string"))
-
-    def hits(o: Options) -> tuple[DataFrame, DataFrame]:
-        r = search_many(corpus, [Question(k, text, known.get(i), o, filters) for k, (i, text) in enumerate(ids)])
-        shown = r.hits.where("badge <> 'promoted'").join(names, "query_id").select("case_id", "place", "document_id", "doc_number", "citation", "status_class")
-        return shown, r.gaps.where("blocking").select("query_id").distinct().join(names, "query_id").select("case_id")
-
-    shown, abstained = hits(options)
-    pool = hits(replace(options, top_k=pool_k, doc_cap=pool_k, other_pass=False))[0] if pool_k else None
+    # the probe's questions are searched with the others: one pass over the corpus serves both
+    runs = [options] + ([replace(options, top_k=pool_k, doc_cap=pool_k, other_pass=False)] if pool_k else [])
+    numbered = [(k, run, i, text) for k, (run, (i, text)) in enumerate((run, c) for run in range(len(runs)) for c in ids)]
+    names = F.broadcast(spark.createDataFrame([(k, run, i) for k, run, i, _ in numbered], "query_id bigint, run int, case_id string"))
+    r = search_many(corpus, [Question(k, text, known.get(i), runs[run], filters) for k, run, i, text in numbered])
+    hits = r.hits.where("badge <> 'promoted'").join(names, "query_id").select("run", "case_id", "place", "document_id", "doc_number", "citation", "status_class")
+    shown, pool = hits.where("run = 0").drop("run"), hits.where("run = 1").drop("run") if pool_k else None
+    abstained = r.gaps.where("blocking").select("query_id").distinct().join(names.where("run = 0"), "query_id").select("case_id")
     related = None
     if corpus.relation is not None:
         both = corpus.relation.where("to_id is not null").select(F.col("from_id").alias("document_id"), F.col("to_id").alias("other"))

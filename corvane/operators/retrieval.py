@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.best import Best
 from corvane.storage import written
 
 K1, B = 1.2, 0.75
@@ -12,8 +19,10 @@ RRF_K = 60
 LEXICAL_WEIGHT = 0.5
 POOL = 50
 DOC_CAP = 3
-#: Terms that are counted in columns of their own; more are joined.
+#: Terms that are counted in columns of their own; more are looked up.
 COLUMNS = 64
+#: Weights of a block of documents that are held at once, terms times documents.
+BLOCK = 1 << 22
 
 
 def tokens(text: Column) -> Column:
@@ -43,12 +52,90 @@ def counted(docs: DataFrame, terms: list[str], id_column: str = "doc_id", text_c
         t = written(t.select("id", F.size("t").alias("dl"), counts.alias("f")))
         post = t.select("id", "dl", F.posexplode("f").alias("k", "f")).where("f > 0").select("id", "dl", "f", F.element_at(F.array(*map(F.lit, terms or [""])), F.col("k") + 1).alias("term"))
     else:
-        asked = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in terms], "term string"))
-        t = written(t.select(F.monotonically_increasing_id().alias("row"), "id", F.size("t").alias("dl"), "t"))
-        post = written(t.select("row", "id", "dl", F.explode("t").alias("term")).join(asked, "term").groupBy("row", "id", "dl", "term").agg(F.count("*").cast("int").alias("f")).drop("row"))
+        t = term_counts(docs, terms, id_column, text_column).table
+        post = t.select("id", "dl", F.explode(F.arrays_zip("k", "f")).alias("p")).select("id", "dl", "p.f", F.element_at(F.array(*map(F.lit, terms)), F.col("p.k") + 1).alias("term"))
     return post, post.groupBy("term").agg(F.count("*").alias("df")), t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+@dataclass(frozen=True)
+class Counts:
+    """How often documents hold some terms: a written table (id, dl, k, f) of every document, k places in `terms`."""
+
+    table: DataFrame
+    terms: list[str]
+
+    def postings(self) -> DataFrame:
+        """(k, id, f, dl): a row for each term that a document holds."""
+        return self.table.select("id", "dl", F.explode(F.arrays_zip("k", "f")).alias("p")).select("p.k", "id", "p.f", "dl")
+
+    def unique(self) -> bool:
+        return self.table.groupBy("id").count().where("count > 1").isEmpty()
+
+
+def term_counts(docs: DataFrame, terms: list[str], id_column: str = "doc_id", text_column: str = "text") -> Counts:
+    """Counts of the terms, taken where the texts are read: one pass, no shuffle, and a few small numbers written for each document."""
+    known = docs.sparkSession.sparkContext.broadcast(list(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(known.value, pa.string())
+        for b in batches:
+            words = b.column(2)
+            at = pc.index_in(words.flatten(), wanted)
+            rows = pc.list_parent_indices(words).to_numpy().astype(np.int64)
+            held = at.is_valid().to_numpy(zero_copy_only=False)
+            pairs, f = np.unique(rows[held] * len(wanted) + at.drop_null().to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(b.num_rows + 1) * len(wanted)).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (pairs % max(1, len(wanted)), f))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["id", "dl", "k", "f"])
+
+    t = docs.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("t")).select("id", F.size("t").alias("dl"), "t")
+    kind = t.schema["id"].dataType.simpleString()
+    return Counts(written(t.mapInArrow(run, f"id {kind}, dl int, k array<int>, f array<int>")), list(terms))
+
+
+def best_by_words(counts: Counts, groups: Sequence[Sequence[str]], most: Sequence[int], allowed: DataFrame | None = None) -> DataFrame:
+    """(group, id, score) by BM25, rounded to nine digits: at least the `most` best documents of each group of terms.
+
+    Tasks score whole documents and give their own best only. So what is shuffled grows with the tasks and groups, not with
+    the pairs of group and document, which are nearly all pairs once a group has a common word. Ids must be unique.
+    `allowed` (group, id) says which documents a group may have; without it all may be taken.
+    """
+    spark, place = counts.table.sparkSession, {t: k for k, t in enumerate(counts.terms)}
+    stats = counts.table.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    df = np.zeros(len(counts.terms))
+    for r in counts.postings().groupBy("k").count().collect():
+        df[r.k] = r["count"]
+    idf = np.log(1 + (stats.n - df + 0.5) / (df + 0.5))
+    model = spark.sparkContext.broadcast((idf, float(stats.avgdl or 1.0), [np.array([place[t] for t in g], np.int64) for g in groups], list(most)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, avgdl, groups, most = model.value
+        best, step = Best(most), max(1, BLOCK // max(1, len(idf)))
+        for b in batches:
+            ids, dl = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            rows, k, f = (x.to_numpy() for x in (pc.list_parent_indices(b.column(2)), b.column(2).flatten(), b.column(3).flatten()))
+            weights = idf[k] * f * (K1 + 1) / (f + K1 * (1 - B + B * dl[rows] / avgdl))
+            may = None
+            if b.num_columns > 4:
+                may = np.zeros((len(groups), b.num_rows), bool)
+                may[b.column(4).flatten().to_numpy(), pc.list_parent_indices(b.column(4)).to_numpy()] = True
+            for a in range(0, b.num_rows, step):
+                first, end = np.searchsorted(rows, (a, a + step))
+                held = np.zeros((len(idf), min(step, b.num_rows - a)))
+                held[k[first:end], rows[first:end] - a] = weights[first:end]
+                for g, of_group in enumerate(groups):
+                    scores = np.add.reduce(held[of_group], axis=0)
+                    near = scores > max(0.0, best.least[g] - 1e-9)
+                    at = np.flatnonzero(near if may is None else near & may[g, a : a + step])
+                    best.add(g, ids[a + at], np.round(scores[at], 9))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.rows()], ["group", "id", "score"])
+
+    t = counts.table.where("id is not null and size(k) > 0").select(F.col("id").cast("bigint").alias("id"), "dl", "k", "f")
+    if allowed is not None:
+        t = t.join(allowed.groupBy("id").agg(F.collect_set(F.col("group").cast("int")).alias("groups")), "id")
+    return t.mapInArrow(run, "group int, id bigint, score double")
+
+
 def bm25(docs: DataFrame, query: list[str], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, score) of the documents that hold a query term, without an index. For many queries over one corpus, build_postings() once."""
     return weighted(*counted(docs, list(dict.fromkeys(query)), id_column, text_column))

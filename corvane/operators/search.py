@@ -212,15 +212,47 @@ def _dense(corpus: Corpus, plans: list[_Plan]) -> DataFrame | None:
     return whole.select(F.col("id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "query_id bigint, id bigint, score double")
 
 
-def _sparse(corpus: Corpus, plans: list[_Plan]) -> DataFrame | None:
-    """(query_id, id, score) of all chunks that hold a term of the question."""
-    terms = list(dict.fromkeys(t for p in plans for t in p.terms))
-    if not terms:
-        return None
-    spark = corpus.chunk.sparkSession
-    post, df, stats = retrieval.read_postings(spark, corpus.postings, terms) if corpus.postings else retrieval.counted(corpus.chunk, terms, "id", "content")
-    asked = F.broadcast(spark.createDataFrame([(p.question.id, t) for p in plans for t in p.terms], "query_id bigint, term string"))
-    return retrieval.weighted(post.join(asked, "term"), df, stats, "query_id").withColumn("score", F.round("score", 9))
+class _Words:
+    """The arm of words: (query_id, id, score) of chunks that hold a term of the question."""
+
+    def __init__(self, corpus: Corpus, plans: list[_Plan]):
+        self.spark, self.plans = corpus.chunk.sparkSession, [p for p in plans if p.terms]
+        self.terms = list(dict.fromkeys(t for p in self.plans for t in p.terms))
+        self.counts, self.every = None, None
+        if corpus.postings:
+            self.every = self._weighted(*retrieval.read_postings(self.spark, corpus.postings, self.terms))
+            return
+        counts = retrieval.term_counts(corpus.chunk, self.terms, "id", "content")
+        if counts.unique():
+            self.counts = counts
+        else:
+            # rows of one id add up, so no task knows a chunk's score
+            post = counts.postings().withColumn("term", F.element_at(F.array(*map(F.lit, self.terms)), F.col("k") + 1))
+            self.every = self._weighted(post, post.groupBy("term").agg(F.count("*").alias("df")), counts.table.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+
+    def _weighted(self, post: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+        asked = F.broadcast(self.spark.createDataFrame([(p.question.id, t) for p in self.plans for t in p.terms], "query_id bigint, term string"))
+        return retrieval.weighted(post.join(asked, "term"), df, stats, "query_id").withColumn("score", F.round("score", 9))
+
+    def best(self) -> DataFrame:
+        """At least WIDE times the pool of each question; questions of the same terms are scored once."""
+        if self.counts is None:
+            return self.every
+        most: dict[tuple[str, ...], int] = {}
+        for p in self.plans:
+            most[tuple(p.terms)] = max(most.get(tuple(p.terms), 0), WIDE * p.pool)
+        group = {terms: g for g, terms in enumerate(most)}
+        names = self.spark.createDataFrame([(group[tuple(p.terms)], p.question.id) for p in self.plans], "group int, query_id bigint")
+        return retrieval.best_by_words(self.counts, list(most), list(most.values())).join(F.broadcast(names), "group").select("query_id", "id", "score")
+
+    def among(self, allowed: DataFrame, questions: set[int]) -> DataFrame:
+        """At least the pool of each of the questions, among its allowed chunks (query_id, id)."""
+        if self.counts is None:
+            return allowed.join(self.every, ["query_id", "id"]).select("query_id", "id", "score")
+        mine = [p for p in self.plans if p.question.id in questions]
+        names = F.broadcast(self.spark.createDataFrame([(g, p.question.id) for g, p in enumerate(mine)], "group int, query_id bigint"))
+        found = retrieval.best_by_words(self.counts, [p.terms for p in mine], [p.pool for p in mine], allowed.join(names, "query_id").select("group", "id"))
+        return found.join(names, "group").select("query_id", "id", "score")
 
 
 def _top(scored: DataFrame, n: Column | int, *keys: str) -> DataFrame:
@@ -269,8 +301,9 @@ class _Search:
 
     def candidates(self) -> DataFrame:
         """(query_id, arm, id, score, rank) and what looked_up adds: each arm's pool of rows that fulfil the question's condition."""
-        lists = {"dense": _dense(self.corpus, self.plans), "sparse": _sparse(self.corpus, self.plans)}
-        lists = {k: v for k, v in lists.items() if v is not None}
+        dense = _dense(self.corpus, self.plans)
+        words = _Words(self.corpus, self.plans) if any(p.terms for p in self.plans) else None
+        lists = {k: v for k, v in (("dense", dense), ("sparse", words and words.best())) if v is not None}
         empty = self.spark.createDataFrame([], "query_id bigint, arm string, id bigint, score double, rank int")
         wide = empty
         for arm, scored in lists.items():
@@ -285,12 +318,12 @@ class _Search:
         left = passes.groupBy("query_id", "arm").agg(F.count("*").alias("left"))
         short = length.join(left, ["query_id", "arm"], "left").where(f"length >= {WIDE} * pool and coalesce(left, 0) < pool").select("query_id", "arm").collect()
         if short:
-            again = self.again({(r.query_id, r.arm) for r in short}, lists)
+            again = self.again({(r.query_id, r.arm) for r in short}, dense, words)
             gone = F.broadcast(self.spark.createDataFrame([tuple(r) for r in short], "query_id bigint, arm string"))
             passes = passes.join(gone, ["query_id", "arm"], "left_anti").unionByName(again)
         return _top(passes.drop("rank"), F.col("pool"), "arm")
 
-    def again(self, short: set[tuple[int, str]], lists: dict[str, DataFrame]) -> DataFrame:
+    def again(self, short: set[tuple[int, str]], dense: DataFrame | None, words: _Words | None) -> DataFrame:
         """The pools of (question, arm) pairs, chosen among all rows that fulfil the conditions."""
         asked = F.broadcast(self.spark.createDataFrame(sorted(short), "query_id bigint, arm string"))
         known = self.corpus.document.withColumnRenamed("id", "document_id").join(self.status, "document_id", "left")
@@ -300,11 +333,12 @@ class _Search:
         rows = self._scoped(chunks.join(asked.join(self.settings, "query_id")))
         other = F.col("others") & F.col("status_class").isNotNull() & ~_current()
         allowed = rows.where(F.when(F.col("arm") == "other", other).otherwise(self.fulfilled())).select("query_id", "arm", "id", "pool")
-        scored = None
-        for arm, df in lists.items():
-            if arm in {a if a == "sparse" else "dense" for _, a in short}:
-                mine = allowed.where(F.col("arm") == arm if arm == "sparse" else F.col("arm") != "sparse").join(df, ["query_id", "id"])
-                scored = mine if scored is None else scored.unionByName(mine)
+        scored = []
+        if any(arm != "sparse" for _, arm in short):
+            scored.append(allowed.where("arm <> 'sparse'").join(dense, ["query_id", "id"]).select("query_id", "arm", "id", "score"))
+        if mine := {q for q, arm in short if arm == "sparse"}:
+            scored.append(words.among(allowed.where("arm = 'sparse'").select("query_id", "id"), mine).select("query_id", F.lit("sparse").alias("arm"), "id", "score"))
+        scored = (scored[0] if len(scored) == 1 else scored[0].unionByName(scored[1])).join(self.settings.select("query_id", "pool"), "query_id")
         found = self.kept(_top(scored, F.col("pool"), "arm").drop("pool"), "again")
         return self.looked_up(found, "again")
 

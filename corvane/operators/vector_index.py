@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.best import Best
 from corvane.storage import shared_folder, written
 
 #: Cells at most, sampled vectors for each cell and in all, dimensions of a code, rounds of a k-means.
@@ -143,41 +144,13 @@ def pool_of(k: int) -> int:
     return max(POOL_FACTOR * k, POOL_LEAST)
 
 
-class _Best:
-    """The best candidates of each question of a scan; twice the pool are held at most."""
-
-    def __init__(self, questions: int, pool: int):
-        self.pool, self.held = pool, [(np.zeros(0, np.int64), np.zeros(0))] * questions
-
-    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        if len(ids) > 2 * self.pool:
-            top = np.argpartition(-scores, self.pool - 1)[: self.pool]
-            ids, scores = self._with_ties(ids, scores, top)
-        ids, scores = np.concatenate((self.held[q][0], ids)), np.concatenate((self.held[q][1], scores))
-        if len(ids) > 2 * self.pool:
-            ids, scores = self._cut(ids, scores)
-        self.held[q] = ids, scores
-
-    def _with_ties(self, ids: np.ndarray, scores: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        least = scores[top].min()
-        return self._cut(ids[scores >= least], scores[scores >= least])
-
-    def _cut(self, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((ids, -scores))[: self.pool]
-        return ids[order], scores[order]
-
-    def batch(self) -> pa.RecordBatch:
-        n = [len(i) for i, _ in self.held]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(n), dtype=np.int32), n)), pa.array(np.concatenate([i for i, _ in self.held])), pa.array(np.concatenate([s for _, s in self.held]))], ["question", "id", "score"])
-
-
 def _scan(index: Index, rows: DataFrame, asked: np.ndarray, probed: np.ndarray | None, pool: int) -> DataFrame:
     """(question, id, score): each task's best candidates. By codes in the probed cells, or exactly in all if probed is None."""
     model = rows.sparkSession.sparkContext.broadcast((index.centroids, index.codebooks, asked, probed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, books, q, of_cell = model.value
-        best = _Best(len(q), pool)
+        best = Best([pool] * len(q))
         parts = _padded(q).reshape(len(q), -1, PART)
         tables = np.einsum("qpd,pcd->pqc", parts, books) if of_cell is not None else None
         for b in batches:
@@ -197,7 +170,7 @@ def _scan(index: Index, rows: DataFrame, asked: np.ndarray, probed: np.ndarray |
                     scores += table[own][:, codes[here, p]]
                 for k, s in zip(own, scores, strict=True):
                     best.add(int(k), ids[here], s)
-        yield best.batch()
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.rows()], ["question", "id", "score"])
 
     return rows.mapInArrow(run, "question int, id bigint, score double")
 

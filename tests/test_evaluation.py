@@ -63,3 +63,23 @@ def test_a_set_over_a_corpus(spark, corpus):  # noqa: F811
     assert all(got[k].pool_hits >= 1 or k == "b" for k in "ab")
     state = {r.doc_number: r.state for r in E.coverage(c, corpus).collect()}
     assert state == {"1/2020/ab": "indexed", "2/2020/ab": "indexed", "77/2020": "missing"}
+
+
+def test_words_of_many_questions_are_cut_where_they_are_scored(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.operators import retrieval
+
+    docs = spark.range(600, numPartitions=2).select("id", F.concat_ws(" ", F.lit("the"), F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("v"), F.col("id") % 70)).alias("content"))
+    groups = [("the", f"w{k % 7}", f"v{k}") for k in range(70)]
+    counts = retrieval.term_counts(docs, sorted({t for g in groups for t in g}), "id", "content")
+    assert counts.unique() and not retrieval.Counts(counts.table.unionByName(counts.table), counts.terms).unique()
+    got = retrieval.best_by_words(counts, groups, [3] * 70)
+    # every document has a word of every group: 42,000 pairs
+    assert got.count() <= 6 * 70 * counts.table.rdd.getNumPartitions()
+    for g in (0, 33):
+        best = [tuple(r) for r in got.where(F.col("group") == g).orderBy(F.desc("score"), "id").limit(3).select("id", "score").collect()]
+        plain = retrieval.bm25(docs, list(groups[g]), "id", "content").select("id", F.round("score", 9).alias("score"))
+        assert best == [tuple(r) for r in plain.orderBy(F.desc("score"), "id").limit(3).collect()]
+    few = spark.createDataFrame([(0, 5), (0, 590), (1, 6)], "group int, id bigint")
+    assert {(r.group, r.id) for r in retrieval.best_by_words(counts, groups[:2], [3, 3], few).collect()} == {(0, 5), (0, 590), (1, 6)}
