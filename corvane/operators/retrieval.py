@@ -148,10 +148,22 @@ def build_postings(docs: DataFrame, path: str, id_column: str = "doc_id", text_c
     ranges of (folder, term, document), so that a term is spread over as many tasks as its postings fill. Repeated ids are documents of their
     own; null and wordless texts count in the statistics only.
     """
-    t = docs.select(F.col(id_column).alias("id"), tokens(F.coalesce(F.col(text_column), F.lit(""))).alias("t"))
-    t = t.select(F.monotonically_increasing_id().alias("place"), "id", F.size("t").alias("dl"), "t")
+    t = docs.select(F.col(id_column).alias("id"), tokens(F.coalesce(F.col(text_column), F.lit(""))).alias("t")).select("id", F.size("t").alias("dl"), "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(2)
+            coded = words.flatten().dictionary_encode()
+            size = max(1, len(coded.dictionary))
+            pairs, f = np.unique(pc.list_parent_indices(words).to_numpy().astype(np.int64) * size + coded.indices.to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(b.num_rows + 1) * size).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(ends, x) for x in (coded.dictionary.take(pa.array(pairs % size)), pa.array(f.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["id", "dl", "terms", "f"])
+
+    # a row for each document: statistics, and the ranges that rows are dealt by, come from it without the texts
+    t = written(t.mapInArrow(run, f"id {t.schema['id'].dataType.simpleString()}, dl int, terms array<string>, f array<int>"))
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
-    post = t.select("place", "id", "dl", F.explode("t").alias("term")).groupBy("place", "id", "dl", "term").agg(F.count("*").cast("int").alias("f"))
+    post = t.select("id", "dl", F.explode(F.arrays_zip("terms", "f")).alias("p")).select("id", "dl", F.col("p.terms").alias("term"), "p.f")
     post.select("term", "id", "f", "dl", bucket).repartitionByRange("bucket", "term", F.xxhash64("id")).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     df = docs.sparkSession.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
     df.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")

@@ -132,3 +132,17 @@ def test_reports(spark, tmp_path):
     assert low == [("recall", 0.8, 0.9)] and "below threshold: recall 0.800 < 0.900" in sinks.report(metrics, low)
     left = [3, 2, 0, 5]
     assert sinks.rounds(lambda: left.pop(0), 6) == 3 and sinks.rounds(lambda: 1, 4) == 4
+
+
+def test_postings_read_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def text(k):
+        seen.add(1)
+        return f"the w{k % 3} the v{k}" if k else None
+
+    docs = spark.range(40, numPartitions=2).select(F.col("id").alias("doc_id"), F.udf(text, "string").asNondeterministic()("id").alias("text"))
+    path = retrieval.build_postings(docs, shared_folder(spark), buckets=2)
+    assert seen.value == 40
+    assert spark.read.parquet(f"{path}/postings").where("term = 'the' and f = 2 and dl = 4").count() == 39
+    assert [tuple(r) for r in spark.read.parquet(f"{path}/statistics").collect()] == [(40, 3.9, 2)]
