@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+#: Rows of a batch whose values are Python objects at one time.
+ROWS = 64
 _PAGE = re.compile(r"^\s*(?:[-–—]?\s*\d{1,4}\s*[-–—]?|(?:page|trang|halaman)\s+\d{1,4}(?:\s*(?:of|/|dari)\s*\d{1,4})?)\s*$", re.IGNORECASE)
 #: Cyrillic letters and the Latin ones they look like.
 CYRILLIC, LATIN = "АВЕКМНОРСТУХаеорсухіјѕ", "ABEKMHOPCTYXaeopcyxijs"
@@ -52,17 +55,23 @@ def clusters(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf(StringType())
-def cleaned(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: letters_repaired(without_page_noise(t)), na_action="ignore")
+def _each(values: pa.Array, function: Callable, kind: pa.DataType) -> pa.Array:
+    """The function of each value; only ROWS values and results at a time are Python objects, the rest of a batch stays in Arrow."""
+    parts = [pa.array([function(x) for x in values.slice(a, ROWS).to_pylist()], kind) for a in range(0, len(values), ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def thai_clusters(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: clusters(t or ""))
+@F.arrow_udf(StringType())
+def cleaned(text: pa.Array) -> pa.Array:
+    return _each(text, lambda t: None if t is None else letters_repaired(without_page_noise(t)), pa.string())
 
 
-@F.pandas_udf(StringType())
-def decoded_thai(content: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(StringType()))
+def thai_clusters(text: pa.Array) -> pa.Array:
+    return _each(text, lambda t: clusters(t or ""), pa.list_(pa.string()))
+
+
+@F.arrow_udf(StringType())
+def decoded_thai(content: pa.Array) -> pa.Array:
     """Text of bytes in the legacy Thai code page; what it lacks becomes a replacement mark."""
-    return content.map(lambda b: bytes(b).decode("cp874", "replace"), na_action="ignore")
+    return _each(content, lambda b: None if b is None else bytes(b).decode("cp874", "replace"), pa.string())

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.functions import quality
+from corvane.functions import quality, repair
 from corvane.functions.html import text_of
 from corvane.functions.text import repeats_a_word
 from corvane.operators import provisions, retrieval, workflow
@@ -146,3 +146,17 @@ def test_postings_read_each_text_once(spark):
     assert seen.value == 40
     assert spark.read.parquet(f"{path}/postings").where("term = 'the' and f = 2 and dl = 4").count() == 39
     assert [tuple(r) for r in spark.read.parquet(f"{path}/statistics").collect()] == [(40, 3.9, 2)]
+
+
+def test_repairs_hold_few_texts_as_python_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([None, *(f"{k} " + "text " * 4000 for k in range(1500))])
+    tracemalloc.start()
+    got = repair.cleaned.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 30 MB of text, 1.3 MB of it at a time
+    assert len(got) == 1501 and got[0].as_py() is None and got[1500].as_py() == texts[1500].as_py().rstrip() and peak < 10 << 20
