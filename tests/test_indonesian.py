@@ -100,3 +100,17 @@ def test_the_parser_is_a_grammar_for_provisions_and_chunks():
     assert provisions.parse(text, "id-scan") == indonesian.parse(text)
     chunks = Chunker(provisions.parse(text, "id-scan"), STYLES["id-scan"], About()).chunks()
     assert [(c[1], c[2]) for c in chunks] == [("Pasal 1", "BAB I UMUM")]
+
+
+def test_likeness_equals_the_plain_ratio_and_mostly_needs_its_bounds_only(monkeypatch):
+    import difflib
+    import random
+
+    rng, full = random.Random(3), []
+    ratio = difflib.SequenceMatcher.ratio
+    monkeypatch.setattr(difflib.SequenceMatcher, "ratio", lambda m: full.append(1) or ratio(m))
+    lines = ["".join(rng.choice(h[k] + "AEIOU .") if rng.random() < 0.3 else h[k] for k in range(len(h))) for h in indonesian.LETTERHEADS * 60]
+    lines += ["KETENTUAN UMUM", "DENGAN RAHMAT TUHAN", "PENUTUP LAIN"] * 60
+    got = [indonesian._like_a_letterhead(x) for x in lines]
+    assert len(full) < 0.8 * len(lines) * len(indonesian.LETTERHEADS)
+    assert got == [any(ratio(difflib.SequenceMatcher(None, x, h, autojunk=False)) >= indonesian.LIKENESS for h in indonesian.LETTERHEADS) for x in lines]
