@@ -48,6 +48,8 @@ MERGED = 1_000_000
 GROUP, INNER_NOISE = 64, 4
 #: Tokens of a shard, of an array of vectors; parts in which a shard's changes are averaged.
 SHARD, SLICE, CHUNKS = 1 << 20, 1 << 18, 16
+#: Rows of a matrix of all classes when texts are scored, which the processor's cache holds.
+ROWS = 256
 #: Where sums of squared gradients begin, for classes and for words and groups, which are seen more seldom.
 SQUARES, RARE_SQUARES = 1e-6, 1e-8
 
@@ -221,32 +223,33 @@ class Model:
 
     def log10(self, row: np.ndarray, places: np.ndarray, table: Table | None = None) -> np.ndarray:
         """log10 of the normalised probability of the ids at some places of a row; of a class as a whole where the id is a tail class and there is no table, else of its rest."""
-        vectors, targets = self.contexts(table), row[places]
-        classes = targets if table is None else table.class_of[targets]
+        vectors, targets = self.contexts(table), row.take(places)
+        classes = targets if table is None else table.class_of.take(targets)
         r, gr, wr = (np.concatenate([x, y[:, None]], axis=1) for x, y in ((self.r, self.b), (self.gr, self.gb), (self.wr, self.wb)))
-        longest = [np.sqrt(np.einsum("nd,nd->n", x, x).max(initial=0)) for x in (vectors, r, gr, wr)]
-        # a bound of all predictions times one of all choices
-        safe = (float(np.abs(self.c).max(axis=1).sum()) * longest[0] + 1) * max(longest[1:]) < 80
-        r, out, q = np.ascontiguousarray(r.T), np.empty(len(places)), np.ones((len(places), SIZE + 1), np.float32)
-        for a in range(0, len(places), 1024):  # short enough to stay in the processor's cache
+        r, q, z = np.ascontiguousarray(r.T), np.ones((len(places), SIZE + 1), np.float32), np.empty((ROWS, CLASSES), np.float32)
+        own, sums, ones = np.empty(len(places), np.float32), np.empty(len(places), np.float32), np.ones(CLASSES, np.float32)
+        for a in range(0, len(places), 1024):
             here = places[a : a + 1024]
             part = self.predict(vectors.take(row[here[0] - CONTEXT : here[-1] + 1], axis=0))
             q[a : a + 1024, :SIZE] = part if len(part) == len(here) else part.take(here - here[0], axis=0)
-            out[a : a + 1024] = _log_share(q[a : a + 1024] @ r, classes[a : a + 1024], safe)
+        at = np.arange(0, z.size, CLASSES)
+        for a in range(0, len(places), len(z)):  # short enough to stay in the processor's cache
+            part = np.matmul(q[a : a + len(z)], r, out=z[: len(places) - a])
+            own[a : a + len(z)] = part.ravel().take(classes[a : a + len(z)] + at[: len(part)])
+            sums[a : a + len(z)] = _log_sums(part, ones)
+        out = (own - sums).astype(np.float64)
         if table is not None:
             inner = np.flatnonzero(classes > OWN)
-            choice = table.choice_of[targets[inner]]
+            choice = table.choice_of.take(targets.take(inner))
             # in the order of choices, words of a group stand together, and choices of a class too
             order = np.argsort(choice.astype(np.uint16) if table.choices <= 1 << 16 else choice, kind="stable")
-            inner, choice = inner[order], choice[order]
-            tail, word, q, more = classes[inner] - OWN - 1, targets[inner] - CLASSES - 1, q.take(inner, axis=0), np.zeros(len(inner))
-            for a, z in _equal(tail):
-                f, n = int(table.first_choice[tail[a]]), int(table.n_choices[tail[a]])
-                more[a:z] = _log_shares(q[a:z], gr[f : f + n], choice[a:z] - f, safe)
-            for a, z in _equal(choice):
-                if word[a] >= 0:
-                    f, n = int(table.first_word[word[a]]), int(table.n_words[word[a]])
-                    more[a:z] += _log_shares(q[a:z], wr[f : f + n], word[a:z] - f, safe)
+            inner, choice = inner.take(order), choice.take(order)
+            tail, word, q = classes.take(inner) - OWN - 1, targets.take(inner) - CLASSES - 1, q.take(inner, axis=0)
+            more = _log_shares(q, gr, choice, ((a, z, int(table.first_choice[tail[a]]), int(table.n_choices[tail[a]])) for a, z in _equal(tail)))
+            known = np.flatnonzero(word >= 0)
+            if len(known):
+                word, q = (word, q) if len(known) == len(word) else (word[known], q.take(known, axis=0))
+                more[known] += _log_shares(q, wr, word, ((a, z, int(table.first_word[word[a]]), int(table.n_words[word[a]])) for a, z in _equal(choice[known])))
             out[inner] += more
         return out / np.log(10)
 
@@ -254,77 +257,100 @@ class Model:
         """A step of noise-contrastive estimation over some places of a row; noise by the classes' shares, and evenly among the choices below."""
         n = len(places)
         row, places = row[places[0] - CONTEXT : places[-1] + 1], places - places[0]
-        targets = row[places + CONTEXT]
+        targets = row.take(places + CONTEXT)
         kinds, words = table.class_of.take(row), np.flatnonzero(row > CLASSES)
-        word_rows = row[words] - CLASSES - 1
+        word_rows = row.take(words) - CLASSES - 1
         vectors = self.q.take(kinds, axis=0)
-        vectors[words] += self.wq.take(word_rows, axis=0)
-        classes = table.class_of[targets]
-        noise = rng.choice(CLASSES, NOISE, p=share)
-        log_k = np.log(NOISE * np.maximum(share, 1e-12)).astype(np.float32)
+        if len(words):
+            vectors += self.wq.take(np.maximum(row - (CLASSES + 1), 0), axis=0) * (row > CLASSES).astype(np.float32)[:, None]
+        classes = kinds[CONTEXT:].take(places)
+        # what rng.choice(CLASSES, NOISE, p=share) draws
+        up_to = share.cumsum()
+        noise = (up_to / up_to[-1]).searchsorted(rng.random(NOISE), side="right")
+        bias = self.b - np.log(NOISE * np.maximum(share, 1e-12)).astype(np.float32)
         q, rt, rn = self.predict(vectors).take(places, axis=0), self.r.take(classes, axis=0), self.r[noise]
-        d = 1 / (1 + np.exp(np.clip(np.einsum("nd,nd->n", q, rt) + (self.b - log_k)[classes], -30, 30)))
-        e = -1 / (1 + np.exp(-np.clip(q @ rn.T + (self.b - log_k)[noise], -30, 30)))
-        grad = Model(np.zeros(self.dense, np.float32))
-        _scatter(grad.r, classes, d[:, None].astype(np.float32) * q)
-        np.add.at(grad.r, noise, e.T @ q)
-        grad.b[:] = np.bincount(classes, d, CLASSES) + np.bincount(noise, e.sum(axis=0), CLASSES)
+        d = _inverse(np.einsum("nd,nd->n", q, rt) + bias.take(classes), 1)
+        q_one = np.ones((n, SIZE + 1), np.float32)
+        q_one[:, :SIZE] = q
+        e = _inverse(q_one @ -np.concatenate([rn, bias[noise, None]], axis=1).T, -1)
+        of_noise = e.T @ q_one
+        grad = squares.grad
+        grad.flat.fill(0)
+        _scatter(grad.r, classes, d[:, None] * q)
+        _scatter(grad.r, noise, np.ascontiguousarray(of_noise[:, :SIZE]))
+        grad.b[:] = np.bincount(classes, d, CLASSES) + np.bincount(noise, of_noise[:, SIZE], CLASSES)
         dq = d[:, None] * rt + e @ rn
         inner = np.flatnonzero(classes > OWN)
         if len(inner):
-            tail, choice = classes[inner] - OWN - 1, table.choice_of[targets[inner]]
-            dq[inner] += _contrast(q.take(inner, axis=0), choice, table.first_choice[tail], table.n_choices[tail], (self.gr, self.gb), (squares.gr, squares.gb), n, rng)
-            inner = inner[targets[inner] > CLASSES]
+            tail, choice = classes.take(inner) - OWN - 1, table.choice_of.take(targets.take(inner))
+            _scatter(dq, inner, _contrast(q.take(inner, axis=0), choice, table.first_choice.take(tail), table.n_choices.take(tail), (self.gr, self.gb), squares.g, n, rng))
+            inner = inner[targets.take(inner) > CLASSES]
         if len(inner):
-            word = targets[inner] - CLASSES - 1
-            dq[inner] += _contrast(q.take(inner, axis=0), word, table.first_word[word], table.n_words[word], (self.wr, self.wb), (squares.wr, squares.wb), n, rng)
+            word = targets.take(inner) - CLASSES - 1
+            _scatter(dq, inner, _contrast(q.take(inner, axis=0), word, table.first_word.take(word), table.n_words.take(word), (self.wr, self.wb), squares.w, n, rng))
         back = np.zeros((len(row) - CONTEXT, SIZE), np.float32)
         back[places] = dq
-        each, m = np.zeros_like(vectors), len(back)
+        each, m, part = np.zeros_like(vectors), len(back), np.empty_like(back)
         for k in range(CONTEXT):
             a = CONTEXT - 1 - k
-            each[a : a + m] += back * self.c[k]
+            each[a : a + m] += np.multiply(back, self.c[k], out=part)
             grad.c[k] = np.einsum("nd,nd->d", back, vectors[a : a + m])
         _scatter(grad.q, kinds, each)
-        each = each.take(words, axis=0) / np.float32(n)
-        _scatter(self.wq, word_rows, each * _rates(squares.wq, word_rows, np.einsum("nd,nd->n", each, each) / np.float32(SIZE))[:, None])
+        each = each.take(words, axis=0)
+        each /= np.float32(n)
+        np.add.at(squares.wq, word_rows, np.einsum("nd,nd->n", each, each) / np.float32(SIZE))
+        each *= (np.float32(RATE) / np.sqrt(squares.wq.take(word_rows)))[:, None]
+        _scatter(self.wq, word_rows, each)
         g = grad.flat / n
         squares.flat += g * g
         self.flat[: self.dense] += RATE * g / np.sqrt(squares.flat)
 
 
 class Squares:
-    """Sums of squared gradients: of every parameter of the classes, and the mean over a vector of each word's and choice's."""
+    """Sums of squared gradients: of every parameter of the classes, and the mean over a vector of each word's and choice's; of words (w) and choices (g) as complex numbers, the vector's and b's. And room for a step's gradients of the classes."""
 
     def __init__(self, flat: np.ndarray, table: Table):
-        self.flat = flat
-        self.wq, self.wr, self.wb, self.gr, self.gb = (np.full(n, RARE_SQUARES, np.float32) for n in (table.words,) * 3 + (table.choices,) * 2)
+        self.flat, self.grad = flat, Model(np.zeros(len(flat), np.float32))
+        self.wq = np.full(table.words, RARE_SQUARES, np.float32)
+        self.w, self.g = (np.full(n, complex(RARE_SQUARES, RARE_SQUARES), np.complex64) for n in (table.words, table.choices))
 
 
-def _rates(squares: np.ndarray, rows: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """Adds squared gradients to the sums of rows, which may repeat; the rates of their steps."""
-    np.add.at(squares, rows, more)
-    return np.float32(RATE) / np.sqrt(squares.take(rows))
+def _inverse(z: np.ndarray, x: float) -> np.ndarray:
+    """x / (1 + exp(z)) in place of z."""
+    np.clip(z, -30, 30, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.divide(x, z, out=z)
 
 
-def _contrast(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndarray, values: tuple, squares: tuple, n: int, rng: np.random.Generator) -> np.ndarray:
+def _contrast(q: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndarray, values: tuple, squares: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     """A step of noise-contrastive estimation for choices among `size` ones from `first` on; returns the gradients of q."""
     r, b = values
+    ids = np.empty((len(q), INNER_NOISE + 1), np.int64)
+    ids[:, 0] = target
     noise = first[:, None] + (rng.random((len(q), INNER_NOISE), np.float32) * size[:, None]).astype(np.int64)
-    ids = np.concatenate([target[:, None], np.minimum(noise, (first + size - 1)[:, None])], axis=1)
+    np.minimum(noise, (first + size - 1)[:, None], out=ids[:, 1:])
     flat = ids.ravel()
     vectors = r.take(ids, axis=0)
-    z = np.einsum("nkd,nd->nk", vectors, q) + b.take(ids) - np.log(INNER_NOISE / size).astype(np.float32)[:, None]
-    d = -1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    z = np.einsum("nkd,nd->nk", vectors, q)
+    z += b.take(ids)
+    z -= np.log(INNER_NOISE / size).astype(np.float32)[:, None]
+    d = _inverse(np.negative(z, out=z), -1)
     d[:, 0] += 1
-    d[size == 1] = 0
+    if size.min() == 1:
+        d[size == 1] = 0
     dq = np.einsum("nk,nkd->nd", d, vectors)
     d *= np.float32(1 / n)
-    square = d * d
-    np.add.at(b, flat, d.ravel() * _rates(squares[1], flat, square.ravel()))
-    square *= (np.einsum("nd,nd->n", q, q) / np.float32(SIZE))[:, None]
-    d *= _rates(squares[0], flat, square.ravel()).reshape(d.shape)
-    _scatter(r, flat, d[:, :, None] * q[:, None, :])
+    square = np.empty((*d.shape, 2), np.float32)
+    np.multiply(d, d, out=square[:, :, 1])
+    np.multiply(square[:, :, 1], (np.einsum("nd,nd->n", q, q) / np.float32(SIZE))[:, None], out=square[:, :, 0])
+    np.add.at(squares, flat, square.ravel().view(np.complex64))
+    rates = np.sqrt(squares.take(flat).view(np.float32), out=square.ravel()).reshape(square.shape)
+    np.divide(np.float32(RATE), rates, out=rates)
+    np.add.at(b, flat, (d * rates[:, :, 1]).ravel())
+    d *= rates[:, :, 0]
+    np.einsum("nk,nd->nkd", d, q, out=vectors)
+    _scatter(r, flat, vectors)
     return dq
 
 
@@ -334,29 +360,35 @@ def _equal(x: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(cuts[:-1], cuts[1:], strict=True)
 
 
-def _log_share(z: np.ndarray, target: np.ndarray, safe: bool) -> np.ndarray:
-    """log of each row's share of exp(z) at the target; z is overwritten. `safe`: no z is beyond 80, so that sums of exponentials fit in 32 bits as they are."""
-    if not safe:
-        z -= z.max(axis=1, keepdims=True)
-    n, width = z.shape
-    own = z.ravel().take(target + np.arange(0, n * width, width))
+def _log_sums(z: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """log of each row's sum of exp(z); z is overwritten. Where no z is beyond 80, sums of exponentials fit in 32 bits as they are."""
+    top = None
+    if not (z.max() < 80 and z.min() > -80):
+        top = z.max(axis=1)
+        z -= top[:, None]
     np.exp(z, out=z)
-    return own - np.log(z @ np.ones(width, np.float32))
+    sums = np.log(z @ ones)
+    return sums if top is None else sums + top
 
 
-def _log_shares(q: np.ndarray, r: np.ndarray, target: np.ndarray, safe: bool) -> np.ndarray:
-    """log of the probability of each target among the choices r; matrix products of bounded size."""
-    if len(q) <= 4096:
-        return _log_share(q @ r.T, target, safe)
-    return np.concatenate([_log_share(q[k : k + 4096] @ r.T, target[k : k + 4096], safe) for k in range(0, len(q), 4096)])
+def _log_shares(q: np.ndarray, r: np.ndarray, target: np.ndarray, runs: Iterator[tuple[int, int, int, int]]) -> np.ndarray:
+    """log of the probability of each target, a row of r, among the n choices from f on, for each run (a, z, f, n) of rows of q; matrix products of bounded size."""
+    sums, rt, ones = np.empty(len(q), np.float32), np.ascontiguousarray(r.T), np.ones(len(r), np.float32)
+    for a, z, f, n in runs:
+        for k in range(a, z, 4 * ROWS):
+            to = min(z, k + 4 * ROWS)
+            sums[k:to] = _log_sums(q[k:to] @ rt[:, f : f + n], ones[:n])
+    return (np.einsum("nd,nd->n", q, r.take(target, axis=0)) - sums).astype(np.float64)
 
 
-_PAIRS = np.arange(SIZE // 2)
+_PAIRS = np.tile(np.arange(SIZE // 2), 4 * BATCH)
 
 
 def _scatter(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Adds values to rows of 32-bit floats, two at once as a complex number; rows may repeat."""
-    np.add.at(out.reshape(-1).view(np.complex64), (rows[:, None] * (SIZE // 2) + _PAIRS).ravel(), values.reshape(-1).view(np.complex64))
+    pairs = np.repeat(rows * (SIZE // 2), SIZE // 2)
+    pairs += _PAIRS[: len(pairs)] if len(pairs) <= len(_PAIRS) else np.tile(_PAIRS[: SIZE // 2], len(rows))
+    np.add.at(out.reshape(-1).view(np.complex64), pairs, values.reshape(-1).view(np.complex64))
 
 
 _SUMS = "chunk int, shard bigint, n bigint, p binary, s binary"

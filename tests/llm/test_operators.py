@@ -210,6 +210,25 @@ def test_language_model_steps_add_up():
     assert table.words == n - language_model.OWN and sum(10**x for x in p) == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_sums_of_exponentials():
+    """Rows of a block are shifted only where one is out of range, whatever the bounds of all parameters say."""
+    rng = np.random.default_rng(9)
+    for shift in (0, 70, 300, -300):
+        z = (rng.normal(0, 3, (50, 40)) + shift).astype(np.float32)
+        plain = np.log(np.exp(z.astype(float) - shift).sum(axis=1)) + shift
+        assert np.allclose(language_model._log_sums(z, np.ones(40, np.float32)), plain, atol=1e-3)
+
+
+def test_language_model_scatter_repeats_rows():
+    rng = np.random.default_rng(10)
+    for n in (0, 3, 5 * language_model.BATCH):
+        rows, values = rng.integers(0, 7, n), rng.normal(size=(n, language_model.SIZE)).astype(np.float32)
+        out, plain = np.zeros((7, language_model.SIZE), np.float32), np.zeros((7, language_model.SIZE))
+        language_model._scatter(out, rows, values)
+        np.add.at(plain, rows, values)
+        assert np.allclose(out, plain, atol=1e-2)
+
+
 # decontamination
 
 
