@@ -23,6 +23,8 @@ from corvane.storage import shared_folder, written
 CELLS, PER_CELL, SAMPLE, PART, ROUNDS = 4096, 64, 65_536, 4, 10
 #: Sampled questions and neighbours that recall is measured with; questions of one scan.
 PROBED, NEIGHBOURS, QUESTIONS = 256, 50, 512
+#: Scores of a block of rows that a task holds at once, questions times rows.
+SCORES = 1 << 21
 #: Pooled candidates for each row asked for, and at least.
 POOL_FACTOR, POOL_LEAST = 24, 400
 
@@ -151,8 +153,11 @@ def _scan(index: Index, rows: DataFrame, asked: np.ndarray, probed: np.ndarray |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, books, q, of_cell = model.value
         best = Best([pool] * len(q))
-        parts = _padded(q).reshape(len(q), -1, PART)
-        tables = np.einsum("qpd,pcd->pqc", parts, books) if of_cell is not None else None
+        padded, places, step = _padded(q), np.arange(len(books)), max(1, SCORES // max(1, len(q)))
+        if of_cell is not None:
+            asks = np.zeros((len(q), len(centroids)), bool)
+            np.put_along_axis(asks, of_cell, True, axis=1)
+            middles = _padded(centroids)
         for b in batches:
             ids = b.column("id").to_numpy()
             if of_cell is None:
@@ -162,14 +167,14 @@ def _scan(index: Index, rows: DataFrame, asked: np.ndarray, probed: np.ndarray |
                 continue
             cells = b.column("cell").to_numpy()
             codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            for cell in np.unique(cells):
-                own = np.flatnonzero((of_cell == cell).any(axis=1))
-                here = np.flatnonzero(cells == cell)
-                scores = np.repeat((q[own] @ centroids[cell])[:, None], len(here), 1)
-                for p, table in enumerate(tables):
-                    scores += table[own][:, codes[here, p]]
-                for k, s in zip(own, scores, strict=True):
-                    best.add(int(k), ids[here], s)
+            for a in range(0, b.num_rows, step):
+                cell = cells[a : a + step]
+                # what the codes stand for; a product with it adds up the products with cell and parts
+                near = middles[cell] + books[places, codes[a : a + step]].reshape(len(cell), -1)
+                own = np.flatnonzero(asks[:, np.unique(cell)].any(axis=1))
+                may = asks[own][:, cell]
+                for k, s, m in zip(own.tolist(), padded[own] @ near.T, may, strict=True):
+                    best.add(k, ids[a : a + step][m], s[m])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.rows()], ["question", "id", "score"])
 
     return rows.mapInArrow(run, "question int, id bigint, score double")

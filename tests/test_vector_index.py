@@ -1,6 +1,9 @@
 """The vector index against an exact comparison of all vectors: recall, filters, files read, repeats."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +100,36 @@ def test_odd_vectors_repeats_and_empty_tables(spark):
     empty = vector_index.build(df.where("id is null and id is not null"), shared_folder(spark))
     assert vector_index.nearest(spark, empty, asked, 4).count() == 0
     assert vector_index.nearest(spark, index, asked.where("query_id > 5"), 4).count() == 0
+
+
+def test_scan_takes_blocks_of_cells(monkeypatch):
+    """A question takes the rows of all its cells in a block at once, and scores are those of cell and codes."""
+    calls, found = [], {}
+
+    class Best:
+        def __init__(self, pools):
+            pass
+
+        def add(self, q, ids, scores):
+            calls.append(q)
+            found.update({(q, int(i)): float(s) for i, s in zip(ids, scores, strict=True)})
+
+        def rows(self):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)
+
+    class Rows:
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+        def mapInArrow(self, f, schema):
+            return f
+
+    rng = np.random.default_rng(4)
+    centroids, books, q = rng.normal(size=(30, 6)), rng.normal(size=(2, 256, vector_index.PART)), rng.normal(size=(5, 6))
+    books[1, :, 2:] = 0
+    cells, codes = np.repeat(np.arange(30), 10), rng.integers(0, 256, (300, 2)).astype(np.uint8)
+    probed = np.array([rng.permutation(30)[:20] for _ in q])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(300)), pa.array(cells.astype(np.int32)), pa.array([c.tobytes() for c in codes])], ["id", "cell", "codes"])
+    monkeypatch.setattr(vector_index, "Best", Best)
+    list(vector_index._scan(SimpleNamespace(centroids=centroids, codebooks=books), Rows(), q, probed, 10)(iter([batch])))
+    plain = {(k, i): float(q[k] @ (centroids[cells[i]] + np.concatenate([books[0, codes[i, 0]], books[1, codes[i, 1]]])[:6])) for k in range(5) for i in range(300) if cells[i] in probed[k]}
+    assert len(calls) == 5 and found == pytest.approx(plain)
