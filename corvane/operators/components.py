@@ -19,7 +19,7 @@ def _toward_least(edges: DataFrame, both: bool) -> DataFrame:
         least = e.groupBy("x").agg(F.min("y").alias("m"))
         out = e.join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         out = out.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    return out.where("u > v")
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -39,5 +39,6 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
             break
         before = print_of
         step += 1
-        e = written(_toward_least(_toward_least(e, True), False), folder, f"{name}-{step}")
+        # the larger star gives a row for each edge at most, so only what is written is made distinct
+        e = written(_toward_least(_toward_least(e, True), False).distinct(), folder, f"{name}-{step}")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

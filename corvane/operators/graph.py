@@ -31,5 +31,6 @@ def families(edges: DataFrame) -> DataFrame:
     """(node, family) with the smallest node of each connected component of the edges (from_id, to_id); a loop alone is a family of one."""
     e = edges.selectExpr("from_id as u", "to_id as v").where("u is not null and v is not null")
     found = components(e, shared_folder(edges.sparkSession), "families")
-    alone = e.selectExpr("u as node").unionByName(e.selectExpr("v as node")).distinct().join(found.select("node"), "node", "left_anti")
+    # whoever has an edge to another node was found
+    alone = e.where("u = v").selectExpr("u as node").distinct().join(found.select("node"), "node", "left_anti")
     return found.select("node", F.col("root").alias("family")).unionByName(alone.select("node", F.col("node").alias("family")))

@@ -67,8 +67,9 @@ def r11_family_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best hit of each family; hits outside families stand alone."""
     checkpoint_folder(spark)
     hits = evidence._hits(spark, sf_dir)
-    families = graph.families(evidence._relation(spark, sf_dir))
-    named = hits.join(families, hits["id"] == families["node"], "left").select("id", F.coalesce("family", "id").alias("family"), "score")
+    # a hundred hits at most look up their families
+    families = graph.families(evidence._relation(spark, sf_dir)).join(F.broadcast(hits.select(F.col("id").alias("node"))), "node", "left_semi")
+    named = hits.join(F.broadcast(families), hits["id"] == families["node"], "left").select("id", F.coalesce("family", "id").alias("family"), "score")
     return retrieval.roll_up(named, "family")
 
 

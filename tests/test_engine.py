@@ -92,3 +92,14 @@ def test_entry_works_without_the_llm_folders(tmp_path):
     subprocess.run(["rm", "-rf", f"{tmp_path}/corvane/llm"], check=True)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=env)
+
+
+def test_rounds_of_families_shuffle_little(spark):
+    """A round makes its edges distinct once, when it is written; only loops are looked up among those found."""
+    from corvane.operators import components
+
+    e = spark.createDataFrame([(2, 1), (3, 2), (3, 1), (9, 4)], "u long, v long")
+    larger = components._toward_least(e, True)
+    assert sorted(map(tuple, larger.collect())) == [(2, 1), (3, 1), (3, 1), (9, 4)]
+    e = spark.createDataFrame([(2, 1), (2, 2), (5, 5), (5, 5)], "from_id long, to_id long")
+    assert {r.node: r.family for r in graph.families(e).collect()} == {1: 1, 2: 1, 5: 5}
