@@ -9,8 +9,9 @@ question that most of the corpus may answer.
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -119,10 +120,14 @@ class Question:
 
 @dataclass(frozen=True)
 class Result:
-    """hits in their order; gaps (kind, document_id, relation_id, blocking). Both are small written tables."""
+    """hits in their order; gaps (kind, document_id, relation_id, blocking), which are looked for when first asked for. Both are small written tables."""
 
     hits: DataFrame
-    gaps: DataFrame
+    find_gaps: Callable[[], DataFrame]
+
+    @functools.cached_property
+    def gaps(self) -> DataFrame:
+        return self.find_gaps()
 
     def abstain(self) -> bool:
         """Whether a gap forbids an answer."""
@@ -269,11 +274,16 @@ class _Search:
         self.plans, self.conditions, self.scope = _plans(corpus, questions, config)
         rows = [(p.question.id, p.kind, p.scoped, p.others, p.pool, p.options.top_k, p.options.doc_cap, p.options.rrf_k, query.lexical_weight(p.question.text), p.options.roll_up) for p in self.plans]
         self.settings = F.broadcast(self.spark.createDataFrame(rows, "query_id bigint, kind int, scoped boolean, others boolean, pool int, top_k int, doc_cap int, rrf_k int, weight double, roll_up string"))
-        self.status = corpus.validity.groupBy("document_id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("status_class", "eff_from", "eff_to") if c in corpus.validity.columns))
 
     def kept(self, df: DataFrame, name: str) -> DataFrame:
         return written(df, self.folder, name)
 
+    @functools.cached_property
+    def status(self) -> DataFrame:
+        """The validity of each document, written once: up to three steps join it."""
+        validity = self.corpus.validity
+        return self.kept(validity.groupBy("document_id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("status_class", "eff_from", "eff_to") if c in validity.columns)), "status")
+
     def fulfilled(self) -> Column:
         """Whether a row (kind, scoped, scope_id, and chunk and document columns) fulfils its question's condition."""
         of_kind = F.lit(False)
@@ -451,7 +461,7 @@ def search_many(corpus: Corpus, questions: Sequence[Question], config: Options =
         raise ValueError("questions share an id")
     run = _Search(corpus, questions, config)
     hits = run.hits(run.candidates())
-    return Result(hits, run.gaps(hits))
+    return Result(hits, lambda: run.gaps(hits))
 
 
 def search(corpus: Corpus, text: str, vector: Sequence[float] | None = None, options: Options = Options(), filters: Filters = Filters(), config: Options = Options()) -> Result:  # noqa: B008
@@ -464,7 +474,7 @@ def search(corpus: Corpus, text: str, vector: Sequence[float] | None = None, opt
     ended by then. Without a vector (or embeddings) the arm of words stands alone. Of equal scores smaller ids go first.
     """
     r = search_many(corpus, [Question(0, text, vector, options, filters)], config)
-    return Result(r.hits.drop("query_id"), r.gaps.drop("query_id"))
+    return Result(r.hits.drop("query_id"), lambda: r.gaps.drop("query_id"))
 
 
 def detailed(hits: DataFrame, level: str) -> DataFrame:

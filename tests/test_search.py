@@ -5,8 +5,10 @@ import datetime as dt
 import pytest
 
 from corvane.functions.query import Options
+from corvane.operators import search as search_module
 from corvane.operators.retrieval import build_postings
 from corvane.operators.search import Corpus, Filters, search
+from corvane.plans import searching
 from corvane.storage import shared_folder
 
 
@@ -171,3 +173,10 @@ def test_gaps_of_relations_and_texts(spark, corpus):
     gaps = {(g.kind, g.document_id, g.relation_id) for g in r.gaps.collect()}
     assert {("unresolved_relation", 1, 100), ("unresolved_relation", 1, 101), ("relation_target_text_gap", 9, 104), ("known_binding_text_gap", 7, None)} <= gaps
     assert not any(k == "relation_target_text_gap" and d != 9 for k, d, _ in gaps) and ("known_binding_text_gap", 6, None) not in gaps
+
+
+def test_gaps_wait_until_asked_for(spark, sf_dir, monkeypatch):
+    """Hits alone read no relations and no texts for gaps."""
+    looked = []
+    monkeypatch.setattr(search_module._Search, "gaps", lambda self, hits: looked.append(1) or hits)
+    assert searching.search_as_of(spark, sf_dir).count() and not looked
