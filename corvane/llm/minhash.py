@@ -8,7 +8,7 @@
    as deep as it must: it is parted by the next values until its parts are small enough; besides, each class meets its
    WINDOW next neighbours in the order, which have the longest common prefixes with it. The order is sharded by ranges;
    the classes at both ends of every shard are compared in a step of their own, so that no region is cut. Of the
-   candidates only a spanning tree leaves the task.
+   candidates only stars with the same components leave the task, so that few rounds join them.
 3. Components of those candidates hold together whatever can be linked. The full sets of their classes meet once,
    in blocks of bounded size, where all links are found exactly. A component of several blocks takes its smallest
    member into each block; classes outside its largest group then meet the other blocks that can hold a set linked with
@@ -118,11 +118,27 @@ def _region(tails: np.ndarray, nodes: np.ndarray, agree: int) -> list[tuple[int,
     return edges
 
 
+def _stars(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Edges with the same components, from the least node of each to its others: no path is longer than two."""
+    above: dict[int, int] = {}
+
+    def least(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = above[y]
+            x = y
+        return x
+
+    for a, b in edges:
+        a, b = least(a), least(b)
+        above[max(a, b)] = min(a, b)
+    return [(r, x) for x in list(above) if (r := least(x)) != x]
+
+
 _CANDIDATES = "u bigint, v bigint, tree int, head bigint, tail binary"
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], agree: int, border: int) -> Iterator[pa.RecordBatch]:
-    """Edges of a shard's regions, in rows (u, v); and as rows (u, tree, head, tail) the first and last `border` classes of the shard."""
+    """Stars of a shard's regions, in rows (u, v); and as rows (u, tree, head, tail) the first and last `border` classes of the shard."""
     held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     ends: list[list[tuple]] = [[], []]
     for batch in batches:
@@ -145,11 +161,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], agree: int, border: int) -> I
         a = edge[-2]
         held = key[a:], tails[a:], nodes[a:]
         if edges:
-            yield _with_ends(edges, [])
+            yield _with_ends(_stars(edges), [])
     edges = _region(held[1], held[2], agree) if held is not None and len(held[2]) > 1 else []
     rows = {r: None for r in ends[0] + ends[1]}
     if edges or rows:
-        yield _with_ends(edges, list(rows))
+        yield _with_ends(_stars(edges), list(rows))
 
 
 def _with_ends(edges: list[tuple[int, int]], ends: list[tuple]) -> pa.RecordBatch:
@@ -211,6 +227,7 @@ class _Block:
         return 100 * both >= percent * (size + self.sizes[among] - both)
 
     def links(self, percent: int) -> list[tuple[int, int]]:
+        """Stars of what the links among the sets hold together."""
         edges, left = [], np.arange(len(self.nodes))
         while len(left) > 1:
             front, left = [left[0]], left[1:]
@@ -221,7 +238,7 @@ class _Block:
                     edges += [(self.nodes[u], self.nodes[v]) for v in left[hit]]
                     front += list(left[hit])
                     left = left[~hit]
-        return edges
+        return _stars(edges)
 
     def links_to(self, node: int, group: int, s: np.ndarray, percent: int) -> list[tuple[int, int]]:
         at = np.searchsorted(self.words, s)

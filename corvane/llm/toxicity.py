@@ -57,12 +57,22 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in {"=" + word, *(word[:n] for n in range(3, 8) if len(word) >= n)}]
 
 
-def fit(texts: Iterable[str], labels: list[int], rounds: int = 120, rate: float = 0.4, l2: float = 2e-4, least: int = 3, weight: float = 4.0) -> np.ndarray:
-    """Weights of the features, and the bias last. Features in fewer than `least` documents keep weight 0; a toxic document counts `weight` times. Texts are read once."""
+def _sums(at: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values[of] by `at`, n of them, as bincount gives them; a quarter of a million at a time, so that no array of their length is made."""
+    out = np.zeros(n)
+    for a in range(0, len(at), 1 << 18):
+        np.add.at(out, at[a : a + (1 << 18)], values[of[a : a + (1 << 18)]])
+    return out
+
+
+def fit(labelled: Iterable[tuple[str, int]], rounds: int = 120, rate: float = 0.4, l2: float = 2e-4, least: int = 3, weight: float = 4.0) -> np.ndarray:
+    """Weights of the features, and the bias last. Features in fewer than `least` documents keep weight 0; a toxic document counts `weight` times. Texts are read once and one at a time; four bytes for each word and its place are kept."""
     number: dict[str, int] = {}
-    word, sent, doc, f, f_word = (array("i") for _ in range(5))
-    n_sent = 0
-    for d, t in enumerate(texts):
+    word, sent, doc, f, f_word, held_by = (array("i") for _ in range(6))
+    labels, n_sent = [], 0
+    for d, (t, label) in enumerate(labelled):
+        labels.append(label)
+        own: set[int] = set()
         for words in instances(_lower(t)):
             for w in set(words):
                 k = number.setdefault(w, len(number))
@@ -70,10 +80,14 @@ def fit(texts: Iterable[str], labels: list[int], rounds: int = 120, rate: float
                     x = features(w)
                     f.extend(x)
                     f_word.extend([k] * len(x))
+                    held_by.append(0)
+                own.add(k)
                 word.append(k)
                 sent.append(n_sent)
             doc.append(d)
             n_sent += 1
+        for k in own:
+            held_by[k] += 1
     n_words = len(number)
     del number
     theta = np.zeros((1 << BITS) + 1)
@@ -81,23 +95,20 @@ def fit(texts: Iterable[str], labels: list[int], rounds: int = 120, rate: float
     if not n_sent or not any(labels) or all(labels):
         theta[-1] = 3.0 if n_sent and all(labels) else -9.0
         return theta
-    word, sent, doc, f, f_word = (np.frombuffer(x, np.int32) for x in (word, sent, doc, f, f_word))
-    pairs = np.unique(doc[sent].astype(np.int64) << 32 | word)
-    df = np.bincount(f, np.bincount(pairs & 0xFFFFFFFF, minlength=n_words)[f_word], 1 << BITS)
-    del pairs
+    word, sent, doc, f, f_word, held_by = (np.frombuffer(x, np.int32) for x in (word, sent, doc, f, f_word, held_by))
+    df = _sums(f, held_by, f_word, 1 << BITS)
     keep = df[f] >= least
     f, f_word = f[keep], f_word[keep]
     y = np.array(labels)[doc].astype(bool)
     squares = np.full(len(theta), 1e-4)
     for _ in range(rounds):
-        of_word = np.bincount(f_word, theta[f], n_words)
-        z = np.bincount(sent, of_word[word], n_sent) + theta[-1]
+        z = _sums(sent, _sums(f_word, theta, f, n_words), word, n_sent) + theta[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         total = np.bincount(doc, np.logaddexp(0, z), len(labels))[doc]
         clean = np.exp(-total)
         g = np.where(y, -weight * p * clean / np.maximum(1 - clean, 1e-9), p)
         step = np.zeros(len(theta))
-        step[:-1] = np.bincount(f, np.bincount(word, g[sent], len(of_word))[f_word], 1 << BITS)
+        step[:-1] = _sums(f, _sums(word, g, sent, n_words), f_word, 1 << BITS)
         step[-1] = g.sum()
         step = step / len(labels)
         step[:-1] += l2 * theta[:-1]
@@ -139,7 +150,7 @@ def noisy_or(logits: list[float]) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> np.ndarray:
-    """Fits to labelled documents outside the held-out fold, a bounded sample of each label; the driver gets those texts."""
+    """Fits to labelled documents outside the held-out fold, a bounded sample of each label; one task gets those texts, the driver the weights only."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(bucket("doc_id", folds) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {t: min(1.0, most / max(1, counts.get(t, 0))) for t, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))}
@@ -148,10 +159,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0)
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     # about MAX_TOXIC + MAX_CLEAN rows of two numbers, so texts needn't be shuffled to meet them
     small = F.broadcast(chosen.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("y")))
-    rows = d.join(small, "doc_id").toArrow()
-    rows = rows.take(np.argsort(rows.column("doc_id").to_numpy(), kind="stable"))
-    # one text at a time: the driver holds them as bytes only
-    return fit((x.as_py() or "" for x in rows.column("text")), rows.column("y").to_pylist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theta = fit((t.as_py() or "", y.as_py()) for b in batches for t, y in zip(b.column(0), b.column(1), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([theta.tobytes()], pa.binary())], ["theta"])
+
+    rows = d.join(small, "doc_id").repartition(1).sortWithinPartitions("doc_id", "text", "y")
+    got = rows.select("text", "y").mapInArrow(run, "theta binary").first()
+    return fit([]) if got is None else np.frombuffer(got.theta)
 
 
 _OUT = "doc_id bigint, score double, predicted int, offending array<struct<start: bigint, end: bigint, score: double>>"

@@ -99,6 +99,19 @@ def test_candidates_of_a_crowded_region_stay_connected():
     assert len(set(groups(30_000, edges))) == 1
 
 
+def test_candidates_leave_as_stars():
+    rng = np.random.default_rng(4)
+    tails = [rng.integers(0, 256, 64).astype(np.uint8)]
+    for k in range(3000):  # each a copy of the last with one value changed
+        tails.append(tails[-1].copy())
+        tails[-1][63 - k % 62] = rng.integers(0, 256)
+    found, _ = edges_of([batch_of(np.array(sorted(tails, key=bytes)))])
+    assert len(found) > 2000
+    assert not {v for _, v in found} & {u for u, _ in found}
+    path = [(k + 1, k) for k in rng.permutation(5000).tolist()] + [(7000, 7000), (9002, 9001)]
+    assert sorted(minhash._stars(path)) == [(0, k) for k in range(1, 5001)] + [(9001, 9002)]
+
+
 def test_recall_in_a_crowded_region():
     """20,000 sets that share a passage and agree in the first values; every tenth has a near copy, which one tree finds in most cases."""
     rng = np.random.default_rng(1)

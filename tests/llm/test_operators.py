@@ -545,6 +545,21 @@ def test_warc_revisits_name_records_that_are_there(spark, monkeypatch):
 # URLs
 
 
+def test_toxicity_is_fitted_outside_the_driver(spark):
+    import tracemalloc
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(500)]
+    docs = documents(spark, [" ".join(rng.choices(words, k=5000)) + " moron" * (k % 2) for k in range(100)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id bigint, toxic int")
+    tracemalloc.start()
+    theta = toxicity.train(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(theta) == 2**18 + 1 and theta[toxicity.features("moron")[0]] > 0
+    assert most < 12 << 20  # the model comes in a few copies of 2 MB; the words of the sample took more
+
+
 def test_toxicity_scores_equal_a_plain_noisy_or(spark):
     rng = random.Random(7)
     words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(80)]
